@@ -1,0 +1,7 @@
+"""Streaming.
+
+The original library has no streaming surface (no stream sources, sinks,
+watermarks or state), so nothing is built here.  Tensors read from a
+streaming table can be contracted inside ``foreachBatch`` with the batch
+operators of ``tessera.operators``.
+"""
