@@ -44,7 +44,8 @@ from ..functions.cell import beta_cell
 from ..functions.expr import T
 from ..operators.contract import contract
 from ..operators.divergence import beta_divergence
-from ..operators.elementwise import elementwise
+from ..operators.elementwise import elementwise, guard
+from ..operators.sampled import sampled_contract
 from ..tensor import VALUE, Tensor
 
 _Z, _NUM, _DEN = "__z", "__num", "__den"
@@ -127,7 +128,7 @@ def predict(model: CoupledModel, f: Factorization, on: str = "full") -> Tensor:
     x = model.tensors[f.observed]
     zs = [model.tensors[b] for b in f.latents]
     if on == "support":
-        return contract([_support(x), *zs], x.indices, salt=model.salt)
+        return sampled_contract(x, zs, salt=model.salt)
     if on != "full":
         raise ValueError("on must be 'full' or 'support'")
     space = {i: model.card(i) for i in _observed_only(model, f)}
@@ -137,14 +138,21 @@ def predict(model: CoupledModel, f: Factorization, on: str = "full") -> Tensor:
 def q_numerator(model: CoupledModel, f: Factorization) -> Tensor:
     """``X ∘ X̂^(−p)`` on the support of ``X`` (zero wherever ``X`` is)."""
     x = model.tensors[f.observed]
-    xhat = predict(model, f, on="support")
-    return elementwise(T(x) * T(xhat).pow(-f.p))
+    zs = [model.tensors[b] for b in f.latents]
+    p = F.lit(-float(f.p))
+    return sampled_contract(
+        x, zs, lambda xv, hat: guard(xv * F.pow(hat, p), "raise", "X / X̂^p"), salt=model.salt
+    )
 
 
 def q_denominator(model: CoupledModel, f: Factorization) -> Tensor:
     """``X̂^(1−p)``: on the support of ``X`` when masked, else on its full grid."""
-    on = "support" if model.missing == "masked" else "full"
-    return elementwise(T(predict(model, f, on=on)).pow(1.0 - f.p))
+    e = F.lit(1.0 - float(f.p))
+    if model.missing == "masked":
+        x = model.tensors[f.observed]
+        zs = [model.tensors[b] for b in f.latents]
+        return sampled_contract(x, zs, lambda xv, hat: F.pow(hat, e), salt=model.salt)
+    return elementwise(T(predict(model, f, on="full")).pow(1.0 - f.p))
 
 
 def _delta_indices(model: CoupledModel, f: Factorization, a: str, q: Sequence[str]) -> list[str]:
@@ -235,20 +243,20 @@ def factor_update(model: CoupledModel, a: str) -> Tensor:
 def factorization_divergence(model: CoupledModel, f: Factorization) -> DataFrame:
     """``D_v = Σ d_p(X_v | X̂_v)`` as a one-row DataFrame (``divergence``)."""
     x = model.tensors[f.observed]
+    zs = [model.tensors[b] for b in f.latents]
     if model.missing == "masked":
-        return beta_divergence(x, predict(model, f, on="support"), f.p, missing="masked")
+        cells = sampled_contract(x, zs, lambda xv, hat: beta_cell(xv, hat, f.p), salt=model.salt)
+        return cells.df.agg(F.sum(VALUE).alias("divergence"))
     if f.p != 1.0:
         return beta_divergence(x, predict(model, f, on="full"), f.p, missing="zero")
     # p = 1: Σ_support [d(x|x̂) − x̂] + Σ_grid x̂, the last term from the
     # factors alone, so the full grid is never built.
-    xhat = predict(model, f, on="support")
-    joined = x.df.select(*x.indices, F.col(VALUE).alias("__x")).join(
-        xhat.df.select(*x.indices, F.col(VALUE).alias("__mu")), list(x.indices), "inner"
+    cells = sampled_contract(
+        x, zs, lambda xv, hat: beta_cell(xv, hat, 1.0) - hat, salt=model.salt
     )
-    mu = F.col("__mu")
-    on_support = joined.agg(F.sum(beta_cell(F.col("__x"), mu, 1.0) - mu).alias("__s"))
+    on_support = cells.df.agg(F.sum(VALUE).alias("__s"))
     space = {i: model.card(i) for i in _observed_only(model, f)}
-    total = contract([model.tensors[b] for b in f.latents], [], index_space=space or None)
+    total = contract(zs, [], index_space=space or None)
     both = on_support.unionByName(total.df.select(F.col(VALUE).alias("__s")))
     return both.agg(F.sum("__s").alias("divergence"))
 
