@@ -95,14 +95,16 @@ def _join(a: _Operand, b: _Operand, salt: int | None, threshold: int) -> _Operan
     product = (F.col(_LEFT) * F.col(_RIGHT)).alias(VALUE)
 
     if not shared:
-        # Only a zero-index operand (one row: a global sum) may meet another
-        # without a key; the one-row side is broadcast.
-        if a.indices and b.indices:
+        # Operands without a common index meet only when one side is a
+        # one-row total or has a proven small bound; that side is broadcast,
+        # so the product is formed where the other side's rows already are.
+        if a.indices and b.indices and not (_small(a, threshold) or _small(b, threshold)):
             raise ValueError(
-                f"operands {a.indices} and {b.indices} share no index and neither is "
-                "summed out: the result would be their outer product"
+                f"operands {a.indices} and {b.indices} share no index and neither has a "
+                "bounded size: their outer product is refused"
             )
-        if not a.indices:
+        swap = not a.indices or (b.indices and _small(a, threshold) and not _small(b, threshold))
+        if swap:
             left, right = right, left
         joined = left.crossJoin(F.broadcast(right))
         return _Operand(joined.select(*indices, product), indices, cards)

@@ -164,7 +164,9 @@ def delta(model: CoupledModel, f: Factorization, a: str, which: int = 1) -> Tens
     """The numerator (1) or denominator (2) contraction of ``Z_a`` for ``X_v``.
 
     The result is over the indices of ``Z_a`` that the observation or the
-    other factors carry; it is constant along the rest.
+    other factors carry; it is constant along the rest.  The ``p=1``
+    denominator on the full grid is over the indices ``Z_a`` shares with
+    the other factors only (see ``_ones_denominator``).
     """
     others = [model.tensors[b] for b in f.latents if b != a]
     x = model.tensors[f.observed]
