@@ -141,6 +141,7 @@ def contract(
     output: Sequence[str],
     index_space: Mapping[str, int] | None = None,
     salt: int | None = None,
+    reduce: bool = True,
 ) -> Tensor:
     """Contract tensors over every index not in ``output``.
 
@@ -152,6 +153,11 @@ def contract(
     by its cardinality, and an output index used by no input is broadcast
     over ``1..card``.  Without ``index_space`` every output index must occur
     in some input.
+
+    ``reduce=False`` skips the final aggregate: the result then holds
+    partial products, several rows per output cell, for a caller that
+    aggregates them together with other rows anyway (one shuffle instead
+    of two).  It is not a tensor until grouped by its indices.
     """
     if not tensors:
         raise ValueError("contract needs at least one tensor")
@@ -193,7 +199,11 @@ def contract(
         cur = _join(cur, nxt, salt, threshold)
         cur = _sum_out(cur, set(output).union(*[set(o.indices) for o in rest]))
 
-    cur = _sum_out(cur, output)
+    if reduce:
+        cur = _sum_out(cur, output)
+    else:
+        cur = _Operand(cur.df.select(*output, VALUE), list(output),
+                       {i: c for i, c in cur.cards.items() if i in output})
     value = F.col(VALUE) if multiplier == 1 else F.col(VALUE) * F.lit(float(multiplier))
     df = cur.df.select(*cur.indices, value.alias(VALUE))
     for i in absent_out:

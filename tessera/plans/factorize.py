@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cell import beta_cell
 from ..functions.expr import T
-from ..operators.contract import contract
+from ..operators.contract import broadcast_threshold, contract
 from ..operators.divergence import beta_divergence
 from ..operators.elementwise import elementwise, guard
 from ..operators.sampled import sampled_contract
@@ -160,7 +160,9 @@ def _delta_indices(model: CoupledModel, f: Factorization, a: str, q: Sequence[st
     return [i for i in model.tensors[a].indices if i in others or i in q]
 
 
-def delta(model: CoupledModel, f: Factorization, a: str, which: int = 1) -> Tensor:
+def delta(
+    model: CoupledModel, f: Factorization, a: str, which: int = 1, reduce: bool = True
+) -> Tensor:
     """The numerator (1) or denominator (2) contraction of ``Z_a`` for ``X_v``.
 
     The result is over the indices of ``Z_a`` that the observation or the
@@ -179,7 +181,7 @@ def delta(model: CoupledModel, f: Factorization, a: str, which: int = 1) -> Tens
     else:
         raise ValueError("which must be 1 (numerator) or 2 (denominator)")
     out = _delta_indices(model, f, a, x.indices)
-    return contract([q, *others], out, salt=model.salt)
+    return contract([q, *others], out, salt=model.salt, reduce=reduce)
 
 
 def _ones_denominator(model: CoupledModel, f: Factorization, a: str) -> Tensor:
@@ -206,7 +208,11 @@ def _expand(part: Tensor, za: Tensor) -> DataFrame:
         return part.df.select(*za.indices, VALUE)
     keys = za.df.select(*za.indices)
     if part.indices:
-        joined = keys.join(part.df.select(*part.indices, VALUE), list(part.indices), "inner")
+        side = part.df.select(*part.indices, VALUE)
+        bound = part.bound_bytes()
+        if bound is not None and bound <= broadcast_threshold(side):
+            side = F.broadcast(side)
+        joined = keys.join(side, list(part.indices), "inner")
     else:
         joined = keys.crossJoin(F.broadcast(part.df.select(VALUE)))
     return joined.select(*za.indices, VALUE)
@@ -225,8 +231,11 @@ def factor_update(model: CoupledModel, a: str) -> Tensor:
     pieces = [za.df.select(*idx, F.col(VALUE).alias(_Z), none.alias(_NUM), none.alias(_DEN))]
     for f in model.containing(a):
         w = F.lit(1.0 / f.phi)
+        # Parts over all of Z_a's indices stay unreduced: the aggregate
+        # below sums them together with everything else.
+        full = len(_delta_indices(model, f, a, model.tensors[f.observed].indices)) == len(idx)
         for which, name in ((1, _NUM), (2, _DEN)):
-            part = _expand(delta(model, f, a, which), za)
+            part = _expand(delta(model, f, a, which, reduce=not full), za)
             cols = {_Z: none, _NUM: none, _DEN: none, name: F.col(VALUE) * w}
             pieces.append(part.select(*idx, *[c.alias(n) for n, c in cols.items()]))
     union = pieces[0]
