@@ -227,6 +227,7 @@ def factor_update(model: CoupledModel, a: str) -> Tensor:
     """
     za = model.tensors[a]
     idx = list(za.indices)
+    types = {f.name: f.dataType for f in za.df.schema.fields}
     none = F.lit(None).cast("double")
     pieces = [za.df.select(*idx, F.col(VALUE).alias(_Z), none.alias(_NUM), none.alias(_DEN))]
     for f in model.containing(a):
@@ -237,7 +238,8 @@ def factor_update(model: CoupledModel, a: str) -> Tensor:
         for which, name in ((1, _NUM), (2, _DEN)):
             part = _expand(delta(model, f, a, which, reduce=not full), za)
             cols = {_Z: none, _NUM: none, _DEN: none, name: F.col(VALUE) * w}
-            pieces.append(part.select(*idx, *[c.alias(n) for n, c in cols.items()]))
+            keys = [F.col(i).cast(types[i]).alias(i) for i in idx]  # the factor's own types
+            pieces.append(part.select(*keys, *[c.alias(n) for n, c in cols.items()]))
     union = pieces[0]
     for p in pieces[1:]:
         union = union.unionByName(p)
