@@ -14,7 +14,11 @@ element-wise product, computed by array functions inside the row.  There is
 no fan-out by rank and no regrouping of ``x``: with factors small enough to
 broadcast (checked from their cardinalities) the whole computation is a
 map-only pass over ``x``; otherwise each factor join is one shuffle of
-``x`` on that factor's key.  ``x`` keeps one row per cell throughout.
+``x`` on that factor's key (optionally salted).  ``x`` keeps one row per
+cell throughout.
+
+``sampled_gradient`` reuses the same pass to emit the numerator and
+denominator contributions of a multiplicative update.
 
 Other shapes fall back to the join/aggregate contraction from the support
 of ``x`` followed by a one-to-one join with ``x``.
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from ..tensor import VALUE, Tensor
 from .contract import broadcast_threshold, contract
 
-_X, _HAT, _SALT = "__x", "__xhat", "__salt"
+_X, _HAT, _SALT, _BASE = "__x", "__xhat", "__salt", "__base"
 
 
 def _rank_indices(x: Tensor, factors: Sequence[Tensor]) -> list[str] | None:
@@ -48,6 +52,16 @@ def _rank_indices(x: Tensor, factors: Sequence[Tensor]) -> list[str] | None:
     return rank
 
 
+def rank_vector_model(x: Tensor, factors: Sequence[Tensor]) -> list[str] | None:
+    """Rank indices when ``x`` and ``factors`` fit the rank-vector plan, else None."""
+    rank = _rank_indices(x, factors)
+    if rank is None:
+        return None
+    if not all(all(i in x.indices for i in f.indices if i not in rank) for f in factors):
+        return None
+    return rank
+
+
 def rank_vectors(f: Tensor, rank: Sequence[str], cards: dict[str, int]) -> DataFrame:
     """One row per key of ``f`` (its non-rank indices) with a dense rank vector.
 
@@ -69,27 +83,10 @@ def rank_vectors(f: Tensor, rank: Sequence[str], cards: dict[str, int]) -> DataF
     return grouped.select(*own, dense.alias("__vec"))
 
 
-def sampled_contract(
-    x: Tensor,
-    factors: Sequence[Tensor],
-    combine: Callable[[Column, Column], Column] | None = None,
-    salt: int | None = None,
-) -> Tensor:
-    """``combine(x, x̂)`` on the support of ``x`` (default: ``x̂`` itself)."""
-    combine = combine or (lambda xv, hat: hat)
-    rank = _rank_indices(x, factors)
-    own_ok = rank is not None and all(
-        all(i in x.indices for i in f.indices if i not in rank) for f in factors
-    )
-    if not own_ok:
-        ones = Tensor(x.df.select(*x.indices, F.lit(1.0).alias(VALUE)), x.indices, x.cards)
-        hat = contract([ones, *factors], x.indices, salt=salt)
-        joined = x.df.select(*x.indices, F.col(VALUE).alias(_X)).join(
-            hat.df.select(*x.indices, F.col(VALUE).alias(_HAT)), list(x.indices), "inner"
-        )
-        df = joined.select(*x.indices, combine(F.col(_X), F.col(_HAT)).alias(VALUE))
-        return Tensor(df, x.indices, x.cards)
-
+def _join_vectors(
+    x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None
+) -> tuple[DataFrame, list[Column], dict[str, int]]:
+    """``x`` (value as ``__x``) joined to the rank vector of every factor."""
     cards = {r: next(f.cards[r] for f in factors if r in f.cards) for r in rank}
     length = math.prod(cards.values())
     threshold = broadcast_threshold(x.df)
@@ -98,25 +95,99 @@ def sampled_contract(
     for n, f in enumerate(factors):
         own = [i for i in f.indices if i not in rank]
         v = rank_vectors(f, rank, cards).withColumnRenamed("__vec", f"__vec{n}")
-        keys = 1 if not own else (math.prod(f.cards[i] for i in own) if all(i in f.cards for i in own) else None)
+        keys = math.prod(f.cards[i] for i in own) if all(i in f.cards for i in own) else None
         small = keys is not None and threshold > 0 and keys * (16 + 8 * (len(own) + length)) <= threshold
-        if own and small:
+        if not own:
+            df = df.crossJoin(F.broadcast(v))  # one row: a rank-only factor
+        elif small:
             df = df.join(F.broadcast(v), own, "inner")
-        elif own and salt and salt > 1 and len(x.indices) > len(own):
+        elif salt and salt > 1 and len(x.indices) > len(own):
             # Spread each key's cells of x over ``salt`` tasks; the vector
             # row of the key is copied to each of them.
             rest = [F.col(i) for i in x.indices if i not in own]
             df = df.withColumn(_SALT, F.pmod(F.xxhash64(*rest), F.lit(salt)).cast("int"))
             v = v.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
             df = df.join(v, [*own, _SALT], "inner").drop(_SALT)
-        elif own:
-            df = df.join(v, own, "inner")
         else:
-            df = df.crossJoin(F.broadcast(v))
+            df = df.join(v, own, "inner")
         vecs.append(F.col(f"__vec{n}"))
-    prod = vecs[0]
-    for v in vecs[1:]:
-        prod = F.zip_with(prod, v, lambda a, b: a * b)
-    hat = F.aggregate(prod, F.lit(0.0), lambda acc, e: acc + e)
-    out = df.select(*x.indices, combine(F.col(_X), hat).alias(VALUE))
+    return df, vecs, cards
+
+
+def _product(cols: Sequence[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = F.zip_with(out, c, lambda a, b: a * b)
+    return out
+
+
+def _times(q: Column) -> Callable[[Column], Column]:
+    return lambda e: e * q
+
+
+def _dot(cols: Sequence[Column]) -> Column:
+    return F.aggregate(_product(cols), F.lit(0.0), lambda acc, e: acc + e)
+
+
+def sampled_contract(
+    x: Tensor,
+    factors: Sequence[Tensor],
+    combine: Callable[[Column, Column], Column] | None = None,
+    salt: int | None = None,
+) -> Tensor:
+    """``combine(x, x̂)`` on the support of ``x`` (default: ``x̂`` itself)."""
+    combine = combine or (lambda xv, hat: hat)
+    rank = rank_vector_model(x, factors)
+    if rank is None:
+        ones = Tensor(x.df.select(*x.indices, F.lit(1.0).alias(VALUE)), x.indices, x.cards)
+        hat = contract([ones, *factors], x.indices, salt=salt)
+        joined = x.df.select(*x.indices, F.col(VALUE).alias(_X)).join(
+            hat.df.select(*x.indices, F.col(VALUE).alias(_HAT)), list(x.indices), "inner"
+        )
+        df = joined.select(*x.indices, combine(F.col(_X), F.col(_HAT)).alias(VALUE))
+        return Tensor(df, x.indices, x.cards)
+    df, vecs, _ = _join_vectors(x, factors, rank, salt)
+    out = df.select(*x.indices, combine(F.col(_X), _dot(vecs)).alias(VALUE))
     return Tensor(out, x.indices, x.cards)
+
+
+def sampled_gradient(
+    x: Tensor,
+    factors: Sequence[Tensor],
+    target: int,
+    outputs: dict[str, Callable[[Column, Column], Column]],
+    salt: int | None = None,
+) -> DataFrame:
+    """Per stored cell of ``x``, its contribution to factor-shaped sums.
+
+    For ``Z_a = factors[target]`` and each ``name -> q(x, x̂)`` this emits
+    rows ``(indices of Z_a, one column per name)`` whose sum per cell of
+    ``Z_a`` is ``contract(q(x, x̂), Z_b for b ≠ a -> idx Z_a)`` — the
+    numerator or denominator of a multiplicative update.  ``x̂`` and every
+    ``q`` come from the single pass that joins each cell to the rank
+    vectors, so no other join is needed.  The rank is unrolled with
+    ``posexplode`` and the rows are left unreduced for the caller's
+    aggregate, whose map-side partial sums collapse them to at most one row
+    per cell of ``Z_a`` and task before the shuffle.
+    """
+    rank = rank_vector_model(x, factors)
+    if rank is None:
+        raise ValueError("factors do not share a rank index covering the model")
+    df, vecs, cards = _join_vectors(x, factors, rank, salt)
+    length = math.prod(cards.values())
+    others = [v for n, v in enumerate(vecs) if n != target]
+    base = _product(others) if others else F.array_repeat(F.lit(1.0), length)
+    own_a = [i for i in factors[target].indices if i not in rank]
+    rows = df.select(*own_a, F.col(_X), _dot(vecs).alias(_HAT), base.alias(_BASE))
+    names = list(outputs)
+    scaled = []
+    for n in names:
+        scaled.append(F.transform(F.col(_BASE), _times(outputs[n](F.col(_X), F.col(_HAT)))).alias(n))
+    zipped = rows.select(*own_a, F.arrays_zip(*scaled).alias("__zip"))
+    exploded = zipped.select(*own_a, F.posexplode("__zip").alias("__pos", "__e"))
+    coords, stride = [], 1
+    for r in rank:
+        quotient = F.expr(f"CAST(__pos AS BIGINT) div {stride}")
+        coords.append((F.pmod(quotient, F.lit(cards[r])) + 1).cast("int").alias(r))
+        stride *= cards[r]
+    return exploded.select(*own_a, *coords, *[F.col("__e")[n].alias(n) for n in names])

@@ -45,7 +45,7 @@ from ..functions.expr import T
 from ..operators.contract import broadcast_threshold, contract
 from ..operators.divergence import beta_divergence
 from ..operators.elementwise import elementwise, guard
-from ..operators.sampled import sampled_contract
+from ..operators.sampled import rank_vector_model, sampled_contract, sampled_gradient
 from ..tensor import VALUE, Tensor
 
 _Z, _NUM, _DEN = "__z", "__num", "__den"
@@ -218,6 +218,34 @@ def _expand(part: Tensor, za: Tensor) -> DataFrame:
     return joined.select(*za.indices, VALUE)
 
 
+def _fused_parts(model: CoupledModel, f: Factorization, a: str, types, w) -> list[DataFrame] | None:
+    """Numerator (and masked denominator) rows from one pass over ``X``.
+
+    Only for rank-vector models (see ``operators.sampled``); ``None`` lets
+    the caller use the general contractions.
+    """
+    x = model.tensors[f.observed]
+    zs = [model.tensors[b] for b in f.latents]
+    if rank_vector_model(x, zs) is None:
+        return None
+    za = model.tensors[a]
+    idx = list(za.indices)
+    none = F.lit(None).cast("double")
+    p = float(f.p)
+    outputs = {_NUM: lambda xv, hat: guard(xv * F.pow(hat, F.lit(-p)), "raise", "X / X̂^p")}
+    if model.missing == "masked":
+        outputs[_DEN] = lambda xv, hat: F.pow(hat, F.lit(1.0 - p))
+    rows = sampled_gradient(x, zs, list(f.latents).index(a), outputs, salt=model.salt)
+    keys = [F.col(i).cast(types[i]).alias(i) for i in idx]
+    den = F.col(_DEN) * w if _DEN in outputs else none
+    pieces = [rows.select(*keys, none.alias(_Z), (F.col(_NUM) * w).alias(_NUM), den.alias(_DEN))]
+    if _DEN not in outputs:
+        part = _expand(delta(model, f, a, 2), za)
+        pieces.append(part.select(*[F.col(i).cast(types[i]).alias(i) for i in idx], none.alias(_Z),
+                                  none.alias(_NUM), (F.col(VALUE) * w).alias(_DEN)))
+    return pieces
+
+
 def factor_update(model: CoupledModel, a: str) -> Tensor:
     """``Z_a ∘ (Σ_v phi_v⁻¹ num_v) / (Σ_v phi_v⁻¹ den_v)`` as one aggregate.
 
@@ -232,6 +260,10 @@ def factor_update(model: CoupledModel, a: str) -> Tensor:
     pieces = [za.df.select(*idx, F.col(VALUE).alias(_Z), none.alias(_NUM), none.alias(_DEN))]
     for f in model.containing(a):
         w = F.lit(1.0 / f.phi)
+        fused = _fused_parts(model, f, a, types, w)
+        if fused is not None:
+            pieces.extend(fused)
+            continue
         # Parts over all of Z_a's indices stay unreduced: the aggregate
         # below sums them together with everything else.
         full = len(_delta_indices(model, f, a, model.tensors[f.observed].indices)) == len(idx)
