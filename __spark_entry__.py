@@ -241,6 +241,10 @@ def _xhat_of(name):
 q_epoch_single = _epoch_query(_x1_model, _xhat_of("X1"))
 q_epoch_p2 = _epoch_query(lambda s, d: _x1_model(s, d, p=2.0), _xhat_of("X1"))
 q_epoch_coupled = _epoch_query(_coupled_model, _xhat_of("X2"))
+q_epoch_sparse = _epoch_query(
+    lambda s, d: CoupledModel(W.sparse_model_tensors(s, d), [Factorization("D", ("U", "V"))]),
+    lambda m: W.rounded(m.tensors["V"], 6),
+)
 q_epoch_masked = _epoch_query(
     lambda s, d: CoupledModel(W.sparse_model_tensors(s, d), [Factorization("D", ("U", "V"))],
                               missing="masked"),
@@ -350,7 +354,7 @@ def _sql_model_query(make, factorizations, missing, epochs, final) -> str:
     b = W.SqlBuilder()
     m = make(b)
     latents = {a: m[a] for _, lat, _, _ in factorizations for a in lat}
-    cards = {"i": m.get("card_i"), "j": m.get("card_j"), "r": m.get("card_r")}
+    cards = {i: m.get(f"card_{i}") for i in ("i", "j", "r", "p")}
     model = W.SqlModel(b, factorizations, latents, cards, missing)
     return final(b, model, epochs)
 
@@ -409,6 +413,16 @@ def _sql_epoch_masked() -> str:
     return _sql_model_query(W.sql_model_sparse, fs, "masked", 1, final)
 
 
+def _sql_epoch_sparse() -> str:
+    fs = [("D", ["U", "V"], 1.0, 1.0)]
+
+    def final(b, model, epochs):
+        model.epoch()
+        v = model.cur["V"]
+        return b.render(f"SELECT k, p, ROUND(value, 6) AS value FROM {v}")
+    return _sql_model_query(W.sql_model_sparse, fs, "zero", 1, final)
+
+
 def _sql_fit_history() -> str:
     fs = [("X1", ["Z1", "Z2"], 1.0, 1.0), ("X2", ["Z1", "Z3"], 1.0, 1.0)]
 
@@ -494,5 +508,6 @@ def oracle_sql() -> dict[str, str]:
             W.sql_model_coupled, [("X1", ["Z1", "Z2"], 1.0, 1.0), ("X2", ["Z1", "Z3"], 1.0, 1.0)],
             "zero", 1, _sql_xhat_after("X2")),
         "epoch_masked": _sql_epoch_masked(),
+        "epoch_sparse": _sql_epoch_sparse(),
         "fit_history": _sql_fit_history(),
     }

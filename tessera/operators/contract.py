@@ -190,11 +190,16 @@ def contract(
             o for o in rest if not o.indices or not cur.indices
         ] or rest
 
-        def after(o: _Operand) -> int:
+        def after(o: _Operand) -> tuple[int, float]:
+            # fewest indices left after summing out, then the smallest proven
+            # bound of that intermediate (unknown bounds rank last)
             keep = set(output).union(*[set(x.indices) for x in rest if x is not o])
-            return len((set(cur.indices) | set(o.indices)) & keep)
+            left = (set(cur.indices) | set(o.indices)) & keep
+            known = {**cur.cards, **o.cards}
+            bound = math.prod(known[i] for i in left) if all(i in known for i in left) else math.inf
+            return len(left), bound
 
-        nxt = min(linked, key=lambda o: (after(o), rest.index(o)))
+        nxt = min(linked, key=lambda o: (*after(o), rest.index(o)))
         rest = [o for o in rest if o is not nxt]
         cur = _join(cur, nxt, salt, threshold)
         cur = _sum_out(cur, set(output).union(*[set(o.indices) for o in rest]))

@@ -376,4 +376,5 @@ def sql_model_sparse(b: SqlBuilder) -> dict[str, str]:
     b.add("card_d", [], "SELECT MAX(i) AS ci, MAX(p) AS cp FROM D")
     u = b.add("U", ["i", "k"], sql_factor("U", "i", "k", "(SELECT ci FROM card_d)", str(RANK)))
     v = b.add("V", ["k", "p"], sql_factor("V", "k", "p", str(RANK), "(SELECT cp FROM card_d)"))
-    return {"D": d, "U": u, "V": v}
+    return {"D": d, "U": u, "V": v,
+            "card_i": "(SELECT ci FROM card_d)", "card_p": "(SELECT cp FROM card_d)"}
