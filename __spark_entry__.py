@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -46,13 +45,7 @@ from tessera.plans.factorize import q_numerator as numerator_q  # noqa: E402
 SF_SMOKE = "/root/testdata/sf0.001"
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; set a local one only when unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+_ensure_checkpoint_dir = W.ensure_checkpoint_dir
 
 
 # ------------------------------------------------------------- queries

@@ -340,8 +340,9 @@ def materialize_observed(model: CoupledModel) -> CoupledModel:
     """Checkpoint each observed tensor once: it is read by every update."""
     seen = {}
     for f in model.factorizations:
-        if f.observed not in seen:
-            seen[f.observed] = model.tensors[f.observed].checkpoint()
+        t = model.tensors[f.observed]
+        if f.observed not in seen and not t.materialized:
+            seen[f.observed] = t.checkpoint()
     return model.with_tensors(**seen)
 
 

@@ -36,6 +36,8 @@ class Tensor:
     df: DataFrame
     indices: tuple[str, ...]
     cards: Mapping[str, int] = field(default_factory=dict)
+    # True when ``df`` reads a reliable checkpoint (a materialized copy).
+    materialized: bool = False
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "indices", tuple(self.indices))
@@ -86,6 +88,10 @@ class Tensor:
         cards = {mapping.get(k, k): v for k, v in self.cards.items()}
         return Tensor(df, new, cards)
 
+    def with_cards(self, cards: Mapping[str, int]) -> Tensor:
+        """Attach cardinalities known to hold (e.g. from ``cardinalities``)."""
+        return Tensor(self.df, self.indices, {**self.cards, **cards}, self.materialized)
+
     def restrict(self, cards: Mapping[str, int]) -> Tensor:
         """Keep coordinates inside ``1..card`` for each given index.
 
@@ -109,7 +115,7 @@ class Tensor:
         """Cut the lineage with a reliable checkpoint (see ``plans.lineage``)."""
         from .plans.lineage import cut_lineage
 
-        return self.with_df(cut_lineage(self.cells()))
+        return Tensor(cut_lineage(self.cells()), self.indices, self.cards, True)
 
 
 def from_table(

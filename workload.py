@@ -9,6 +9,8 @@ the definitions, as plain joins and aggregates.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,10 +101,25 @@ def factor(spark, indices, cards) -> Tensor:
     return formula_tensor(spark, indices, cards, init_value)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the session's checkpoint folder; set a local one only when unset (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+
+
+def observed(t: Tensor) -> tuple[Tensor, dict[str, int]]:
+    """Materialize an observation once; its index ranges come from that copy."""
+    ensure_checkpoint_dir(t.df.sparkSession)
+    t = t.checkpoint()
+    cards = cardinalities(t)
+    return t.with_cards(cards), cards
+
+
 def x1_model_tensors(spark, d) -> dict[str, Tensor]:
-    x1 = X1(spark, d)
-    cards = cardinalities(x1)
-    x1 = x1.restrict(cards)
+    x1, cards = observed(X1(spark, d))
     return {
         "X1": x1,
         "Z1": factor(spark, ["i", "k"], {"i": cards["i"], "k": RANK}),
@@ -112,18 +129,15 @@ def x1_model_tensors(spark, d) -> dict[str, Tensor]:
 
 def coupled_model_tensors(spark, d) -> dict[str, Tensor]:
     ts = x1_model_tensors(spark, d)
-    x2 = X2(spark, d)
-    cards = cardinalities(x2)
-    ts["X2"] = x2.restrict(cards)
+    ts["X2"], cards = observed(X2(spark, d))
     ts["Z3"] = factor(spark, ["k", "r"], {"k": RANK, "r": cards["r"]})
     return ts
 
 
 def sparse_model_tensors(spark, d) -> dict[str, Tensor]:
-    x = D(spark, d)
-    cards = cardinalities(x)
+    x, cards = observed(D(spark, d))
     return {
-        "D": x.restrict(cards),
+        "D": x,
         "U": factor(spark, ["i", "k"], {"i": cards["i"], "k": RANK}),
         "V": factor(spark, ["k", "p"], {"k": RANK, "p": cards["p"]}),
     }
