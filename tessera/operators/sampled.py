@@ -20,6 +20,11 @@ cell throughout.
 ``sampled_gradient`` reuses the same pass to emit the numerator and
 denominator contributions of a multiplicative update.
 
+Ranks up to ``MAX_UNROLLED_RANK`` positions are unrolled into one column per
+position (conditional sums per key, then sums of products per cell), so the
+per-cell arithmetic stays inside whole-stage codegen; larger ranks use
+array columns and higher-order functions.
+
 Other shapes fall back to the join/aggregate contraction from the support
 of ``x`` followed by a one-to-one join with ``x``.
 """
@@ -37,6 +42,8 @@ from .contract import broadcast_threshold, contract
 
 _X, _HAT, _SALT, _BASE = "__x", "__xhat", "__salt", "__base"
 
+MAX_UNROLLED_RANK = 64
+
 
 def _rank_indices(x: Tensor, factors: Sequence[Tensor]) -> list[str] | None:
     rank: list[str] = []
@@ -69,11 +76,7 @@ def rank_vectors(f: Tensor, rank: Sequence[str], cards: dict[str, int]) -> DataF
     the model, so collecting it into one row is safe at any data size.
     """
     own = [i for i in f.indices if i not in rank]
-    lin = F.lit(0).cast("long")
-    stride = 1
-    for r in rank:
-        lin = lin + (F.col(r).cast("long") - 1) * F.lit(stride)
-        stride *= cards[r]
+    lin, stride = _rank_position(rank, cards)
     entries = F.map_from_entries(F.collect_list(F.struct(lin.alias("p"), F.col(VALUE).alias("v"))))
     grouped = f.df.groupBy(*own).agg(entries.alias("__m")) if own else f.df.agg(entries.alias("__m"))
     dense = F.transform(
@@ -83,6 +86,68 @@ def rank_vectors(f: Tensor, rank: Sequence[str], cards: dict[str, int]) -> DataF
     return grouped.select(*own, dense.alias("__vec"))
 
 
+def _rank_position(rank: Sequence[str], cards: dict[str, int]) -> tuple[Column, int]:
+    lin = F.lit(0).cast("long")
+    stride = 1
+    for r in rank:
+        lin = lin + (F.col(r).cast("long") - 1) * F.lit(stride)
+        stride *= cards[r]
+    return lin, stride
+
+
+def rank_columns(f: Tensor, rank: Sequence[str], cards: dict[str, int], prefix: str) -> DataFrame:
+    """One row per key of ``f`` with one column per rank position (0 if absent)."""
+    own = [i for i in f.indices if i not in rank]
+    lin, length = _rank_position(rank, cards)
+    sums = [
+        F.coalesce(F.sum(F.when(lin == F.lit(p), F.col(VALUE))), F.lit(0.0)).alias(f"{prefix}{p}")
+        for p in range(length)
+    ]
+    return f.df.groupBy(*own).agg(*sums) if own else f.df.agg(*sums)
+
+
+def _join_side(df: DataFrame, x: Tensor, v: DataFrame, own: list[str], small: bool,
+               salt: int | None) -> DataFrame:
+    if not own:
+        return df.crossJoin(F.broadcast(v))  # one row: a rank-only factor
+    if small:
+        return df.join(F.broadcast(v), own, "inner")
+    if salt and salt > 1 and len(x.indices) > len(own):
+        # Spread each key's cells of x over ``salt`` tasks; the factor row
+        # of the key is copied to each of them.
+        rest = [F.col(i) for i in x.indices if i not in own]
+        df = df.withColumn(_SALT, F.pmod(F.xxhash64(*rest), F.lit(salt)).cast("int"))
+        v = v.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        return df.join(v, [*own, _SALT], "inner").drop(_SALT)
+    return df.join(v, own, "inner")
+
+
+def _join_columns(
+    x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None
+) -> tuple[DataFrame, list[list[Column]], dict[str, int]]:
+    """``x`` joined to the unrolled rank columns of every factor."""
+    cards = {r: next(f.cards[r] for f in factors if r in f.cards) for r in rank}
+    length = math.prod(cards.values())
+    threshold = broadcast_threshold(x.df)
+    df = x.df.select(*x.indices, F.col(VALUE).alias(_X))
+    cols = []
+    for n, f in enumerate(factors):
+        own = [i for i in f.indices if i not in rank]
+        v = rank_columns(f, rank, cards, f"__c{n}_")
+        keys = math.prod(f.cards[i] for i in own) if all(i in f.cards for i in own) else None
+        small = keys is not None and threshold > 0 and keys * (16 + 8 * (len(own) + length)) <= threshold
+        df = _join_side(df, x, v, own, small, salt)
+        cols.append([F.col(f"__c{n}_{p}") for p in range(length)])
+    return df, cols, cards
+
+
+def _unrolled_products(cols: Sequence[list[Column]]) -> list[Column]:
+    out = list(cols[0])
+    for c in cols[1:]:
+        out = [a * b for a, b in zip(out, c)]
+    return out
+
+
 def _join_vectors(
     x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None
 ) -> tuple[DataFrame, list[Column], dict[str, int]]:
@@ -97,19 +162,7 @@ def _join_vectors(
         v = rank_vectors(f, rank, cards).withColumnRenamed("__vec", f"__vec{n}")
         keys = math.prod(f.cards[i] for i in own) if all(i in f.cards for i in own) else None
         small = keys is not None and threshold > 0 and keys * (16 + 8 * (len(own) + length)) <= threshold
-        if not own:
-            df = df.crossJoin(F.broadcast(v))  # one row: a rank-only factor
-        elif small:
-            df = df.join(F.broadcast(v), own, "inner")
-        elif salt and salt > 1 and len(x.indices) > len(own):
-            # Spread each key's cells of x over ``salt`` tasks; the vector
-            # row of the key is copied to each of them.
-            rest = [F.col(i) for i in x.indices if i not in own]
-            df = df.withColumn(_SALT, F.pmod(F.xxhash64(*rest), F.lit(salt)).cast("int"))
-            v = v.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-            df = df.join(v, [*own, _SALT], "inner").drop(_SALT)
-        else:
-            df = df.join(v, own, "inner")
+        df = _join_side(df, x, v, own, small, salt)
         vecs.append(F.col(f"__vec{n}"))
     return df, vecs, cards
 
@@ -146,11 +199,27 @@ def sampled_contract(
         )
         df = joined.select(*x.indices, combine(F.col(_X), F.col(_HAT)).alias(VALUE))
         return Tensor(df, x.indices, x.cards)
-    df, vecs, _ = _join_vectors(x, factors, rank, salt)
-    out = df.select(*x.indices, combine(F.col(_X), _dot(vecs)).alias(VALUE))
+    if _rank_length(factors, rank) <= MAX_UNROLLED_RANK:
+        df, cols, _ = _join_columns(x, factors, rank, salt)
+        hat = _sum(_unrolled_products(cols))
+    else:
+        df, vecs, _ = _join_vectors(x, factors, rank, salt)
+        hat = _dot(vecs)
+    out = df.select(*x.indices, combine(F.col(_X), hat).alias(VALUE))
     return Tensor(out, x.indices, x.cards)
 
 
+def _rank_length(factors: Sequence[Tensor], rank: Sequence[str]) -> int:
+    return math.prod(next(f.cards[r] for f in factors if r in f.cards) for r in rank)
+
+
+def _sum(cols: Sequence[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + c
+    return out
+
+
 def sampled_gradient(
     x: Tensor,
     factors: Sequence[Tensor],
@@ -173,21 +242,46 @@ def sampled_gradient(
     rank = rank_vector_model(x, factors)
     if rank is None:
         raise ValueError("factors do not share a rank index covering the model")
+    own_a = [i for i in factors[target].indices if i not in rank]
+    names = list(outputs)
+    if _rank_length(factors, rank) <= MAX_UNROLLED_RANK:
+        df, cols, cards = _join_columns(x, factors, rank, salt)
+        length = len(cols[0])
+        others = [c for n, c in enumerate(cols) if n != target]
+        base = _unrolled_products(others) if others else [F.lit(1.0)] * length
+        rows = df.select(*own_a, F.col(_X), _sum(_unrolled_products(cols)).alias(_HAT),
+                         *[b.alias(f"{_BASE}{p}") for p, b in enumerate(base)])
+        qs = rows.select(*own_a, *[F.col(f"{_BASE}{p}") for p in range(length)],
+                         *[outputs[n](F.col(_X), F.col(_HAT)).alias(f"__q_{n}") for n in names])
+        entries = F.array(*[
+            F.struct(F.lit(p).alias("__pos"),
+                     *[(F.col(f"{_BASE}{p}") * F.col(f"__q_{n}")).alias(n) for n in names])
+            for p in range(length)
+        ])
+        exploded = qs.select(*own_a, F.explode(entries).alias("__e"))
+        exploded = exploded.select(*own_a, F.col("__e.__pos").alias("__pos"),
+                                   *[F.col("__e")[n].alias(n) for n in names])
+        return _decode_rank(exploded, own_a, rank, cards, names)
     df, vecs, cards = _join_vectors(x, factors, rank, salt)
     length = math.prod(cards.values())
     others = [v for n, v in enumerate(vecs) if n != target]
     base = _product(others) if others else F.array_repeat(F.lit(1.0), length)
-    own_a = [i for i in factors[target].indices if i not in rank]
     rows = df.select(*own_a, F.col(_X), _dot(vecs).alias(_HAT), base.alias(_BASE))
-    names = list(outputs)
     scaled = []
     for n in names:
         scaled.append(F.transform(F.col(_BASE), _times(outputs[n](F.col(_X), F.col(_HAT)))).alias(n))
     zipped = rows.select(*own_a, F.arrays_zip(*scaled).alias("__zip"))
     exploded = zipped.select(*own_a, F.posexplode("__zip").alias("__pos", "__e"))
+    exploded = exploded.select(*own_a, "__pos", *[F.col("__e")[n].alias(n) for n in names])
+    return _decode_rank(exploded, own_a, rank, cards, names)
+
+
+def _decode_rank(df: DataFrame, own: list[str], rank: Sequence[str], cards: dict[str, int],
+                 names: list[str]) -> DataFrame:
+    """Turn the rank position ``__pos`` back into 1-based rank coordinates."""
     coords, stride = [], 1
     for r in rank:
         quotient = F.expr(f"CAST(__pos AS BIGINT) div {stride}")
         coords.append((F.pmod(quotient, F.lit(cards[r])) + 1).cast("int").alias(r))
         stride *= cards[r]
-    return exploded.select(*own_a, *coords, *[F.col("__e")[n].alias(n) for n in names])
+    return df.select(*own, *coords, *names)

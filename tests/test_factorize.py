@@ -149,3 +149,15 @@ def test_factors_are_checkpointed(spark):
     m = run_epoch(materialize_observed(model))
     plan = m.tensors["Z1"].df._jdf.queryExecution().analyzed().toString()
     assert len(plan.splitlines()) <= 3, plan
+
+
+@pytest.mark.parametrize("missing", ["zero", "masked"])
+def test_array_path_matches_numpy(spark, monkeypatch, missing):
+    import tessera.operators.sampled as sampled
+
+    monkeypatch.setattr(sampled, "MAX_UNROLLED_RANK", 0)  # force array columns
+    model, xs, zs, np_fs = build(spark, missing, 1.0, phi2=2.0, sparse=True)
+    m = run_epoch(materialize_observed(model))
+    want = mu_numpy(xs, zs, np_fs, 1, missing)
+    for name, shape in (("Z1", (I, K)), ("Z2", (K, J)), ("Z3", (K, R))):
+        np.testing.assert_allclose(to_arr(m.tensors[name], shape), want[name], rtol=1e-9)
