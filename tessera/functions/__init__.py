@@ -1,6 +1,6 @@
 """Expression building blocks: tensor expressions and per-cell formulas."""
 
-from .cell import beta_cell, beta_cell_at_zero
+from .cell import beta_cell
 from .expr import Expr, S, T, compile_expr, render
 
-__all__ = ["Expr", "S", "T", "beta_cell", "beta_cell_at_zero", "compile_expr", "render"]
+__all__ = ["Expr", "S", "T", "beta_cell", "compile_expr", "render"]

@@ -38,14 +38,3 @@ def beta_cell(x: Column, mu: Column, p: float) -> Column:
         + F.pow(mu, F.lit(b)) / F.lit(b)
     )
 
-
-def beta_cell_at_zero(mu: Column, p: float) -> Column:
-    """d_p(0 | mu): what an unstored (zero) observation costs."""
-    p = float(p)
-    if p >= 2.0:
-        return _inf()
-    if p == 0.0:
-        return F.lit(0.5) * F.pow(mu, F.lit(2.0))
-    if p == 1.0:
-        return mu
-    return F.pow(mu, F.lit(2.0 - p)) / F.lit(2.0 - p)

@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -113,10 +113,6 @@ class CoupledModel:
 
 
 # --------------------------------------------------------------- pieces
-def _support(x: Tensor) -> Tensor:
-    return Tensor(x.df.select(*x.indices, F.lit(1.0).alias(VALUE)), x.indices, x.cards)
-
-
 def _observed_only(model: CoupledModel, f: Factorization) -> list[str]:
     """Indices of the observation that no factor carries."""
     latent_idx = {i for b in f.latents for i in model.tensors[b].indices}
@@ -346,6 +342,22 @@ def materialize_observed(model: CoupledModel) -> CoupledModel:
     return model.with_tensors(**seen)
 
 
+def _check_finite_objective(model: CoupledModel) -> None:
+    """With zeros for unstored cells, p ≥ 2 makes every unstored cell cost +∞."""
+    if model.missing != "zero":
+        return
+    for f in model.factorizations:
+        if f.p < 2.0:
+            continue
+        x = model.tensors[f.observed]
+        numel = math.prod(model.card(i) for i in x.indices)
+        if x.df.count() < numel:
+            raise ValueError(
+                f"{f.observed}: with p={f.p} an unstored cell read as zero has infinite "
+                "divergence; use missing='masked' or store every cell"
+            )
+
+
 def fit(
     model: CoupledModel,
     epochs: int,
@@ -364,6 +376,7 @@ def fit(
     spark = next(iter(model.tensors.values())).df.sparkSession
     if checkpoint:
         model = materialize_observed(model)
+    _check_finite_objective(model)
     rows: list[tuple[int, str, float]] = []
     objective: list[float] = []
     for epoch in range(1, epochs + 1):
@@ -385,6 +398,3 @@ def fit(
     history = spark.createDataFrame(rows, "epoch INT, factorization STRING, divergence DOUBLE")
     return FitResult(model, history, objective)
 
-
-def latent_cards(model: CoupledModel, names: Sequence[str]) -> Mapping[str, int]:
-    return {i: model.card(i) for n in names for i in model.tensors[n].indices}

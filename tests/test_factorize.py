@@ -161,3 +161,11 @@ def test_array_path_matches_numpy(spark, monkeypatch, missing):
     want = mu_numpy(xs, zs, np_fs, 1, missing)
     for name, shape in (("Z1", (I, K)), ("Z2", (K, J)), ("Z3", (K, R))):
         np.testing.assert_allclose(to_arr(m.tensors[name], shape), want[name], rtol=1e-9)
+
+
+def test_p2_with_unstored_zeros_is_refused(spark):
+    model, *_ = build(spark, "zero", 2.0, sparse=True)
+    with pytest.raises(ValueError, match="infinite"):
+        fit(model, epochs=1)
+    dense_model, *_ = build(spark, "zero", 2.0, sparse=False)
+    assert len(fit(dense_model, epochs=1).objective) == 1
