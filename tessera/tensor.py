@@ -111,6 +111,31 @@ class Tensor:
         return self.with_df(self.df.select(*self.indices, fn(F.col(VALUE)).alias(VALUE)))
 
     # ------------------------------------------------------------ lifecycle
+    def repartition(self, num_partitions: int | None = None) -> Tensor:
+        """Hash-partition the cells by the tensor's indices.
+
+        Useful before several joins on the full index set; otherwise leave
+        partitioning to adaptive execution.
+        """
+        df = (self.df.repartition(num_partitions, *self.indices) if num_partitions
+              else self.df.repartition(*self.indices))
+        return Tensor(df, self.indices, self.cards, self.materialized)
+
+    def persist(self, level=None) -> Tensor:
+        """Keep the cells in executor memory/disk (``MEMORY_AND_DISK`` by default).
+
+        A cache is lost with its executor; use ``checkpoint`` to cut lineage
+        across iterations.
+        """
+        from pyspark import StorageLevel
+
+        self.df.persist(level or StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def unpersist(self) -> Tensor:
+        self.df.unpersist()
+        return self
+
     def checkpoint(self) -> Tensor:
         """Cut the lineage with a reliable checkpoint (see ``plans.lineage``)."""
         from .plans.lineage import cut_lineage

@@ -103,3 +103,13 @@ def test_rename_and_validation(spark):
         Tensor(t.df, ("i", "i"))
     with pytest.raises(ValueError):
         Tensor(t.df, ("i", "zz"))
+
+
+def test_repartition_and_persist(spark):
+    t = from_rows(spark, ["i", "j"], [(1, 1, 1.0), (2, 1, 2.0), (3, 2, 3.0)], {"i": 3})
+    r = t.repartition(4)
+    assert r.df.rdd.getNumPartitions() == 4 and r.cards == {"i": 3}
+    assert "hashpartitioning(i" in r.df._jdf.queryExecution().executedPlan().toString()
+    p = t.persist()
+    assert p.df.is_cached and to_dict(p) == to_dict(t)
+    assert not p.unpersist().df.is_cached
