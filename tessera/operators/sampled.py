@@ -220,6 +220,39 @@ def _sum(cols: Sequence[Column]) -> Column:
     return out
 
 
+def sampled_gradient_columns(
+    x: Tensor,
+    factors: Sequence[Tensor],
+    target: int,
+    outputs: dict[str, Callable[[Column, Column], Column]],
+    salt: int | None = None,
+) -> tuple[DataFrame, list[str], int]:
+    """Like ``sampled_gradient`` but one row per stored cell of ``x``.
+
+    Returns ``(df, own, length)``: ``df`` has the non-rank indices ``own``
+    of ``Z_a`` and a column ``{name}{p}`` per output and rank position
+    ``p < length``.  Summing those columns per key of ``own`` gives the
+    factor-shaped sums without multiplying rows by the rank.  Only for
+    ranks up to ``MAX_UNROLLED_RANK`` positions.
+    """
+    rank = rank_vector_model(x, factors)
+    if rank is None or _rank_length(factors, rank) > MAX_UNROLLED_RANK:
+        raise ValueError("column layout needs a rank-vector model with a small rank")
+    own_a = [i for i in factors[target].indices if i not in rank]
+    df, cols, _ = _join_columns(x, factors, rank, salt)
+    length = len(cols[0])
+    others = [c for n, c in enumerate(cols) if n != target]
+    base = _unrolled_products(others) if others else [F.lit(1.0)] * length
+    rows = df.select(*own_a, F.col(_X), _sum(_unrolled_products(cols)).alias(_HAT),
+                     *[b.alias(f"{_BASE}{p}") for p, b in enumerate(base)])
+    names = list(outputs)
+    qs = rows.select(*own_a, *[F.col(f"{_BASE}{p}") for p in range(length)],
+                     *[outputs[n](F.col(_X), F.col(_HAT)).alias(f"__q_{n}") for n in names])
+    out = qs.select(*own_a, *[(F.col(f"{_BASE}{p}") * F.col(f"__q_{n}")).alias(f"{n}{p}")
+                              for n in names for p in range(length)])
+    return out, own_a, length
+
+
 def sampled_gradient(
     x: Tensor,
     factors: Sequence[Tensor],

@@ -169,3 +169,26 @@ def test_p2_with_unstored_zeros_is_refused(spark):
         fit(model, epochs=1)
     dense_model, *_ = build(spark, "zero", 2.0, sparse=False)
     assert len(fit(dense_model, epochs=1).objective) == 1
+
+
+@pytest.mark.parametrize("missing", ["zero", "masked"])
+def test_chain_model_uses_general_path(spark, missing):
+    # X(i,j) ≈ Σ_{k,l} A(i,k) G(k,l) B(l,j): no shared rank index, so the
+    # updates go through the general contractions
+    rng = np.random.default_rng(5)
+    L = 2
+    x = rng.uniform(0.5, 2.0, (I, J))
+    mask = rng.uniform(size=(I, J)) < 0.7
+    a, g, b = rng.uniform(0.2, 1.0, (I, K)), rng.uniform(0.2, 1.0, (K, L)), rng.uniform(0.2, 1.0, (L, J))
+    ts = {"X": tensor(spark, ["i", "j"], x, mask), "A": tensor(spark, ["i", "k"], a),
+          "G": tensor(spark, ["k", "l"], g), "B": tensor(spark, ["l", "j"], b)}
+    model = CoupledModel(ts, [Factorization("X", ("A", "G", "B"))], missing=missing)
+    m = run_epoch(materialize_observed(model))
+    xm = np.where(mask, x, 0.0)
+    ones = mask.astype(float) if missing == "masked" else np.ones_like(x)
+    q = lambda a_, g_, b_: np.where(mask, xm / (a_ @ g_ @ b_), 0.0)
+    a = a * (q(a, g, b) @ (g @ b).T) / (ones @ (g @ b).T)
+    g = g * (a.T @ q(a, g, b) @ b.T) / (a.T @ ones @ b.T)
+    b = b * ((a @ g).T @ q(a, g, b)) / ((a @ g).T @ ones)
+    for name, arr in (("A", a), ("G", g), ("B", b)):
+        np.testing.assert_allclose(to_arr(m.tensors[name], arr.shape), arr, rtol=1e-9)
