@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from helpers import from_rows, to_dict
-from tessera import CoupledModel, Factorization, contract, delta, fit, run_epoch
+from tessera import CoupledModel, Factorization, contract, delta, factor_update, fit, run_epoch
 from tessera.plans import materialize_observed
 
 I, J, K, R = 4, 5, 3, 3
@@ -192,3 +192,21 @@ def test_chain_model_uses_general_path(spark, missing):
     b = b * ((a @ g).T @ q(a, g, b)) / ((a @ g).T @ ones)
     for name, arr in (("A", a), ("G", g), ("B", b)):
         np.testing.assert_allclose(to_arr(m.tensors[name], arr.shape), arr, rtol=1e-9)
+
+
+def test_updates_without_broadcast_match(spark):
+    # with broadcasting off, every factor join is a shuffle join; same numbers
+    model, xs, zs, np_fs = build(spark, "zero", 1.0, phi2=2.0, sparse=True)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = run_epoch(materialize_observed(model))
+        plan = m.tensors["Z1"].df._jdf.queryExecution().analyzed().toString()
+        assert len(plan.splitlines()) <= 3
+        want = mu_numpy(xs, zs, np_fs, 1, "zero")
+        for name, shape in (("Z1", (I, K)), ("Z2", (K, J)), ("Z3", (K, R))):
+            np.testing.assert_allclose(to_arr(m.tensors[name], shape), want[name], rtol=1e-9)
+        upd = factor_update(m, "Z2").df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in upd
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
