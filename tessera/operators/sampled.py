@@ -122,23 +122,34 @@ def _join_side(df: DataFrame, x: Tensor, v: DataFrame, own: list[str], small: bo
     return df.join(v, own, "inner")
 
 
-def _join_columns(
-    x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None
-) -> tuple[DataFrame, list[list[Column]], dict[str, int]]:
-    """``x`` joined to the unrolled rank columns of every factor."""
+def _join_factors(
+    x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None, table
+) -> tuple[DataFrame, dict[str, int]]:
+    """``x`` (value as ``__x``) joined to ``table(factor, n, cards)`` of every factor.
+
+    A factor's table has one row per key (its non-rank indices); it is
+    broadcast when its size is proven small from the cardinalities.
+    """
     cards = {r: next(f.cards[r] for f in factors if r in f.cards) for r in rank}
     length = math.prod(cards.values())
     threshold = broadcast_threshold(x.df)
     df = x.df.select(*x.indices, F.col(VALUE).alias(_X))
-    cols = []
     for n, f in enumerate(factors):
         own = [i for i in f.indices if i not in rank]
-        v = rank_columns(f, rank, cards, f"__c{n}_")
         keys = math.prod(f.cards[i] for i in own) if all(i in f.cards for i in own) else None
         small = keys is not None and threshold > 0 and keys * (16 + 8 * (len(own) + length)) <= threshold
-        df = _join_side(df, x, v, own, small, salt)
-        cols.append([F.col(f"__c{n}_{p}") for p in range(length)])
-    return df, cols, cards
+        df = _join_side(df, x, table(f, n, cards), own, small, salt)
+    return df, cards
+
+
+def _join_columns(
+    x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None
+) -> tuple[DataFrame, list[list[Column]], dict[str, int]]:
+    """``x`` joined to the unrolled rank columns of every factor."""
+    df, cards = _join_factors(x, factors, rank, salt,
+                              lambda f, n, c: rank_columns(f, rank, c, f"__c{n}_"))
+    length = math.prod(cards.values())
+    return df, [[F.col(f"__c{n}_{p}") for p in range(length)] for n in range(len(factors))], cards
 
 
 def _unrolled_products(cols: Sequence[list[Column]]) -> list[Column]:
@@ -151,20 +162,11 @@ def _unrolled_products(cols: Sequence[list[Column]]) -> list[Column]:
 def _join_vectors(
     x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None
 ) -> tuple[DataFrame, list[Column], dict[str, int]]:
-    """``x`` (value as ``__x``) joined to the rank vector of every factor."""
-    cards = {r: next(f.cards[r] for f in factors if r in f.cards) for r in rank}
-    length = math.prod(cards.values())
-    threshold = broadcast_threshold(x.df)
-    df = x.df.select(*x.indices, F.col(VALUE).alias(_X))
-    vecs = []
-    for n, f in enumerate(factors):
-        own = [i for i in f.indices if i not in rank]
-        v = rank_vectors(f, rank, cards).withColumnRenamed("__vec", f"__vec{n}")
-        keys = math.prod(f.cards[i] for i in own) if all(i in f.cards for i in own) else None
-        small = keys is not None and threshold > 0 and keys * (16 + 8 * (len(own) + length)) <= threshold
-        df = _join_side(df, x, v, own, small, salt)
-        vecs.append(F.col(f"__vec{n}"))
-    return df, vecs, cards
+    """``x`` joined to the rank vector (an array column) of every factor."""
+    df, cards = _join_factors(
+        x, factors, rank, salt,
+        lambda f, n, c: rank_vectors(f, rank, c).withColumnRenamed("__vec", f"__vec{n}"))
+    return df, [F.col(f"__vec{n}") for n in range(len(factors))], cards
 
 
 def _product(cols: Sequence[Column]) -> Column:
@@ -278,22 +280,15 @@ def sampled_gradient(
     own_a = [i for i in factors[target].indices if i not in rank]
     names = list(outputs)
     if _rank_length(factors, rank) <= MAX_UNROLLED_RANK:
-        df, cols, cards = _join_columns(x, factors, rank, salt)
-        length = len(cols[0])
-        others = [c for n, c in enumerate(cols) if n != target]
-        base = _unrolled_products(others) if others else [F.lit(1.0)] * length
-        rows = df.select(*own_a, F.col(_X), _sum(_unrolled_products(cols)).alias(_HAT),
-                         *[b.alias(f"{_BASE}{p}") for p, b in enumerate(base)])
-        qs = rows.select(*own_a, *[F.col(f"{_BASE}{p}") for p in range(length)],
-                         *[outputs[n](F.col(_X), F.col(_HAT)).alias(f"__q_{n}") for n in names])
+        wide, _, length = sampled_gradient_columns(x, factors, target, outputs, salt)
         entries = F.array(*[
-            F.struct(F.lit(p).alias("__pos"),
-                     *[(F.col(f"{_BASE}{p}") * F.col(f"__q_{n}")).alias(n) for n in names])
+            F.struct(F.lit(p).alias("__pos"), *[F.col(f"{n}{p}").alias(n) for n in names])
             for p in range(length)
         ])
-        exploded = qs.select(*own_a, F.explode(entries).alias("__e"))
+        exploded = wide.select(*own_a, F.explode(entries).alias("__e"))
         exploded = exploded.select(*own_a, F.col("__e.__pos").alias("__pos"),
                                    *[F.col("__e")[n].alias(n) for n in names])
+        cards = {r: next(f.cards[r] for f in factors if r in f.cards) for r in rank}
         return _decode_rank(exploded, own_a, rank, cards, names)
     df, vecs, cards = _join_vectors(x, factors, rank, salt)
     length = math.prod(cards.values())

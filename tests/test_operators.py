@@ -190,3 +190,28 @@ def test_scalar_expression(spark):
     c = elementwise(S(2).pow(3) - 1)
     assert spark.range(1).select(c.alias("v")).first()["v"] == 7.0
     assert isinstance(elementwise(T(from_rows(spark, ["i"], [(1, 1.0)])) * 2), Tensor)
+
+
+@pytest.mark.parametrize("target", [0, 1])
+def test_sampled_gradient_layouts_match_contraction(spark, target):
+    from tessera.operators.sampled import sampled_gradient, sampled_gradient_columns
+
+    x, _ = dense(spark, ["i", "j"], 1, 0.6)
+    fs = [dense(spark, ["i", "k"], 2)[0], dense(spark, ["k", "j"], 3)[0]]
+    q = {"g": lambda xv, hat: xv / hat}
+    hat = sampled_contract(x, fs, lambda xv, h: xv / h)
+    want = to_dict(contract([hat, fs[1 - target]], list(fs[target].indices)))
+    rows = sampled_gradient(x, fs, target, q)
+    got = {}
+    for r in rows.collect():
+        key = tuple(r[i] for i in fs[target].indices)
+        got[key] = got.get(key, 0.0) + r["g"]
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    wide, own, length = sampled_gradient_columns(x, fs, target, q)
+    sums = wide.groupBy(*own).agg(*[F.sum(f"g{p}").alias(f"g{p}") for p in range(length)]).collect()
+    for r in sums:
+        for p in range(length):
+            k = p + 1
+            key = (r[own[0]], k) if target == 0 else (k, r[own[0]])
+            assert r[f"g{p}"] == pytest.approx(want[key], rel=1e-12)
