@@ -7,6 +7,8 @@ are rounded on both sides so that summation order cannot change the hash.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -256,8 +258,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_contract_binary(spark, SF_SMOKE)
 
 
+def _optional(name: str):
+    """The module ``name`` if it is there; errors inside it are not swallowed."""
+    try:
+        found = importlib.util.find_spec(name)
+    except ModuleNotFoundError:
+        found = None
+    return importlib.import_module(name) if found else None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+    out = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+    if llm := _optional("tessera.llm.queries"):
+        out |= llm.queries()
+    if pipeline := _optional("corpus_pipeline"):
+        out["pipeline"] = pipeline.run
+    return out
 
 
 # ---------------------------------------------------------------- oracle
@@ -429,6 +445,11 @@ def _sql_fit_history() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    llm = _optional("tessera.llm.queries")
+    return _tensor_sql() | (llm.oracle_sql() if llm else {})
+
+
+def _tensor_sql() -> dict[str, str]:
     ew = _sql_ew
     return {
         "tensor_from_table": W.SQL_TENSORS["X1"][1],
