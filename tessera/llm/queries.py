@@ -75,7 +75,11 @@ def op7_pii(spark, d):
             ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
     every = F.concat("base", "added")
-    counts = [F.size(F.filter(every, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def count(kind):
+        return F.size(F.filter(every, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         listed(every).alias("spans"))
 
@@ -107,7 +111,7 @@ def queries() -> dict:
 
 
 # ------------------------------------------------------------------ SQL
-_WORDS = "list_filter(regexp_split_to_array(coalesce({t}, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(coalesce({t}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -115,7 +119,7 @@ def _sets(table_name: str, id_col: str) -> str:
     """Distinct 5-word shingles per row; the whole sequence of shorter texts."""
     return f"""
       SELECT DISTINCT {id_col}, unnest(CASE WHEN len(w) >= 5
-               THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+               THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
       FROM (SELECT {id_col}, {_WORDS.format(t=_FOLD)} AS w FROM {table_name})"""
 
