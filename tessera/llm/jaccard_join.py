@@ -19,12 +19,12 @@ in at most H = (a + b)(den - num) / (den + num) shingles.
   than H + 1 segments allows one difference in some of them: such a segment
   matches neighbourhoods of one deleted shingle on either side.  Sets for which
   even that isn't enough are compared with all sets of fitting size.
-* **Exact verification**, by rounds.  First every probing set is compared with
-  one partner, the one it shares most segments with.  Verified links form
-  components; whatever bucket still holds several components goes on.  Sets in
-  crowded buckets must then have enough shingles in common with the others of
-  that bucket at all (a set that has more than its allowed share of shingles
-  to itself is out); the pairs left are all compared.
+* **Exact verification.**  First every probing set is compared with a few
+  central sets of its buckets.  Verified links form components; whatever bucket
+  still holds several of them goes on.  Sets in crowded buckets must then have
+  enough shingles in common with the others there at all (a set that has more
+  than its allowed share of shingles to itself is out).  What is left is all
+  compared: as pairs in small buckets, block by block in crowded ones.
 
 Copies share one signature set: the nodes of the join are distinct sets,
 identified by a 64-bit hash and their size; equal texts never meet as pairs.
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches
+from .common import cut, hash01, map_batches
 from .components import connected_components
 
 SHINGLE = 5
@@ -60,6 +60,11 @@ SLICE = 1 << 21
 #: Sets per bucket from which the check for shingles of one's own is worth its cost.
 CROWD = 24
 
+#: Sets and shingles per block of a crowded family.
+BLOCK_SETS, BLOCK_TOKENS = 1024, 400_000
+#: Hubs named by a bucket, and hubs tried by a set, before all else.
+HUBS, TRIES = 6, 4
+
 INDEX, PROBE_OWN, PROBE_NEXT = 1, 2, 4
 
 U = np.uint64
@@ -425,37 +430,113 @@ def similar_links(docs: DataFrame, meta: DataFrame, classes: DataFrame, id_col:
               .distinct().join(classes.select("node", "rk"), "node"))
     sets = fetch_sets(docs, id_col, text_col, wanted, n)
 
-    # Round 1: each probing set and the hub it shares most buckets with.
-    hubs = index.groupBy("sig").agg(F.min("s").alias("hub"))
-    star = (probes.join(hubs, "sig").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best"))
-            .select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")).distinct())
-    tried = cut(star.union(direct).distinct(), "tried")
+    members = probes.select("sig", "node", F.lit(True).alias("probe")).unionByName(
+        index.select("sig", F.col("s").alias("node"), F.lit(False).alias("probe"))).join(sizes, "node")
+    # How much a set shares with all others: high for sets in the middle of a group of near copies.
+    central = shared.where(F.col("role").bitwiseAND(INDEX) != 0).groupBy("node").agg(F.sum("n_index").alias("score"))
+    members = members.join(central, "node", "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    members = cut(members.withColumn("root", F.col("node")), "members-0")
+    tried = cut(hub_pairs(members, HUBS, TRIES).union(direct).distinct(), "tried")
     links = cut(verify(tried, sets, bands), "links")
-
-    # Round 2: what still holds several components.
-    roots = connected_components(links) if links.take(1) else links.select(F.col("a").alias("node"),
-                                                                           F.col("a").alias("root"))
-    def rooted(df: DataFrame, c: str, out: str) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(
-            out, F.coalesce(out, c))
-
-    members = rooted(probes.select("sig", "node", F.lit(True).alias("probe")), "node", "root").unionByName(
-        rooted(index.select("sig", F.col("s").alias("node"), F.lit(False).alias("probe")), "node", "root"))
-    members = members.join(sizes, "node")
+    members = cut(still_open(members, links), "members-1")
+    members = cut(drop_loners(members, sets, bands), "members-2")
+
+    # Buckets of few sets: their pairs.  Crowded ones: block by block.
+    few = members.where(F.col("crowd") <= CROWD)
+    left = few.where("probe").select("sig", F.col("node").alias("r"), F.col("root").alias("rr"),
+                                     F.col("size").alias("rs"))
+    right = few.where("not probe").select("sig", F.col("node").alias("s"), F.col("root").alias("sr"),
+                                          F.col("size").alias("ss"))
+    rest = (left.join(right, "sig").where((F.col("rr") != F.col("sr")) & (F.col("rs") <= F.col("ss"))
+                                          & fitting(F.col("rs"), F.col("ss"), bands))
+            .select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct())
+    more = verify(rest.join(tried, ["a", "b"], "left_anti"), sets, bands)
+    many = crowd_links(members.where(F.col("crowd") > CROWD), sets, bands)
+    return cut(links.union(more).union(many), "all-links")
+
+
+def crowd_links(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Links between different components inside crowded buckets.
+
+    Buckets with the same most central set form a family; its probing sets are
+    compared with its indexing sets in blocks of bounded size, so neither a
+    pair nor a whole family is ever a row or a task.  Only links come out."""
+    top = members.where("not probe").groupBy("sig").agg(F.max_by("node", F.struct("score", "node")).alias("family"))
+    sides = members.join(top, "sig").select("family", "probe", "node", "root", "size").distinct()
+    sides = cut(sides, "families")
+    # Families without a probing set or with one component have nothing to compare.
+    counts = sides.groupBy("family").agg(
+        F.count(F.when(F.col("probe"), 1)).alias("nr"), F.count(F.when(~F.col("probe"), 1)).alias("ns"),
+        F.sum("size").alias("tokens"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+    block = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, (F.col("nr") + F.col("ns")) / BLOCK_SETS)).cast("int")
+    counts = counts.where("nr > 0 AND ns > 0 AND _a <> _b").select("family", block.alias("blocks"))
+    placed = sides.join(counts, "family").withColumn(
+        "at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = placed.select("family", "probe", "node", "root", "at", F.explode(every).alias("other")).select(
+        "family", "probe", "node", "root",
+        F.when(F.col("probe"), F.col("at")).otherwise(F.col("other")).alias("i"),
+        F.when(F.col("probe"), F.col("other")).otherwise(F.col("at")).alias("j"))
+    full = dealt.join(sets, "node")
+    num, den = bands.num, bands.den
+
+    def compare(block: pa.Table) -> pa.Table:
+        probe = block.column("probe").to_numpy(zero_copy_only=False)
+        node, root = (block.column(c).to_numpy() for c in ("node", "root"))
+        lists = block.column("shingles").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size = np.diff(ends)
+        index = np.flatnonzero(~probe)
+        where = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in index]) if len(index) else np.zeros(0, int)
+        owner = np.repeat(np.arange(len(index)), size[index])
+        order = np.argsort(flat[where], kind="stable")
+        token, owner = flat[where][order], owner[order]
+        out_a, out_b = [], []
+        for i in np.flatnonzero(probe):
+            mine = flat[ends[i]:ends[i + 1]]
+            lo, hi = np.searchsorted(token, mine), np.searchsorted(token, mine, "right")
+            n = hi - lo
+            skip = np.repeat(lo - (np.cumsum(n) - n), n)
+            shared = np.bincount(owner[skip + np.arange(len(skip))], minlength=len(index))
+            ok = (den * shared >= num * (size[index] + size[i] - shared)) & (root[index] != root[i])
+            near = index[ok]
+            near = near[np.unique(root[near], return_index=True)[1]]  # one link to a component is enough
+            out_a += [int(node[i])] * len(near)
+            out_b += node[near].tolist()
+        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return full.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def hub_pairs(members: DataFrame, hubs: int, tries: int) -> DataFrame:
+    """Pairs to try first: every bucket names up to ``hubs`` of its indexing
+    sets, those that share most with all others (the first one strictly so, the
+    next ones with ever more chance), and every probing set takes the ``tries``
+    hubs of other components that it meets in most buckets."""
+
+    def worth(k: int):
+        return F.col("score") * (1 + (2.0 ** k - 1) * 0.2 * hash01(F.lit(k), "node"))
+
+    order = [F.max(F.struct(worth(k).alias("h"), "node", "root")).alias(f"h{k}") for k in range(hubs)]
+    named = members.where("not probe").groupBy("sig").agg(*order).select(
+        "sig", F.explode(F.array_distinct(F.array(*[F.struct(f"h{k}.node", f"h{k}.root") for k in range(hubs)])))
+        .alias("hub"))
+    met = (members.where("probe").join(named, "sig").where("root <> hub.root")
+           .groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("n")))
+    best = Window.partitionBy("node").orderBy(F.desc("n"), "hub")
+    return (met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= tries)
+            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+
+
+def still_open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with their components' roots, of buckets with more than one."""
+    if links.take(1):
+        roots = connected_components(links)
+        members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = (members.groupBy("sig").agg(F.min("root").alias("_a"), F.max("root").alias("_b"),
                                         F.count(F.lit(1)).alias("crowd")).where("_a <> _b").select("sig", "crowd"))
-    members = cut(members.join(open_, "sig"), "members")
-    members = cut(drop_loners(members, sets, bands), "kept-members")
-    left = members.where("probe").select("sig", F.col("node").alias("r"), F.col("root").alias("rr"),
-                                         F.col("size").alias("rs"))
-    right = members.where("not probe").select("sig", F.col("node").alias("s"), F.col("root").alias("sr"),
-                                              F.col("size").alias("ss"))
-    pairs = (left.join(right, "sig").where((F.col("rr") != F.col("sr")) & (F.col("rs") <= F.col("ss"))
-                                           & fitting(F.col("rs"), F.col("ss"), bands))
-             .select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct())
-    more = verify(pairs.join(tried, ["a", "b"], "left_anti"), sets, bands)
-    return cut(links.union(more), "all-links")
+    return members.drop("crowd").join(open_, "sig")
 
 
 def drop_loners(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
