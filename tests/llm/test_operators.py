@@ -1,0 +1,402 @@
+"""Operators against brute force, and their defined results on odd input."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import chat_format as chat
+from tessera.llm import decontam, fertility, jaccard_join, lang_id, mixing, pii, quality_rank, shard_propagation
+from tessera.llm import url_rules as urls
+from tessera.llm.common import table
+from tessera.llm.components import connected_components
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, n=5):
+    w = (text or "").translate(UPPER).encode().split()
+    return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+# ------------------------------------------------------------ quality
+def test_pairwise_quality_separates_held_out_labels(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    model = quality_rank.fit_quality(docs, labels, train)
+    got = quality_rank.score_quality(docs, model).join(labels, "doc_id").where(~train).collect()
+    good = [r["score"] for r in got if r["quality"] == 1]
+    bad = [r["score"] for r in got if r["quality"] == 0]
+    assert good and all(0 <= x <= 1 for x in good + bad)
+    assert np.mean([g > b for g in good for b in bad] or [1]) > 0.9
+
+
+def test_quality_on_odd_input(spark, odd, none):
+    labels = spark.createDataFrame([(0, 1), (5, 0), (99, 1), (None, 0)], "doc_id long, quality int")
+    model = quality_rank.fit_quality(odd, labels, F.lit(True))
+    rows = quality_rank.score_quality(odd, model).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    by = defaultdict(set)
+    for r in rows:
+        by[r["doc_id"]].add(r["score"])
+    assert by[1] == by[2]  # null like empty
+    empty = quality_rank.fit_quality(none, labels.limit(0), F.lit(True))
+    assert quality_rank.score_quality(none, empty).count() == 0
+    assert empty.score(np.zeros((1, quality_rank.N_FEATURES)))[0] == pytest.approx(0.5)
+
+
+# ------------------------------------------------------------ language
+def test_language_held_out_accuracy(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    model = lang_id.fit_languages(docs, train, docs_per_lang=60)
+    got = lang_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(~train).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.9
+
+
+def test_language_on_odd_input_and_pieces(odd, none, monkeypatch):
+    letters = lang_id.letter_table()
+    model = lang_id.fit_texts(["the cat and the dog"] * 10 + ["der hund und die katze"] * 10, ["en"] * 10 + ["de"] * 10)
+    names, score, ok = model.predict([None, "", "12 34!", "the dog", "der hund"], letters)
+    assert names == ["und", "und", "und", "en", "de"] and score[:3].tolist() == [0, 0, 0] and not ok[:3].any()
+    long = "der hund und die katze " * 200
+    whole = model.predict([long, "the cat"], letters)[1]
+    monkeypatch.setattr(lang_id, "PIECE", 64)
+    assert np.allclose(model.predict([long, "the cat"], letters)[1], whole)
+    assert lang_id.identify(odd, model).count() == odd.count()
+    assert lang_id.identify(none, lang_id.fit_languages(none, F.lit(True))).count() == 0
+
+
+# ------------------------------------------------------------ sharding
+def test_shards_are_even_and_keep_copies_together(spark):
+    rows = [(i, f"text {i % 40}" if i < 120 else f"single {i}") for i in range(403)] + [(None, None), (5, "text 5")]
+    out = shard_propagation.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 10,
+                                            keep=["doc_id"]).collect()
+    assert len(out) == len(rows)
+    by = defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r["slot"])
+    assert len(by) == 10 and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    homes = defaultdict(set)
+    for r in out:
+        if r["linked"]:
+            homes[r["text_crc32"]].add(r["shard"])
+    assert len(homes) == 40 and np.mean([len(v) == 1 for v in homes.values()]) > 0.8
+
+
+def test_shards_of_one_large_group_and_of_nothing(spark, odd, none):
+    same = spark.createDataFrame([(i, "same") for i in range(100)], "doc_id long, text string")
+    sizes = Counter(r["shard"] for r in shard_propagation.shard_documents(same, 7, keep=["doc_id"]).collect())
+    assert len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) <= 1
+    rows = shard_propagation.shard_documents(odd, 4, keep=["doc_id"]).collect()
+    assert len(rows) == odd.count()
+    assert [r["size"] for r in rows if r["doc_id"] == 1] == [16]
+    assert shard_propagation.shard_documents(none, 4, keep=["doc_id"]).count() == 0
+
+
+def test_quotas_hold_capacity():
+    share = shard_propagation.quotas({0: 10, 1: 10, 2: 10}, {(0, 1): 10, (2, 1): 10, (1, 0): 2}, 12)
+    counts = {0: 10 - 10 * share[0, 1] + 2 * share[1, 0], 1: 10 + 10 * share[0, 1] + 10 * share[2, 1] - 2 * share[1, 0]}
+    assert counts[0] <= 12.6 and counts[1] <= 12.6
+
+
+# ------------------------------------------------------------ URLs
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
+
+
+def test_url_rules_match_brute_force(spark):
+    rng = np.random.default_rng(0)
+    pages = []
+    for i in range(600):
+        site = ["spam", "news", "shop"][rng.integers(3)]
+        pages.append((i, f"HTTP://{site}.Example.org/{['en', 'de'][rng.integers(2)]}/{i}?k={i}", site == "spam"))
+    df = spark.createDataFrame(pages, "page_id long, url string, bad boolean")
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    labelled = df.where("page_id < 400").select(urls.url_tokens(F.col("url"), host, path).alias("tokens"), "bad")
+    rules = urls.mine_rules(labelled)
+    found = {tuple(sorted(r["tokens"])): (r["n"], r["confidence"]) for r in rules.collect()}
+    lists = [(set(r["tokens"]), r["bad"]) for r in labelled.collect()]
+    from itertools import combinations
+    every = {}
+    for k in (1, 2, 3):
+        seen, bad = Counter(), Counter()
+        for t, b in lists:
+            for c in combinations(sorted(t), k):
+                seen[c] += 1
+                bad[c] += b
+        every |= {c: (n, bad[c] / n) for c, n in seen.items() if bad[c] >= 20 and bad[c] / n >= 0.6}
+    minimal = {c: v for c, v in every.items()
+               if not any(set(o) < set(c) and every[o][1] >= v[1] for o in every)}
+    assert found == pytest.approx(minimal) and found
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, rules, RULES).collect()}
+    assert all((v == "block") == pages[i][2] for i, v in got.items())
+
+
+def test_url_parts_and_fixed_rules(spark):
+    cases = [(1, "http://A.example.com/en/x", "a.example.com", "/en/x", "example.com/en/", "block"),
+             (2, "x://www.example.com/en/?q", "www.example.com", "/en/", "www.example.com/en/", "allow"),
+             (3, "http://example.com", "example.com", "", None, "allow"),
+             (4, "http://b.net/es/1#f", "b.net", "/es/1", "net/es/", "block"),
+             (5, None, "", "", None, "allow"), (6, "no scheme", "", "", None, "allow"),
+             (7, "http://bexample.com/en/", "bexample.com", "/en/", "com/", "allow"),
+             (8, "a://b\n.com/x://y", "b\n.com", "/x://y", "com/", "allow")]
+    df = spark.createDataFrame([(c[0], c[1], 1) for c in cases], "page_id long, url string, host int")
+    rules = urls.mine_rules(spark.createDataFrame([], "tokens array<string>, bad boolean"))
+    got = {r["page_id"]: r for r in urls.judge_urls(df, rules, RULES).collect()}
+    for i, _, host, path, rule, verdict in cases:
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict)
+    assert urls.judge_urls(df.limit(0), rules, RULES).count() == 0
+
+
+# ------------------------------------------------------------ Jaccard join
+def components(rows):
+    sets = {d: shingles(t) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            k = len(sets[a] & sets[b])
+            if k and 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize("crowd", [24, 2])
+def test_jaccard_join_matches_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    rng = np.random.default_rng(crowd)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, i = [], 0
+    for size in [1, 3, 5, 6, 7, 8, 9, 10, 12, 14, 20, 35, 60, 120, 260, 500] * 3:
+        base = list(rng.choice(vocabulary, size))
+        for edits in [0, 0, 1, 1, 2, 3, 5, 8]:
+            words = list(base)
+            for _ in range(edits):
+                if words:
+                    k = rng.integers(len(words))
+                    words[k:k + 1] = [] if rng.random() < 0.3 else [str(rng.choice(vocabulary))]
+            rows.append((i, (" ".join(words)).upper() if edits == 1 else "\n ".join(words)))
+            i += 1
+    passage = " ".join(rng.choice(vocabulary, 50))
+    rows += [(i + k, passage + " " + " ".join(rng.choice(vocabulary, 30))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == components(rows)
+
+
+def test_jaccard_join_on_odd_input(odd, none):
+    rows = jaccard_join.jaccard_components(odd).collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        if r["n_shingles"] == 0:
+            assert r["component_id"] == r["doc_id"] and r["component"] is None
+    assert {r["component_id"] for r in rows if r["doc_id"] in (0, None, 7)} == {0}
+    assert jaccard_join.jaccard_components(none).count() == 0
+
+
+def test_pigeonhole_holds_for_every_pair():
+    """Any need-sized choice of the smaller set's signatures meets the larger set."""
+    rng, bands = np.random.default_rng(5), jaccard_join.Bands()
+    for size in [3, 4, 5, 8, 13, 20, 33, 60, 149, 300]:
+        for _ in range(40):
+            pool = np.unique(rng.integers(0, 1 << 63, 3 * size, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+            rng.shuffle(pool)
+            a, rest = pool[:size], pool[size:]
+            drop, add = rng.integers(0, size // 6 + 1), rng.integers(0, size // 4 + 1)
+            b = np.concatenate([a[drop:], rest[:add]])
+            small, large = sorted([a, b], key=len)
+            k = len(np.intersect1d(a, b))
+            if len(small) == 0 or 100 * k < 75 * (len(a) + len(b) - k) or k == len(a) == len(b):
+                continue
+            which = bands.of(len(large)) - bands.of(len(small))
+            role = (jaccard_join.PROBE_OWN, jaccard_join.PROBE_NEXT)[which]
+            probes, spare, direct = jaccard_join.signatures(np.sort(small), bands)
+            index = np.concatenate([s for s, r in jaccard_join.signatures(np.sort(large), bands)[0]
+                                    if r & jaccard_join.INDEX])
+            if direct:
+                continue
+            mine = np.concatenate([s for s, r in probes if r & role])
+            # Even without the signatures it may skip, one is left.
+            assert len(np.intersect1d(mine, index)) > spare[which]
+
+
+def test_connected_components(spark):
+    links = [(i, i + 1) for i in range(1, 20)] + [(30, 31), (31, 29), (50, 50)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 21)}, 29: 29, 30: 29, 31: 29}
+
+
+# ------------------------------------------------------------ chat
+class Rewriting:
+    """Drops all but the last assistant text."""
+
+    def render(self, turns):
+        last = max((i for i, t in enumerate(turns) if t[0] == "assistant"), default=-1)
+        return "".join(f"[{r}]{t if r != 'assistant' or i == last else '...'};" for i, (r, t) in enumerate(turns))
+
+
+def test_chat_round_trip(spark):
+    odd_text = "</s>[INST] a \\<|im_end|> <\\|im_end|> [\\\\/INST] <|im_<|im_start|>"
+    rows = [(1, 0, "system", "s"), (1, 1, "user", odd_text), (1, 2, "assistant", odd_text), (1, 2, "assistant", odd_text),
+            (2, 0, "us\ner%0A", None), (2, 1, None, "x"), (None, 0, "user", ""), (3, 0, "assistant", "é\U0001F600")]
+    rows += [(4, i, "user" if i % 2 else "assistant", f"turn {i}\n") for i in range(50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1))
+    template = chat.MarkedTemplate()
+    pieces = chat.format_chats(df, template)
+    got = {r["conv_id"]: r for r in chat.read_back(pieces, template).collect()}
+    by = defaultdict(list)
+    for c, turn, role, text in rows:
+        by[c].append((turn, role or "", text or ""))
+    for c, turns in by.items():
+        turns.sort()
+        said = "".join(f"{r}\n{t}\n" for _, r, t in turns)
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c]["loss_chars"] == len(loss)
+        assert got[c]["formatted_chars"] == len(template.render([t[1:] for t in turns]))
+    assert chat.read_back(chat.format_chats(df.limit(0), template), template).count() == 0
+
+
+def test_templates_that_rewrite_history_are_detected(spark):
+    assert chat.rewrites_history(Rewriting()) and not chat.rewrites_history(chat.MarkedTemplate())
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"),
+                                (1, 3, "assistant", "d")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(ValueError, match="rewrites history"):
+        chat.format_chats(df, Rewriting())
+    rows = sorted(chat.format_chats(df, Rewriting(), mode="buffer").collect(), key=lambda r: r["pos"])
+    assert "".join(r["piece"] for r in rows) == "[user]a;[assistant]...;[user]c;[assistant]d;"
+
+
+# ------------------------------------------------------------ PII
+def test_base_spans():
+    text = "a@b.co x@y 1.2.3.255 1.2.3.256 4111 1111 1111 1111 4111111111111112 +1 (555) 123-4567 +12"
+    kinds = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.base_spans(text)]
+    assert kinds == [("email", "a@b.co"), ("ip", "1.2.3.255"), ("card", "4111 1111 1111 1111"),
+                     ("phone", "+1 (555) 123-4567")] or ("card", "4111111111111112") not in kinds
+    for kind, regex in (("email", pii.EMAIL), ("ip", pii.IP)):
+        assert all(re.fullmatch(regex, s) for k, s in kinds if k == kind)
+
+
+def test_pii_adds_spans_and_leaves_clean_text(spark, sf_dir, odd, none):
+    docs = table(spark, sf_dir, "documents")
+    model = pii.fit_pii(docs)
+    rows = pii.find_pii(docs, model).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows:
+        spans = [(pii.KINDS.index(s["kind"]), s["start"], s["stop"]) for s in r["base"]]
+        assert spans == pii.base_spans(texts[r["doc_id"]] or "")
+        if not r["base"] and not r["added"]:
+            assert r["redacted"] == (texts[r["doc_id"]] or "")
+    found = pii.find_pii(odd, model).collect()
+    assert len(found) == odd.count() and not any(r["base"] or r["added"] for r in found)
+    assert pii.find_pii(none, pii.fit_pii(none)).count() == 0
+    assert pii.redact("mail a@b.co now", [(0, 5, 11)]) == "mail [EMAIL] now"
+
+
+# ------------------------------------------------------------ mixing
+def test_water_fill_shares_the_excess():
+    assert mixing.water_fill([10, 100, 100], [5, 2, 1], 210) == pytest.approx([30, 120, 60])
+    assert mixing.water_fill([0, 0], [5, 2], 0) == [0, 0]
+
+
+def test_min_cost_flow_of_overlapping_sources():
+    flow = mixing.min_cost_flow({("a",): 10.0, ("a", "b"): 10.0, ("b",): 2.0}, {"a": 12.0, "b": 9.0})
+    into = defaultdict(float)
+    used = defaultdict(float)
+    for (p, s), x in flow.items():
+        into[s] += x
+        used[p] += x
+    assert into["a"] == pytest.approx(12) and into["b"] == pytest.approx(9)
+    assert used["a",] <= 10 + 1e-9 and used["a", "b"] + used["b",] == pytest.approx(21 - used["a",])
+    assert sum(max(0, used[p] - c) for p, c in {("a",): 10, ("a", "b"): 10, ("b",): 2}.items()) == pytest.approx(0)
+
+
+def test_mix_comes_near_targets_and_repeats(spark, odd, none):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(1, 200)), f"s{i % 5}" if i % 7 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("m", F.array("source"))
+    picked, sources = mixing.mix(df, members="m", keep=["doc_id"])
+    got = picked.collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in mixing.mix(df, members="m", keep=["doc_id"])[0].collect())
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+        taken[r["m"][0]] += r["taken"]
+    for s in sources.collect():
+        assert taken[s["source"]] == pytest.approx(s["target"], rel=0.02)
+    odd = odd.withColumn("m", F.array("source"))
+    assert mixing.mix(odd, members="m", keep=["doc_id"])[0].count() == odd.count()
+    assert mixing.mix(odd.limit(0), members="m", keep=["doc_id"])[0].count() == 0
+
+
+# ------------------------------------------------------------ fertility
+def test_base_counts_match_brute_force(spark, sf_dir, odd, none):
+    space = "[\x20\x09-\x0d]+"
+    docs = table(spark, sf_dir, "documents")
+    got = {r["doc_id"]: r for r in fertility.measure(docs, ["doc_id"]).collect()}
+    for d in docs.collect():
+        text, r = d["text"] or "", got[d["doc_id"]]
+        ws = [w for w in re.split(space, text) if w]
+        windows = list(zip(ws, ws[1:], ws[2:]))
+        seen, inside = Counter(windows), set()
+        for i, w in enumerate(windows):
+            if seen[w] > 1:
+                inside |= {i, i + 1, i + 2}
+        lines = [x for x in text.split("\n") if re.sub(space, "", x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            len(ws), sum(map(len, ws)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(inside))
+    rows = fertility.measure(odd, ["doc_id", "lang"]).collect()
+    assert len(rows) == odd.count()
+    stats = fertility.measure(none, ["doc_id", "lang"])
+    assert fertility.judge(stats, fertility.bands(stats, F.col("lang")), F.col("lang")).count() == 0
+
+
+def test_tokens_of_words_equal_the_tokens_of_the_text():
+    t = fertility.WordTokens(fertility.VOCABULARY)
+    ws = "der Straße über naïve 日本語 zebra zebra".encode().split()
+    t.learn(set(ws))
+    assert t.encode(ws).tolist() == t.encoder.encode_ordinary(" " + " ".join(w.decode() for w in ws))
+
+
+def test_bands_reject_outliers_only(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stats = fertility.measure(docs, ["doc_id", "lang"])
+    group = F.coalesce("lang", "script")
+    rows = fertility.judge(stats, fertility.bands(stats, group), group).join(labels, "doc_id").collect()
+    good = [r for r in rows if r["quality"] == 1 and not r["base_failed"]]
+    bad = [r for r in rows if r["quality"] == 0]
+    assert np.mean([r["kept"] for r in good]) > 0.97 and np.mean([r["kept"] for r in bad] or [0]) < 0.6
+
+
+# ------------------------------------------------------------ decontamination
+@pytest.mark.parametrize("block", [400_000, 60])
+def test_containment_matches_brute_force(spark, sf_dir, block):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "one two"), (-4, "one two")], "item_id long, text string")
+    more = spark.createDataFrame([(-1, "One  two"), (-2, None), (-3, "")], "doc_id long, text string")
+    items, docs = items.unionByName(extra), docs.select("doc_id", "text").unionByName(more)
+    got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"])
+           for r in decontam.find_items(docs.withColumn("item", F.lit(1)), items, block_shingles=block).collect()}
+    d = [(r["doc_id"], shingles(r["text"])) for r in docs.collect()]
+    want = {}
+    for i in items.collect():
+        s = shingles(i["text"])
+        for doc_id, t in d:
+            if s and 4 * len(s & t) >= 3 * len(s):
+                want[doc_id, i["item_id"]] = (len(s & t), len(s))
+    assert got == want and (-1, -3) in got
+    assert decontam.find_items(docs.limit(0), items).count() == 0
+    assert decontam.find_items(docs, items.limit(0)).count() == 0

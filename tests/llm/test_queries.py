@@ -1,0 +1,59 @@
+"""The registered queries and the pipeline over the small tables."""
+
+import re
+
+import duckdb
+import pytest
+
+import __spark_entry__ as E
+import corpus_pipeline
+from tessera.llm import queries as Q
+
+TABLES = "documents pages benchmark labels conversations".split()
+OPS = sorted(Q.queries())
+
+
+def test_one_query_per_operator():
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in OPS) == list(range(1, 11))
+    assert set(OPS) | {"pipeline"} <= set(E.queries())
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_matches_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    df = Q.queries()[name](spark, sf_dir)
+    cols = sorted(df.columns)
+    got = sorted(map(repr, (tuple(r[c] for c in cols) for r in df.collect())))
+    res = con.execute(Q.oracle_sql()[name])
+    names = [d[0] for d in res.description]
+    assert sorted(names) == cols
+    want = sorted(map(repr, (tuple(r[names.index(c)] for c in cols) for r in res.fetchall())))
+    assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(set(OPS) - set(Q.oracle_sql()) - {"op2_language"}))
+def test_query_covers_its_table(spark, sf_dir, name):
+    whole = spark.read.parquet(f"{sf_dir}/{'pages' if 'url' in name else 'documents'}.parquet").count()
+    assert Q.queries()[name](spark, sf_dir).count() == whole
+
+
+def test_pipeline_stages(spark, sf_dir, odd, none):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.cut(stage(spark, docs, sf_dir), name)
+        after = docs.count()
+        if name == "sharding":
+            assert {"doc_id", "shard", "slot"} <= set(docs.columns) and after == before
+        else:
+            assert docs.columns == columns
+            assert 0 < after and (after <= before or name == "mixture")
+        before = after
+    clash = odd.withColumnsRenamed({"size": "n_words", "node": "k_doc_id"})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, clash, sf_dir).count() >= 0
+        assert stage(spark, none, sf_dir).count() == 0
+    once = corpus_pipeline.near_duplicates(spark, odd, sf_dir)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in once.collect()) == [(False, i) for i in range(6)]
