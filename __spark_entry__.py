@@ -11,7 +11,9 @@ import importlib
 import importlib.util
 import os
 import sys
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -37,19 +39,18 @@ from tessera import (  # noqa: E402
     index_space,
     predict,
     random_tensor,
+    read_tensor,
     run_epoch,
     validate,
+    write_tensor,
 )
-from tessera.plans import materialize_observed  # noqa: E402
+from tessera.plans import alpha, checkpoint_dir, materialize_observed  # noqa: E402
 from tessera.plans.factorize import q_denominator as denominator_q  # noqa: E402
 from tessera.plans.factorize import q_numerator as numerator_q  # noqa: E402
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
 
-_ensure_checkpoint_dir = W.ensure_checkpoint_dir
-
-
 # ------------------------------------------------------------- queries
 def q_tensor_from_table(spark, d):
     return W.X1(spark, d).cells()
@@ -218,11 +219,10 @@ def q_factor_update(spark, d):
     return W.rounded(factor_update(m, "Z1"), 6)
 
 
-def _epoch_query(make, out: Callable):
+def _epoch_query(make, out: Callable, check: bool = True):
     def q(spark, d):
-        _ensure_checkpoint_dir(spark)
-        m = run_epoch(materialize_observed(make(spark, d)))
-        return out(m)
+        m, keep = make(spark, d), W.has_checkpoint_dir(spark)
+        return out(run_epoch(materialize_observed(m) if keep else m, checkpoint=keep, check=check))
     return q
 
 
@@ -234,7 +234,8 @@ def _xhat_of(name):
 
 
 q_epoch_single = _epoch_query(_x1_model, _xhat_of("X1"))
-q_epoch_p2 = _epoch_query(lambda s, d: _x1_model(s, d, p=2.0), _xhat_of("X1"))
+# X1 may lack cells, so its objective is infinite; the updates are defined all the same.
+q_epoch_p2 = _epoch_query(lambda s, d: _x1_model(s, d, p=2.0), _xhat_of("X1"), check=False)
 q_epoch_coupled = _epoch_query(_coupled_model, _xhat_of("X2"))
 q_epoch_sparse = _epoch_query(
     lambda s, d: CoupledModel(W.sparse_model_tensors(s, d), [Factorization("D", ("U", "V"))]),
@@ -248,11 +249,73 @@ q_epoch_masked = _epoch_query(
 
 
 def q_fit_history(spark, d):
-    _ensure_checkpoint_dir(spark)
-    res = fit(_coupled_model(spark, d), epochs=2)
+    res = fit(_coupled_model(spark, d), epochs=2, checkpoint=W.has_checkpoint_dir(spark))
     return res.history.select("epoch", "factorization", F.round("divergence", 2).alias("divergence"))
 
 
+def _sparse_rank(rank, missing):
+    return _epoch_query(
+        lambda s, d: CoupledModel(W.sparse_model_tensors(s, d, rank), [Factorization("D", ("U", "V"))],
+                                  missing=missing),
+        lambda m: W.rounded(m.tensors["V"], 6))
+
+
+q_epoch_sparse_rank20 = _sparse_rank(20, "zero")
+q_epoch_masked_rank20 = _sparse_rank(20, "masked")
+
+
+def q_factor_update_single(spark, d):
+    m = CoupledModel(W.user_rows_tensors(spark, d), [Factorization("X1", ("Z1",))])
+    return W.rounded(factor_update(m, "Z1"), 6)
+
+
+def q_alpha_coupled(spark, d):
+    m = CoupledModel(W.coupled_model_tensors(spark, d),
+                     [Factorization("X1", ("Z1", "Z2"), 1.0, 2.0), Factorization("X2", ("Z1", "Z3"), 0.5, 0.5)])
+    return W.rounded(alpha(m, "Z1", 1), 4)
+
+
+def q_contract_outer(spark, d):
+    """Nation quantities times brand prices: no shared index, no known size."""
+    a = contract([W.A(spark, d)], ["n"])
+    b = contract([W.B(spark, d)], ["brand"])
+    return W.rounded(contract([a, b], ["n", "brand"]), 2)
+
+
+def q_ew_combine(spark, d):
+    return W.rounded(elementwise(T(W.X1(spark, d)).combine(T(W.Y1(spark, d)), F.greatest)), 4)
+
+
+def q_read_tensor(spark, d):
+    t = read_tensor(spark, f"{d}/events.parquet", ["user_id", "event_type"], value="value",
+                    index_type={"user_id": "LONG", "event_type": "STRING"})
+    return W.rounded(t, 6)
+
+
+def q_write_tensor(spark, d):
+    """The cells that come back from a written tensor, where the session names a shared folder."""
+    x = W.X1(spark, d)
+    if not W.has_checkpoint_dir(spark):
+        return W.rounded(x, 4)
+    path = f"{checkpoint_dir(spark)}/tensor-{uuid.uuid4().hex}"
+    write_tensor(x, path)
+    return W.rounded(read_tensor(spark, path, ["i", "j"], coalesce=False), 4)
+
+
+def _beta_zero_cells(spark, d):
+    """X1 with every third cell stored as 0, against itself shifted by one j: (0, 0) cells occur."""
+    z = F.when((F.col("i") + F.col("j")) % 3 == 0, 0.0).otherwise(F.col("value"))
+    x = W.X1(spark, d)
+    return x.with_df(x.df.select("i", "j", z.alias("value")))
+
+
+def q_beta_div_zero_cells(spark, d):
+    x = _beta_zero_cells(spark, d)
+    rows = [beta_divergence(x, x.map_values(lambda v: v * 2), p, missing="masked").select(
+        F.lit(p).alias("p"), F.round("divergence", 2).alias("divergence")) for p in (0.0, 0.5, 1.0, 1.5, 2.0)]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: supplier-nation × brand sales value, a sparse contraction."""
     return q_contract_binary(spark, SF_SMOKE)
@@ -432,6 +495,52 @@ def _sql_epoch_sparse() -> str:
     return _sql_model_query(W.sql_model_sparse, fs, "zero", 1, final)
 
 
+def _sql_rank20(missing: str) -> str:
+    def make(b):
+        return W.sql_model_sparse(b, 20)
+
+    def final(b, model, epochs):
+        model.epoch()
+        return b.render(f"SELECT k, p, ROUND(value, 6) AS value FROM {model.cur['V']}")
+    return _sql_model_query(make, [("D", ["U", "V"], 1.0, 1.0)], missing, 1, final)
+
+
+def _sql_factor_update_single() -> str:
+    b = W.SqlBuilder()
+    W.sql_model_x1(b)
+    return b.render(
+        "SELECT z.i AS i, z.k AS k, ROUND(z.value * COALESCE(n.num, 0) / (SELECT cj FROM card_x1), 6) AS value "
+        "FROM Z1 z LEFT JOIN (SELECT x.i, SUM(x.value / h.v) AS num FROM X1 x "
+        "JOIN (SELECT i, SUM(value) AS v FROM Z1 GROUP BY i) h ON h.i = x.i GROUP BY x.i) n ON n.i = z.i")
+
+
+def _sql_alpha_coupled() -> str:
+    b = W.SqlBuilder()
+    W.sql_model_coupled(b)
+    parts = []
+    for x, other, p, phi in (("X1", "Z2", 1.0, 2.0), ("X2", "Z3", 0.5, 0.5)):
+        xs = b.contract([b.support(x), "Z1", other], b.indices[x])
+        q = b.join2(x, xs, lambda u, v, p=p: f"{u} * POWER({v}, {-p})")
+        parts.append(b.contract([q, other], ["i", "k"], scale=f"{1.0 / phi}"))
+    union = " UNION ALL ".join(f"SELECT i, k, value FROM {t}" for t in parts)
+    return b.render(f"SELECT i, k, ROUND(SUM(value), 4) AS value FROM ({union}) GROUP BY i, k")
+
+
+def _sql_random_tensor() -> str:
+    return ("WITH c AS (" + W.SQL_TENSORS["X1"][1] + "), m AS (SELECT MAX(i) AS ci, MAX(j) AS cj FROM c) "
+            "SELECT CAST(id % ci + 1 AS INTEGER) AS i, CAST(id // ci + 1 AS INTEGER) AS j, "
+            "ROUND(CAST(('0x' || substr(md5('7:' || id), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE), 5) AS value "
+            "FROM m, generate_series(0, (SELECT ci * cj - 1 FROM m)) g(id)")
+
+
+def _sql_beta_zero_cells() -> str:
+    cells = ("SELECT CASE WHEN (i + j) % 3 = 0 THEN 0.0 ELSE value END AS x FROM ("
+             + W.SQL_TENSORS["X1"][1] + ")")
+    return " UNION ALL ".join(
+        f"SELECT CAST({p} AS DOUBLE) AS p, ROUND(SUM({W.sql_beta('x', '(2 * x)', p)}), 2) AS divergence FROM ({cells})"
+        for p in (0.0, 0.5, 1.0, 1.5, 2.0))
+
+
 def _sql_fit_history() -> str:
     fs = [("X1", ["Z1", "Z2"], 1.0, 1.0), ("X2", ["Z1", "Z3"], 1.0, 1.0)]
 
@@ -514,6 +623,20 @@ def _tensor_sql() -> dict[str, str]:
         "delta": _sql_delta(None),
         "alpha": _sql_delta("0.5"),
         "factor_update": _sql_factor_update(),
+        "factor_update_single": _sql_factor_update_single(),
+        "epoch_sparse_rank20": _sql_rank20("zero"),
+        "epoch_masked_rank20": _sql_rank20("masked"),
+        "alpha_coupled": _sql_alpha_coupled(),
+        "random_tensor": _sql_random_tensor(),
+        "beta_div_zero_cells": _sql_beta_zero_cells(),
+        "contract_outer": (
+            "WITH A AS (" + W.SQL_TENSORS["A"][1] + "), B AS (" + W.SQL_TENSORS["B"][1] + "), "
+            "a1 AS (SELECT n, SUM(value) AS v FROM A GROUP BY n), b1 AS (SELECT brand, SUM(value) AS v FROM B GROUP BY brand) "
+            "SELECT n, brand, ROUND(a1.v * b1.v, 2) AS value FROM a1 CROSS JOIN b1"),
+        "ew_combine": ew("GREATEST(v0, v1)", ["X1", "Y1"], 4),
+        "read_tensor": ("SELECT user_id, event_type, ROUND(SUM(value), 6) AS value FROM events "
+                        "WHERE user_id IS NOT NULL GROUP BY 1, 2"),
+        "write_tensor": "SELECT i, j, ROUND(value, 4) AS value FROM (" + W.SQL_TENSORS["X1"][1] + ")",
         "epoch_single": _sql_model_query(W.sql_model_x1, [("X1", ["Z1", "Z2"], 1.0, 1.0)], "zero", 1,
                                          _sql_xhat_after("X1")),
         "epoch_p2": _sql_model_query(W.sql_model_x1, [("X1", ["Z1", "Z2"], 2.0, 1.0)], "zero", 1,

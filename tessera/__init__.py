@@ -20,6 +20,7 @@ from .plans import (
     CoupledModel,
     Factorization,
     FitResult,
+    alpha,
     delta,
     factor_update,
     fit,
@@ -45,6 +46,7 @@ __all__ = [
     "CoupledModel",
     "Factorization",
     "FitResult",
+    "alpha",
     "S",
     "T",
     "Tensor",

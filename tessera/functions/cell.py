@@ -14,8 +14,9 @@ def beta_cell(x: Column, mu: Column, p: float) -> Column:
 
     p=0: ½(x−mu)²;  p=1: x·ln(x/mu) − x + mu;  p=2: x/mu − ln(x/mu) − 1;
     otherwise x^(2−p)/((1−p)(2−p)) − x·mu^(1−p)/(1−p) + mu^(2−p)/(2−p).
-    Zeros follow the limits: 0·ln 0 = 0, so d_1(0 | mu) = mu, and a zero
-    ``mu`` under a positive ``x`` is +∞ for p ≥ 1.
+    Zeros follow the limits: 0·ln 0 = 0, so d_1(0 | mu) = mu; a zero ``mu``
+    under a positive ``x`` is +∞ for p ≥ 1, and so is a zero ``x`` under a
+    positive ``mu`` for p ≥ 2; d(0 | 0) is 0 for every p.
     """
     p = float(p)
     if p == 0.0:
@@ -28,11 +29,13 @@ def beta_cell(x: Column, mu: Column, p: float) -> Column:
         )
     if p == 2.0:
         return (
-            F.when((x <= 0) | (mu <= 0), _inf())
+            F.when((x == 0) & (mu == 0), F.lit(0.0))
+            .when((x <= 0) | (mu <= 0), _inf())
             .otherwise(F.try_divide(x, mu) - F.log(F.try_divide(x, mu)) - F.lit(1.0))
         )
     a, b = 1.0 - p, 2.0 - p
-    return (
+    zero = F.pow(mu, F.lit(b)) / F.lit(b) if b > 0 else _inf()
+    return F.when((x == 0) & (mu == 0), F.lit(0.0)).when(x == 0, zero).otherwise(
         F.pow(x, F.lit(b)) / F.lit(a * b)
         - x * F.pow(mu, F.lit(a)) / F.lit(a)
         + F.pow(mu, F.lit(b)) / F.lit(b)

@@ -82,7 +82,7 @@ def _sum_out(op: _Operand, keep: Sequence[str]) -> _Operand:
     if keep:
         df = op.df.groupBy(*keep).agg(F.sum(VALUE).alias(VALUE))
     else:
-        df = op.df.agg(F.sum(VALUE).alias(VALUE))
+        df = op.df.agg(F.coalesce(F.sum(VALUE), F.lit(0.0)).alias(VALUE))  # an empty total is 0
     return _Operand(df, keep, {i: op.cards[i] for i in keep if i in op.cards})
 
 
@@ -95,14 +95,13 @@ def _join(a: _Operand, b: _Operand, salt: int | None, threshold: int) -> _Operan
     product = (F.col(_LEFT) * F.col(_RIGHT)).alias(VALUE)
 
     if not shared:
-        # Operands without a common index meet only when one side is a
-        # one-row total or has a proven small bound; that side is broadcast,
-        # so the product is formed where the other side's rows already are.
+        # Operands without a common index make an outer product, which the
+        # output asks for.  A one-row total or a side with a proven small bound
+        # is broadcast, so the product is formed where the other side's rows
+        # already are; without such a side Spark pairs the partitions.
         if a.indices and b.indices and not (_small(a, threshold) or _small(b, threshold)):
-            raise ValueError(
-                f"operands {a.indices} and {b.indices} share no index and neither has a "
-                "bounded size: their outer product is refused"
-            )
+            joined = left.crossJoin(right)
+            return _Operand(joined.select(*indices, product), indices, cards)
         swap = not a.indices or (b.indices and _small(a, threshold) and not _small(b, threshold))
         if swap:
             left, right = right, left

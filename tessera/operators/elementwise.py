@@ -20,13 +20,16 @@ from ..functions.expr import Expr, compile_expr, render, wrap
 from ..tensor import VALUE, Tensor, align
 
 
-def guard(value: Column, on_invalid: str, what: str) -> Column:
-    """NULL / NaN policy for a computed value, evaluated lazily per row."""
+def guard(value: Column, on_invalid: str, what: str, finite: bool = False) -> Column:
+    """NULL / NaN policy for a computed value, evaluated lazily per row.
+    With ``finite``, infinity is invalid as well."""
     if on_invalid == "keep":
         return value
     if on_invalid == "raise":
         bad = value.isNull() | F.isnan(value)
-        return F.when(bad, F.raise_error(F.lit(f"invalid (NULL or NaN) value in {what}"))).otherwise(value)
+        if finite:
+            bad = bad | (F.abs(value) == float("inf"))
+        return F.when(bad, F.raise_error(F.lit(f"invalid value (NULL, NaN or infinite) in {what}"))).otherwise(value)
     raise ValueError(f"on_invalid must be 'raise' or 'keep', not {on_invalid!r}")
 
 

@@ -20,10 +20,9 @@ cell throughout.
 ``sampled_gradient`` reuses the same pass to emit the numerator and
 denominator contributions of a multiplicative update.
 
-Ranks up to ``MAX_UNROLLED_RANK`` positions are unrolled into one column per
-position (conditional sums per key, then sums of products per cell), so the
-per-cell arithmetic stays inside whole-stage codegen; larger ranks use
-array columns and higher-order functions.
+The plan is the same for every rank: vectors are array columns, so neither
+the plan nor the optimizer's work grows with the rank.  A rank coordinate
+outside ``1..card`` raises inside the plan; it is never dropped.
 
 Other shapes fall back to the join/aggregate contraction from the support
 of ``x`` followed by a one-to-one join with ``x``.
@@ -42,8 +41,6 @@ from .contract import broadcast_threshold, contract
 
 _X, _HAT, _SALT, _BASE = "__x", "__xhat", "__salt", "__base"
 
-MAX_UNROLLED_RANK = 64
-
 
 def _rank_indices(x: Tensor, factors: Sequence[Tensor]) -> list[str] | None:
     rank: list[str] = []
@@ -77,12 +74,14 @@ def rank_vectors(f: Tensor, rank: Sequence[str], cards: dict[str, int]) -> DataF
     """
     own = [i for i in f.indices if i not in rank]
     lin, stride = _rank_position(rank, cards)
-    entries = F.map_from_entries(F.collect_list(F.struct(lin.alias("p"), F.col(VALUE).alias("v"))))
-    grouped = f.df.groupBy(*own).agg(entries.alias("__m")) if own else f.df.agg(entries.alias("__m"))
-    dense = F.transform(
+    cells = F.sort_array(F.collect_list(F.struct(lin.alias("p"), F.col(VALUE).alias("v")))).alias("__c")
+    grouped = f.df.groupBy(*own).agg(cells) if own else f.df.agg(cells)
+    # All positions stored: the sorted values are the vector.  Else look them up.
+    sparse = F.transform(
         F.sequence(F.lit(0).cast("long"), F.lit(stride - 1).cast("long")),
-        lambda p: F.coalesce(F.try_element_at(F.col("__m"), p), F.lit(0.0)),
+        lambda p: F.coalesce(F.try_element_at(F.map_from_entries(F.col("__c")), p), F.lit(0.0)),
     )
+    dense = F.when(F.size("__c") == stride, F.transform("__c", lambda c: c["v"])).otherwise(sparse)
     return grouped.select(*own, dense.alias("__vec"))
 
 
@@ -90,22 +89,13 @@ def _rank_position(rank: Sequence[str], cards: dict[str, int]) -> tuple[Column,
     lin = F.lit(0).cast("long")
     stride = 1
     for r in rank:
-        lin = lin + (F.col(r).cast("long") - 1) * F.lit(stride)
+        at = F.when(F.col(r).between(1, cards[r]), F.col(r).cast("long")).otherwise(
+            F.raise_error(F.lit(f"coordinate of {r} outside 1..{cards[r]}")).cast("long"))
+        lin = lin + (at - 1) * F.lit(stride)
         stride *= cards[r]
     return lin, stride
 
 
-def rank_columns(f: Tensor, rank: Sequence[str], cards: dict[str, int], prefix: str) -> DataFrame:
-    """One row per key of ``f`` with one column per rank position (0 if absent)."""
-    own = [i for i in f.indices if i not in rank]
-    lin, length = _rank_position(rank, cards)
-    sums = [
-        F.coalesce(F.sum(F.when(lin == F.lit(p), F.col(VALUE))), F.lit(0.0)).alias(f"{prefix}{p}")
-        for p in range(length)
-    ]
-    return f.df.groupBy(*own).agg(*sums) if own else f.df.agg(*sums)
-
-
 def _join_side(df: DataFrame, x: Tensor, v: DataFrame, own: list[str], small: bool,
                salt: int | None) -> DataFrame:
     if not own:
@@ -142,23 +132,6 @@ def _join_factors(
     return df, cards
 
 
-def _join_columns(
-    x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None
-) -> tuple[DataFrame, list[list[Column]], dict[str, int]]:
-    """``x`` joined to the unrolled rank columns of every factor."""
-    df, cards = _join_factors(x, factors, rank, salt,
-                              lambda f, n, c: rank_columns(f, rank, c, f"__c{n}_"))
-    length = math.prod(cards.values())
-    return df, [[F.col(f"__c{n}_{p}") for p in range(length)] for n in range(len(factors))], cards
-
-
-def _unrolled_products(cols: Sequence[list[Column]]) -> list[Column]:
-    out = list(cols[0])
-    for c in cols[1:]:
-        out = [a * b for a, b in zip(out, c)]
-    return out
-
-
 def _join_vectors(
     x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None
 ) -> tuple[DataFrame, list[Column], dict[str, int]]:
@@ -201,60 +174,12 @@ def sampled_contract(
         )
         df = joined.select(*x.indices, combine(F.col(_X), F.col(_HAT)).alias(VALUE))
         return Tensor(df, x.indices, x.cards)
-    if _rank_length(factors, rank) <= MAX_UNROLLED_RANK:
-        df, cols, _ = _join_columns(x, factors, rank, salt)
-        hat = _sum(_unrolled_products(cols))
-    else:
-        df, vecs, _ = _join_vectors(x, factors, rank, salt)
-        hat = _dot(vecs)
-    out = df.select(*x.indices, combine(F.col(_X), hat).alias(VALUE))
+    df, vecs, _ = _join_vectors(x, factors, rank, salt)
+    rows = df.select(*x.indices, F.col(_X), _dot(vecs).alias(_HAT))
+    out = rows.select(*x.indices, combine(F.col(_X), F.col(_HAT)).alias(VALUE))
     return Tensor(out, x.indices, x.cards)
 
 
-def _rank_length(factors: Sequence[Tensor], rank: Sequence[str]) -> int:
-    return math.prod(next(f.cards[r] for f in factors if r in f.cards) for r in rank)
-
-
-def _sum(cols: Sequence[Column]) -> Column:
-    out = cols[0]
-    for c in cols[1:]:
-        out = out + c
-    return out
-
-
-def sampled_gradient_columns(
-    x: Tensor,
-    factors: Sequence[Tensor],
-    target: int,
-    outputs: dict[str, Callable[[Column, Column], Column]],
-    salt: int | None = None,
-) -> tuple[DataFrame, list[str], int]:
-    """Like ``sampled_gradient`` but one row per stored cell of ``x``.
-
-    Returns ``(df, own, length)``: ``df`` has the non-rank indices ``own``
-    of ``Z_a`` and a column ``{name}{p}`` per output and rank position
-    ``p < length``.  Summing those columns per key of ``own`` gives the
-    factor-shaped sums without multiplying rows by the rank.  Only for
-    ranks up to ``MAX_UNROLLED_RANK`` positions.
-    """
-    rank = rank_vector_model(x, factors)
-    if rank is None or _rank_length(factors, rank) > MAX_UNROLLED_RANK:
-        raise ValueError("column layout needs a rank-vector model with a small rank")
-    own_a = [i for i in factors[target].indices if i not in rank]
-    df, cols, _ = _join_columns(x, factors, rank, salt)
-    length = len(cols[0])
-    others = [c for n, c in enumerate(cols) if n != target]
-    base = _unrolled_products(others) if others else [F.lit(1.0)] * length
-    rows = df.select(*own_a, F.col(_X), _sum(_unrolled_products(cols)).alias(_HAT),
-                     *[b.alias(f"{_BASE}{p}") for p, b in enumerate(base)])
-    names = list(outputs)
-    qs = rows.select(*own_a, *[F.col(f"{_BASE}{p}") for p in range(length)],
-                     *[outputs[n](F.col(_X), F.col(_HAT)).alias(f"__q_{n}") for n in names])
-    out = qs.select(*own_a, *[(F.col(f"{_BASE}{p}") * F.col(f"__q_{n}")).alias(f"{n}{p}")
-                              for n in names for p in range(length)])
-    return out, own_a, length
-
-
 def sampled_gradient(
     x: Tensor,
     factors: Sequence[Tensor],
@@ -271,25 +196,14 @@ def sampled_gradient(
     ``q`` come from the single pass that joins each cell to the rank
     vectors, so no other join is needed.  The rank is unrolled with
     ``posexplode`` and the rows are left unreduced for the caller's
-    aggregate, whose map-side partial sums collapse them to at most one row
-    per cell of ``Z_a`` and task before the shuffle.
+    aggregate, whose partial sums collapse them to at most one row per cell
+    of ``Z_a`` and task.
     """
     rank = rank_vector_model(x, factors)
     if rank is None:
         raise ValueError("factors do not share a rank index covering the model")
     own_a = [i for i in factors[target].indices if i not in rank]
     names = list(outputs)
-    if _rank_length(factors, rank) <= MAX_UNROLLED_RANK:
-        wide, _, length = sampled_gradient_columns(x, factors, target, outputs, salt)
-        entries = F.array(*[
-            F.struct(F.lit(p).alias("__pos"), *[F.col(f"{n}{p}").alias(n) for n in names])
-            for p in range(length)
-        ])
-        exploded = wide.select(*own_a, F.explode(entries).alias("__e"))
-        exploded = exploded.select(*own_a, F.col("__e.__pos").alias("__pos"),
-                                   *[F.col("__e")[n].alias(n) for n in names])
-        cards = {r: next(f.cards[r] for f in factors if r in f.cards) for r in rank}
-        return _decode_rank(exploded, own_a, rank, cards, names)
     df, vecs, cards = _join_vectors(x, factors, rank, salt)
     length = math.prod(cards.values())
     others = [v for n, v in enumerate(vecs) if n != target]

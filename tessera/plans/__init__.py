@@ -4,6 +4,7 @@ from .factorize import (
     CoupledModel,
     Factorization,
     FitResult,
+    alpha,
     delta,
     factor_update,
     factorization_divergence,
@@ -21,6 +22,7 @@ __all__ = [
     "CoupledModel",
     "Factorization",
     "FitResult",
+    "alpha",
     "checkpoint_dir",
     "cut_lineage",
     "delta",

@@ -45,12 +45,10 @@ from ..functions.expr import T
 from ..operators.contract import broadcast_threshold, contract
 from ..operators.divergence import beta_divergence
 from ..operators.elementwise import elementwise, guard
-from ..operators import sampled as _sampled
 from ..operators.sampled import (
     rank_vector_model,
     sampled_contract,
     sampled_gradient,
-    sampled_gradient_columns,
 )
 from ..tensor import VALUE, Tensor
 
@@ -119,6 +117,18 @@ class CoupledModel:
 
 
 # --------------------------------------------------------------- pieces
+def _over_model(xv: Column, hat: Column, p: float) -> Column:
+    """``x · x̂^(−p)``, and 0 where the model is 0: there every product of the
+    factors is 0, so whatever the term is multiplied with (0 · x/0) is 0 too."""
+    return F.when(hat == 0, F.lit(0.0)).otherwise(guard(xv * F.pow(hat, F.lit(-float(p))), "raise", "X / X̂^p", finite=True))
+
+
+def _model_power(hat: Column, p: float) -> Column:
+    """``x̂^(1−p)``, by the same rule for p > 1."""
+    power = F.pow(hat, F.lit(1.0 - float(p)))
+    return F.when(hat == 0, F.lit(0.0)).otherwise(power) if p > 1 else power
+
+
 def _observed_only(model: CoupledModel, f: Factorization) -> list[str]:
     """Indices of the observation that no factor carries."""
     latent_idx = {i for b in f.latents for i in model.tensors[b].indices}
@@ -141,19 +151,15 @@ def q_numerator(model: CoupledModel, f: Factorization) -> Tensor:
     """``X ∘ X̂^(−p)`` on the support of ``X`` (zero wherever ``X`` is)."""
     x = model.tensors[f.observed]
     zs = [model.tensors[b] for b in f.latents]
-    p = F.lit(-float(f.p))
-    return sampled_contract(
-        x, zs, lambda xv, hat: guard(xv * F.pow(hat, p), "raise", "X / X̂^p"), salt=model.salt
-    )
+    return sampled_contract(x, zs, lambda xv, hat: _over_model(xv, hat, f.p), salt=model.salt)
 
 
 def q_denominator(model: CoupledModel, f: Factorization) -> Tensor:
     """``X̂^(1−p)``: on the support of ``X`` when masked, else on its full grid."""
-    e = F.lit(1.0 - float(f.p))
     if model.missing == "masked":
         x = model.tensors[f.observed]
         zs = [model.tensors[b] for b in f.latents]
-        return sampled_contract(x, zs, lambda xv, hat: F.pow(hat, e), salt=model.salt)
+        return sampled_contract(x, zs, lambda xv, hat: _model_power(hat, f.p), salt=model.salt)
     return elementwise(T(predict(model, f, on="full")).pow(1.0 - f.p))
 
 
@@ -234,9 +240,9 @@ def _fused_parts(model: CoupledModel, f: Factorization, a: str, types, w) -> lis
     idx = list(za.indices)
     none = F.lit(None).cast("double")
     p = float(f.p)
-    outputs = {_NUM: lambda xv, hat: guard(xv * F.pow(hat, F.lit(-p)), "raise", "X / X̂^p")}
+    outputs = {_NUM: lambda xv, hat: _over_model(xv, hat, p)}
     if model.missing == "masked":
-        outputs[_DEN] = lambda xv, hat: F.pow(hat, F.lit(1.0 - p))
+        outputs[_DEN] = lambda xv, hat: _model_power(hat, p)
     rows = sampled_gradient(x, zs, list(f.latents).index(a), outputs, salt=model.salt)
     keys = [F.col(i).cast(types[i]).alias(i) for i in idx]
     den = F.col(_DEN) * w if _DEN in outputs else none
@@ -248,140 +254,15 @@ def _fused_parts(model: CoupledModel, f: Factorization, a: str, types, w) -> lis
     return pieces
 
 
-def _rank_layout(model: CoupledModel, a: str) -> tuple[list[str], list[str], dict[str, int]] | None:
-    """(own, rank, cards) of ``Z_a`` when every factorization with it is a
-    rank-vector model over the same rank indices, else None."""
-    za = model.tensors[a]
-    layouts = set()
-    for f in model.containing(a):
-        rank = rank_vector_model(model.tensors[f.observed], [model.tensors[b] for b in f.latents])
-        if rank is None:
-            return None
-        layouts.add(tuple(rank))
-    if len(layouts) != 1:
-        return None
-    rank = [r for r in next(iter(layouts))]
-    if any(r not in za.indices for r in rank):
-        return None
-    cards = {r: za.cards[r] for r in rank}
-    if math.prod(cards.values()) > _sampled.MAX_UNROLLED_RANK:
-        return None
-    return [i for i in za.indices if i not in rank], rank, cards
-
-
-def _positions(t: DataFrame, keys: list[str], rank: list[str], cards: dict[str, int],
-               value: Column, prefix: str, fill_zero: bool) -> DataFrame:
-    """Pivot the rank of a factor-shaped table into one column per position."""
-    lin, length = F.lit(0).cast("long"), 1
-    for r in rank:
-        lin = lin + (F.col(r).cast("long") - 1) * F.lit(length)
-        length *= cards[r]
-    cols = []
-    for p in range(length):
-        c = F.sum(F.when(lin == F.lit(p), value))
-        cols.append((F.coalesce(c, F.lit(0.0)) if fill_zero else c).alias(f"{prefix}{p}"))
-    return t.groupBy(*keys).agg(*cols) if keys else t.agg(*cols)
-
-
-def _column_update(model: CoupledModel, a: str) -> Tensor | None:
-    """The factor update with the rank unrolled into columns (small ranks).
-
-    The factor's own cells, and every stored cell of every observation
-    (one row each, with one numerator / denominator column per rank
-    position), are grouped once by the factor's non-rank indices; the
-    rank is unrolled back into cells only after that aggregate, so the
-    shuffle carries no per-rank row multiplication.  Denominators that do
-    not come from the observations (``p=1`` with zeros for unstored
-    cells, or the full-grid model for other ``p``) are small tables joined
-    after the aggregate.
-    """
-    layout = _rank_layout(model, a)
-    if layout is None:
-        return None
-    own, rank, cards = layout
-    za = model.tensors[a]
-    types = {f.name: f.dataType for f in za.df.schema.fields}
-    length = math.prod(cards.values())
-    zc, nc, dc = "__zc", "__nc", "__dc"
-    none = F.lit(None).cast("double")
-
-    def shaped(df: DataFrame, z=None, n=None, d=None) -> DataFrame:
-        cols = [F.col(i).cast(types[i]).alias(i) for i in own]
-        for prefix, src in ((zc, z), (nc, n), (dc, d)):
-            cols += [(F.col(f"{src}{p}") if src else none).alias(f"{prefix}{p}") for p in range(length)]
-        return df.select(*cols)
-
-    pieces = [shaped(_positions(za.df, own, rank, cards, F.col(VALUE), "__v", False), z="__v")]
-    extra_dens: list[tuple[DataFrame, list[str]]] = []
-    for f in model.containing(a):
-        x = model.tensors[f.observed]
-        zs = [model.tensors[b] for b in f.latents]
-        w, p_ = 1.0 / f.phi, float(f.p)
-        outputs = {"__n": lambda xv, hat, p_=p_: guard(xv * F.pow(hat, F.lit(-p_)), "raise", "X / X̂^p")}
-        if model.missing == "masked":
-            outputs["__d"] = lambda xv, hat, p_=p_: F.pow(hat, F.lit(1.0 - p_))
-        g, _, _ = sampled_gradient_columns(x, zs, list(f.latents).index(a), outputs, salt=model.salt)
-        g = g.select(*own, *[(F.col(c) * F.lit(w)).alias(c) for c in g.columns if c not in own])
-        pieces.append(shaped(g, n="__n", d="__d" if "__d" in outputs else None))
-        if model.missing != "masked":
-            den = delta(model, f, a, 2)
-            keys = [i for i in own if i in den.indices]
-            table = _positions(den.df, keys, rank, cards, F.col(VALUE) * F.lit(w), "__e", True)
-            extra_dens.append((table, keys))
-
-    union = pieces[0]
-    for piece in pieces[1:]:
-        union = union.unionByName(piece)
-    sums = [F.sum(f"{prefix}{p}").alias(f"{prefix}{p}") for prefix in (zc, nc, dc) for p in range(length)]
-    agg = union.groupBy(*own).agg(*sums) if own else union.agg(*sums)
-    for n, (table, keys) in enumerate(extra_dens):
-        renamed = table.select(*keys, *[F.col(f"__e{p}").alias(f"__e{n}_{p}") for p in range(length)])
-        bound = math.prod(za.cards.get(i, 0) for i in keys) * (16 + 8 * (len(keys) + length))
-        if not keys:
-            agg = agg.crossJoin(F.broadcast(renamed))  # one row
-        else:
-            side = F.broadcast(renamed) if all(i in za.cards for i in keys) and \
-                bound <= broadcast_threshold(renamed) else renamed
-            agg = agg.join(side, keys, "left")
-    entries = []
-    for p in range(length):
-        z, num = F.col(f"{zc}{p}"), F.coalesce(F.col(f"{nc}{p}"), F.lit(0.0))
-        den_parts = [F.col(f"{dc}{p}")] + [F.col(f"__e{n}_{p}") for n in range(len(extra_dens))]
-        den = F.coalesce(*den_parts) if len(den_parts) == 1 else _sum_nullable(den_parts)
-        new = F.when(den > 0, z * num / den).otherwise(z)
-        entries.append(F.struct(F.lit(p).alias("__pos"), new.alias(VALUE)))
-    cells = agg.select(*own, F.explode(F.array(*entries)).alias("__e"))
-    cells = cells.select(*own, F.col("__e.__pos").alias("__pos"), F.col("__e")[VALUE].alias(VALUE))
-    coords, stride = [], 1
-    for r in rank:
-        q = F.expr(f"CAST(__pos AS BIGINT) div {stride}")
-        coords.append((F.pmod(q, F.lit(cards[r])) + 1).cast(types[r]).alias(r))
-        stride *= cards[r]
-    df = cells.filter(F.col(VALUE).isNotNull()).select(*own, *coords, VALUE)
-    return Tensor(df.select(*za.indices, VALUE), za.indices, za.cards)
-
-
-def _sum_nullable(cols: list[Column]) -> Column:
-    """Sum treating NULL as absent; NULL only if every term is NULL."""
-    total = F.coalesce(cols[0], F.lit(0.0))
-    for c in cols[1:]:
-        total = total + F.coalesce(c, F.lit(0.0))
-    anyset = cols[0].isNotNull()
-    for c in cols[1:]:
-        anyset = anyset | c.isNotNull()
-    return F.when(anyset, total)
-
-
-def factor_update(model: CoupledModel, a: str) -> Tensor:
+def factor_update(model: CoupledModel, a: str, on_invalid: str = "raise") -> Tensor:
     """``Z_a ∘ (Σ_v phi_v⁻¹ num_v) / (Σ_v phi_v⁻¹ den_v)`` as one aggregate.
 
     The factor's cells, all numerators and all denominators are unioned
     and grouped by the factor's indices once.  A cell with no denominator
-    (no observation touches it, possible when masked) keeps its value.
+    (no observation touches it, possible when masked) keeps its value.  A
+    new value that is NULL, NaN or infinite raises unless ``on_invalid`` is
+    ``"keep"``.
     """
-    fast = _column_update(model, a)
-    if fast is not None:
-        return fast
     za = model.tensors[a]
     idx = list(za.indices)
     types = {f.name: f.dataType for f in za.df.schema.fields}
@@ -409,10 +290,26 @@ def factor_update(model: CoupledModel, a: str) -> Tensor:
     )
     z, num, den = F.col(_Z), F.coalesce(F.col(_NUM), F.lit(0.0)), F.col(_DEN)
     new = F.when(den > 0, z * num / den).otherwise(z)
+    new = guard(new, on_invalid, f"the update of {a}", finite=True)
     df = agg.filter(z.isNotNull()).select(*idx, new.alias(VALUE))
     return Tensor(df, za.indices, za.cards)
 
 
+def alpha(model: CoupledModel, a: str, which: int = 1) -> Tensor:
+    """``Σ_v phi_v⁻¹ delta_v``: numerator (1) or denominator (2) of the update
+    of ``Z_a`` over all observations it takes part in, on its own cells."""
+    za = model.tensors[a]
+    idx = list(za.indices)
+    types = {f.name: f.dataType for f in za.df.schema.fields}
+    union = None
+    for f in model.containing(a):
+        part = _expand(delta(model, f, a, which), za)
+        piece = part.select(*[F.col(i).cast(types[i]).alias(i) for i in idx],
+                            (F.col(VALUE) / F.lit(float(f.phi))).alias(VALUE))
+        union = piece if union is None else union.unionByName(piece)
+    return Tensor(union.groupBy(*idx).agg(F.sum(VALUE).alias(VALUE)), za.indices, za.cards)
+
+
 # ------------------------------------------------------------ objective
 def factorization_divergence(model: CoupledModel, f: Factorization) -> DataFrame:
     """``D_v = Σ d_p(X_v | X̂_v)`` as a one-row DataFrame (``divergence``)."""
@@ -437,9 +334,15 @@ def factorization_divergence(model: CoupledModel, f: Factorization) -> DataFrame
 
 def model_divergence(model: CoupledModel) -> DataFrame:
     """One row per factorization: ``(factorization, p, phi, divergence)``."""
+    return _numbered_divergence(model).drop("n")
+
+
+def _numbered_divergence(model: CoupledModel) -> DataFrame:
+    """With the place ``n`` of the factorization: several may share an observation."""
     rows = None
-    for f in model.factorizations:
+    for n, f in enumerate(model.factorizations):
         d = factorization_divergence(model, f).select(
+            F.lit(n).alias("n"),
             F.lit(f.observed).alias("factorization"),
             F.lit(float(f.p)).alias("p"),
             F.lit(float(f.phi)).alias("phi"),
@@ -457,10 +360,16 @@ class FitResult:
     objective: list[float]
 
 
-def run_epoch(model: CoupledModel, checkpoint: bool = True) -> CoupledModel:
-    """Update every latent factor once, in order of first appearance."""
+def run_epoch(model: CoupledModel, checkpoint: bool = True, on_invalid: str = "raise",
+              check: bool = True) -> CoupledModel:
+    """Update every latent factor once, in order of first appearance.
+
+    ``check`` refuses models whose objective is infinite (see ``fit``, which
+    checks once for all its epochs)."""
+    if check:
+        _check_finite_objective(model)
     for a in model.latent_order():
-        new = factor_update(model, a)
+        new = factor_update(model, a, on_invalid)
         model = model.with_tensors(**{a: new.checkpoint() if checkpoint else new})
     return model
 
@@ -497,6 +406,7 @@ def fit(
     tol: float | None = None,
     checkpoint: bool = True,
     monitor: bool = True,
+    on_invalid: str = "raise",
 ) -> FitResult:
     """Run ``epochs`` rounds of updates; record the divergence after each.
 
@@ -513,14 +423,14 @@ def fit(
     rows: list[tuple[int, str, float]] = []
     objective: list[float] = []
     for epoch in range(1, epochs + 1):
-        model = run_epoch(model, checkpoint)
+        model = run_epoch(model, checkpoint, on_invalid, check=False)
         if not (monitor or tol):
             continue
-        divs = {r["factorization"]: r["divergence"] for r in model_divergence(model).collect()}
+        divs = {r["n"]: float(r["divergence"]) for r in _numbered_divergence(model).collect()}
         j = 0.0
-        for f in model.factorizations:
-            rows.append((epoch, f.observed, float(divs[f.observed])))
-            j += divs[f.observed] / f.phi
+        for n, f in enumerate(model.factorizations):
+            rows.append((epoch, f.observed, divs[n]))
+            j += divs[n] / f.phi
         if objective and j > objective[-1] * (1 + 1e-9) + 1e-12:
             warnings.warn(f"objective rose from {objective[-1]} to {j} at epoch {epoch}")
         objective.append(j)

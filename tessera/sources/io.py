@@ -21,8 +21,9 @@ def read_tensor(
     indices: Sequence[str],
     fmt: str = "parquet",
     cards: Mapping[str, int] | None = None,
-    index_type: str = "INT",
+    index_type: str | Mapping[str, str] = "INT",
     coalesce: bool = True,
+    value: str = VALUE,
 ) -> Tensor:
     """Read a tensor with a declared schema (never inferred).
 
@@ -31,17 +32,21 @@ def read_tensor(
     index and value columns are scanned.  With ``coalesce`` (the default),
     duplicate coordinates are summed so each cell is stored once; pass
     ``coalesce=False`` only for files known to be unique per cell.  Known
-    ``cards`` turn into a range filter pushed down to the scan.
+    ``cards`` turn into a range filter on the stored columns, before any
+    cast, so that it is pushed down to the scan.  ``index_type`` is one type
+    or one per index; ``value`` is the column that holds the values.
     """
-    ddl = tensor_ddl(indices, index_type)
+    kinds = {i: index_type if isinstance(index_type, str) else index_type[i] for i in indices}
     if fmt == "csv":
+        ddl = ", ".join([*(f"{i} {kinds[i]}" for i in indices), f"{value} DOUBLE"])
         df = spark.read.schema(ddl).option("header", True).csv(path)
     elif fmt == "parquet":
-        df = spark.read.parquet(path).select(
-            *[F.col(i).cast(index_type) for i in indices], F.col(VALUE).cast("double")
-        )
+        df = spark.read.parquet(path)
     else:
         raise ValueError(f"unsupported format {fmt!r}; use 'csv' or 'parquet'")
+    for i in cards or {}:
+        df = df.where(F.col(i).between(1, cards[i]))
+    df = df.select(*[F.col(i).cast(kinds[i]).alias(i) for i in indices], F.col(value).cast("double").alias(VALUE))
     t = Tensor(df, tuple(indices))
     if coalesce:
         t = coalesce_cells(t)

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..tensor import VALUE, Tensor
 
 # Random values are drawn from the low 53 bits of a 64-bit hash of (seed, position).
-_MANTISSA = 2**53
 
 
 def delinearize(
@@ -72,11 +71,13 @@ def random_tensor(
 ) -> Tensor:
     """A dense tensor with uniform [0, 1) values rounded to 5 decimals.
 
-    Each value is a hash of ``(seed, linear position)``, so the result does
-    not depend on how the range is partitioned (``F.rand`` would).
+    Each value is the first 13 hexadecimal digits of the MD5 of
+    ``seed:linear position``, so the result does not depend on how the range
+    is partitioned (``F.rand`` would), and any engine can compute it.
     """
     indices = list(indices)
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(_MANTISSA)) / F.lit(float(_MANTISSA))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary"))
+    unit = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(16 ** 13))
     df = _space(spark, indices, cards, num_partitions).select(
         *delinearize("id", indices, cards, base), F.round(unit, 5).alias(VALUE)
     )

@@ -6,7 +6,16 @@ import numpy as np
 import pytest
 
 from helpers import from_rows, to_dict
-from tessera import CoupledModel, Factorization, contract, delta, factor_update, fit, run_epoch
+from tessera import (
+    CoupledModel,
+    Factorization,
+    contract,
+    delta,
+    factor_update,
+    fit,
+    random_tensor,
+    run_epoch,
+)
 from tessera.plans import materialize_observed
 
 I, J, K, R = 4, 5, 3, 3
@@ -152,10 +161,7 @@ def test_factors_are_checkpointed(spark):
 
 
 @pytest.mark.parametrize("missing", ["zero", "masked"])
-def test_array_path_matches_numpy(spark, monkeypatch, missing):
-    import tessera.operators.sampled as sampled
-
-    monkeypatch.setattr(sampled, "MAX_UNROLLED_RANK", 0)  # force array columns
+def test_sparse_coupled_epoch_matches_numpy(spark, missing):
     model, xs, zs, np_fs = build(spark, missing, 1.0, phi2=2.0, sparse=True)
     m = run_epoch(materialize_observed(model))
     want = mu_numpy(xs, zs, np_fs, 1, missing)
@@ -210,3 +216,80 @@ def test_updates_without_broadcast_match(spark):
         assert "BroadcastHashJoin" not in upd
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("rank", [4, 20, 64, 100])
+@pytest.mark.parametrize("missing", ["zero", "masked"])
+def test_factor_update_at_any_rank(spark, rank, missing):
+    rng = np.random.default_rng(rank)
+    x, u, v = rng.random((5, 4)), rng.random((5, rank)) + 0.1, rng.random((rank, 4)) + 0.1
+    as_tensor = lambda a, i: from_rows(
+        spark, i, [(r + 1, c + 1, float(a[r, c])) for r in range(a.shape[0]) for c in range(a.shape[1])],
+        {i[0]: a.shape[0], i[1]: a.shape[1]})
+    m = CoupledModel({"X": as_tensor(x, ["i", "j"]), "U": as_tensor(u, ["i", "k"]), "V": as_tensor(v, ["k", "j"])},
+                     [Factorization("X", ("U", "V"))], missing=missing)
+    new = factor_update(m, "U")
+    q = x / (u @ v)
+    np.testing.assert_allclose(to_arr(new, u.shape), u * (q @ v.T) / v.sum(1), rtol=1e-9)
+
+
+def test_plan_does_not_grow_with_the_rank(spark):
+    def lines(rank):
+        cards = {"i": 5, "j": 4, "k": rank}
+        ts = {"X": random_tensor(spark, ["i", "j"], cards), "U": random_tensor(spark, ["i", "k"], cards),
+              "V": random_tensor(spark, ["k", "j"], cards)}
+        plan = factor_update(CoupledModel(ts, [Factorization("X", ("U", "V"))]), "U").df
+        return len(plan._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert lines(64) == lines(4)
+
+
+@pytest.mark.parametrize("p", [1.0, 0.5])
+@pytest.mark.parametrize("missing", ["zero", "masked"])
+def test_single_factor_model(spark, p, missing):
+    rng = np.random.default_rng(1)
+    x, z = rng.random((4, 3)) + 0.1, rng.random((4, 2)) + 0.1
+    rows = lambda a: [(r + 1, c + 1, float(a[r, c])) for r in range(a.shape[0]) for c in range(a.shape[1])]
+    m = CoupledModel({"X": from_rows(spark, ["i", "j"], rows(x), {"i": 4, "j": 3}),
+                      "Z": from_rows(spark, ["i", "k"], rows(z), {"i": 4, "k": 2})},
+                     [Factorization("X", ("Z",), p)], missing=missing)
+    hat = z.sum(1, keepdims=True)
+    want = z * ((x * hat ** -p).sum(1, keepdims=True) / (3 * hat ** (1 - p)))
+    np.testing.assert_allclose(to_arr(factor_update(m, "Z"), (4, 2)), want, rtol=1e-9)
+
+
+def test_rank_coordinate_out_of_range_raises(spark):
+    x = from_rows(spark, ["i", "j"], [(1, 1, 1.0)], {"i": 1, "j": 1})
+    u = from_rows(spark, ["i", "k"], [(1, 1, 1.0), (1, 3, 1.0)], {"i": 1, "k": 2})
+    v = from_rows(spark, ["k", "j"], [(1, 1, 1.0), (2, 1, 1.0)], {"k": 2, "j": 1})
+    m = CoupledModel({"X": x, "U": u, "V": v}, [Factorization("X", ("U", "V"))], missing="masked")
+    with pytest.raises(Exception, match="outside 1..2"):
+        factor_update(m, "V").df.collect()
+
+
+def test_zero_row_of_a_factor_stays_zero(spark):
+    x = from_rows(spark, ["i", "j"], [(1, 1, 2.0), (2, 1, 3.0)], {"i": 2, "j": 1})
+    u = from_rows(spark, ["i", "k"], [(1, 1, 0.0), (2, 1, 1.0)], {"i": 2, "k": 1})
+    v = from_rows(spark, ["k", "j"], [(1, 1, 1.0)], {"k": 1, "j": 1})
+    m = CoupledModel({"X": x, "U": u, "V": v}, [Factorization("X", ("U", "V"))], missing="masked")
+    assert to_arr(factor_update(m, "U"), (2, 1)).tolist() == [[0.0], [3.0]]
+    assert to_arr(factor_update(m, "V"), (1, 1)).tolist() == [[3.0]]
+
+
+def test_two_factorizations_of_one_observation(spark):
+    x = from_rows(spark, ["i", "j"], [(1, 1, 2.0), (1, 2, 3.0)], {"i": 1, "j": 2})
+    u = from_rows(spark, ["i", "k"], [(1, 1, 1.0)], {"i": 1, "k": 1})
+    v = from_rows(spark, ["k", "j"], [(1, 1, 1.0), (1, 2, 1.0)], {"k": 1, "j": 2})
+    w = from_rows(spark, ["i", "k"], [(1, 1, 5.0)], {"i": 1, "k": 1})
+    m = CoupledModel({"X": x, "U": u, "V": v, "W": w},
+                     [Factorization("X", ("U", "V")), Factorization("X", ("W",))], missing="masked")
+    got = [r["divergence"] for r in fit(m, 1).history.collect()]
+    assert got[0] != got[1]
+
+
+def test_epoch_refuses_infinite_objective(spark):
+    x = from_rows(spark, ["i", "j"], [(1, 1, 2.0)], {"i": 1, "j": 2})
+    u = from_rows(spark, ["i", "k"], [(1, 1, 1.0)], {"i": 1, "k": 1})
+    v = from_rows(spark, ["k", "j"], [(1, 1, 1.0), (1, 2, 1.0)], {"k": 1, "j": 2})
+    m = CoupledModel({"X": x, "U": u, "V": v}, [Factorization("X", ("U", "V"), 2.0)])
+    with pytest.raises(ValueError, match="infinite"):
+        run_epoch(m)

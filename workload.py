@@ -9,8 +9,6 @@ the definitions, as plain joins and aggregates.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,19 +99,18 @@ def factor(spark, indices, cards) -> Tensor:
     return formula_tensor(spark, indices, cards, init_value)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's checkpoint folder; set a local one only when unset (tests)."""
+def has_checkpoint_dir(spark: SparkSession) -> bool:
+    """Whether the session names a folder for checkpoints that executors share."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+    return bool(sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+                or sc.getConf().get("spark.checkpoint.dir"))
 
 
 def observed(t: Tensor) -> tuple[Tensor, dict[str, int]]:
-    """Materialize an observation once; its index ranges come from that copy."""
-    ensure_checkpoint_dir(t.df.sparkSession)
-    t = t.checkpoint()
+    """An observation and its index ranges.  It is checkpointed where the
+    session names a folder; else it stays a plain plan that is run again."""
+    if has_checkpoint_dir(t.df.sparkSession):
+        t = t.checkpoint()
     cards = cardinalities(t)
     return t.with_cards(cards), cards
 
@@ -134,15 +131,21 @@ def coupled_model_tensors(spark, d) -> dict[str, Tensor]:
     return ts
 
 
-def sparse_model_tensors(spark, d) -> dict[str, Tensor]:
+def sparse_model_tensors(spark, d, rank: int = RANK) -> dict[str, Tensor]:
     x, cards = observed(D(spark, d))
     return {
         "D": x,
-        "U": factor(spark, ["i", "k"], {"i": cards["i"], "k": RANK}),
-        "V": factor(spark, ["k", "p"], {"k": RANK, "p": cards["p"]}),
+        "U": factor(spark, ["i", "k"], {"i": cards["i"], "k": rank}),
+        "V": factor(spark, ["k", "p"], {"k": rank, "p": cards["p"]}),
     }
 
 
+def user_rows_tensors(spark, d) -> dict[str, Tensor]:
+    """A model of one factor: X1(i, j) as the sum over k of Z(i, k)."""
+    ts = x1_model_tensors(spark, d)
+    return {"X1": ts["X1"], "Z1": ts["Z1"]}
+
+
 def rounded(t: Tensor, digits: int) -> DataFrame:
     return t.df.select(*t.indices, F.round("value", digits).alias("value"))
 
@@ -268,6 +271,14 @@ class SqlBuilder:
 
 def sql_beta(x: str, mu: str, p: float) -> str:
     """Per-cell β-divergence in SQL, with guarded logarithms."""
+    if p != 0 and p != 1:
+        rest = f"POWER({mu}, {2.0 - p}) / {2.0 - p}" if p < 2 else "'inf'::DOUBLE"
+        body = sql_beta_positive(x, mu, p)
+        return f"CASE WHEN {x} = 0 AND {mu} = 0 THEN 0.0 WHEN {x} = 0 THEN {rest} ELSE {body} END"
+    return sql_beta_positive(x, mu, p)
+
+
+def sql_beta_positive(x: str, mu: str, p: float) -> str:
     if p == 0:
         return f"0.5 * POWER({x} - {mu}, 2)"
     if p == 1:
@@ -385,10 +396,10 @@ def sql_model_coupled(b: SqlBuilder) -> dict[str, str]:
     return m
 
 
-def sql_model_sparse(b: SqlBuilder) -> dict[str, str]:
+def sql_model_sparse(b: SqlBuilder, rank: int = RANK) -> dict[str, str]:
     d = b.tensor("D")
     b.add("card_d", [], "SELECT MAX(i) AS ci, MAX(p) AS cp FROM D")
-    u = b.add("U", ["i", "k"], sql_factor("U", "i", "k", "(SELECT ci FROM card_d)", str(RANK)))
-    v = b.add("V", ["k", "p"], sql_factor("V", "k", "p", str(RANK), "(SELECT cp FROM card_d)"))
+    u = b.add("U", ["i", "k"], sql_factor("U", "i", "k", "(SELECT ci FROM card_d)", str(rank)))
+    v = b.add("V", ["k", "p"], sql_factor("V", "k", "p", str(rank), "(SELECT cp FROM card_d)"))
     return {"D": d, "U": u, "V": v,
             "card_i": "(SELECT ci FROM card_d)", "card_p": "(SELECT cp FROM card_d)"}
