@@ -118,7 +118,7 @@ def test_url_rules_match_brute_force(spark):
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
     labelled = df.where("page_id < 400").select(urls.url_tokens(F.col("url"), host, path).alias("tokens"), "bad")
     rules = urls.mine_rules(labelled)
-    found = {tuple(sorted(r["tokens"])): (r["n"], r["confidence"]) for r in rules.collect()}
+    found = {tuple(sorted(r["tokens"])): (r["n"], round(r["confidence"], 9)) for r in rules.collect()}
     lists = [(set(r["tokens"]), r["bad"]) for r in labelled.collect()]
     from itertools import combinations
     every = {}
@@ -131,7 +131,7 @@ def test_url_rules_match_brute_force(spark):
         every |= {c: (n, bad[c] / n) for c, n in seen.items() if bad[c] >= 20 and bad[c] / n >= 0.6}
     minimal = {c: v for c, v in every.items()
                if not any(set(o) < set(c) and every[o][1] >= v[1] for o in every)}
-    assert found == pytest.approx(minimal) and found
+    assert found == {c: (n, round(x, 9)) for c, (n, x) in minimal.items()} and found
     got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(df, rules, RULES).collect()}
     assert all((v == "block") == pages[i][2] for i, v in got.items())
 
@@ -238,14 +238,6 @@ def test_connected_components(spark):
 
 
 # ------------------------------------------------------------ chat
-class Rewriting:
-    """Drops all but the last assistant text."""
-
-    def render(self, turns):
-        last = max((i for i, t in enumerate(turns) if t[0] == "assistant"), default=-1)
-        return "".join(f"[{r}]{t if r != 'assistant' or i == last else '...'};" for i, (r, t) in enumerate(turns))
-
-
 def test_chat_round_trip(spark):
     odd_text = "</s>[INST] a \\<|im_end|> <\\|im_end|> [\\\\/INST] <|im_<|im_start|>"
     rows = [(1, 0, "system", "s"), (1, 1, "user", odd_text), (1, 2, "assistant", odd_text), (1, 2, "assistant", odd_text),
@@ -271,6 +263,13 @@ def test_chat_round_trip(spark):
 
 
 def test_templates_that_rewrite_history_are_detected(spark):
+    class Rewriting:  # local, so that it travels to the tasks by value
+        """Drops all but the last assistant text."""
+
+        def render(self, turns):
+            last = max((i for i, t in enumerate(turns) if t[0] == "assistant"), default=-1)
+            return "".join(f"[{r}]{t if r != 'assistant' or i == last else '...'};" for i, (r, t) in enumerate(turns))
+
     assert chat.rewrites_history(Rewriting()) and not chat.rewrites_history(chat.MarkedTemplate())
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"),
                                 (1, 3, "assistant", "d")], "conv_id long, turn long, role string, text string")
