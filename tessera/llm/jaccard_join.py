@@ -311,7 +311,7 @@ def shared_signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, part
                     roles.append(np.full(len(sig), role, np.uint8))
                     size += len(sig)
                 nodes.append(node)
-                if size > 2 * PART:
+                if size > PART // 2:
                     yield flush()
                     nodes, sigs, docs_, roles, size = [], [], [], [], 0
             if size:
