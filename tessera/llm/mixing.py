@@ -40,6 +40,8 @@ WEIGHTS = (5, 2, 1)
 BUCKET_ROWS = 1_000
 #: Sources and patterns live on the driver; more of them than this is an error.
 MAX_NODES = 500_000
+#: Tables with a row per pattern are broadcast up to this many patterns.
+FEW_PATTERNS = 20_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: int = MAX_REPEATS) -> list[float]:
@@ -168,8 +170,10 @@ def mix(docs: DataFrame, *, members: str, text_col: str = "text", keep: list[str
         rest = flow[p] - full * r["size"] if full < MAX_REPEATS else 0.0
         plan.append((list(p), full, float(rest), max(1, r["n"] // BUCKET_ROWS)))
     plans = spark.createDataFrame(plan, "pattern array<string>, full int, rest double, buckets long")
-    # One row per pattern, MAX_NODES at most; Spark broadcasts it only below its threshold.
-    dealt = cut(base.join(plans, "pattern").withColumn(
+    def small(df: DataFrame) -> DataFrame:  # a large source would fill one shuffle partition
+        return F.broadcast(df) if len(plan) <= FEW_PATTERNS else df
+
+    dealt = cut(base.join(small(plans), "pattern").withColumn(
         "bucket", F.floor(F.col("u") * F.col("buckets")).cast("long")), "dealt")
     sums = dealt.groupBy("pattern", "bucket").agg(F.sum("size").alias("_size"), F.first("rest").alias("rest"))
     upto = F.sum("_size").over(Window.partitionBy("pattern").orderBy("bucket")
@@ -179,7 +183,7 @@ def mix(docs: DataFrame, *, members: str, text_col: str = "text", keep: list[str
     edge = (edge.where(F.col("_upto") > F.col("rest")).groupBy("pattern")
             .agg(F.min("bucket").alias("edge"), F.min_by(F.col("rest") - F.col("_upto") + F.col("_size"), "bucket")
                  .alias("room")))
-    marked = dealt.join(edge, "pattern", "left")
+    marked = dealt.join(small(edge), "pattern", "left")
     before = F.coalesce(F.col("bucket") < F.col("edge"), F.lit(True))
     out_cols = [*[f"k_{c}" for c in keep], "pattern", "size", "full"]
     outside = marked.where(before | (F.col("bucket") > F.col("edge"))).select(

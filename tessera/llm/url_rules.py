@@ -111,8 +111,9 @@ def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
     posted = lists.select("tokens", "_rows", F.explode("tokens").alias("token"))
     counts = posted.join(rules.select(F.explode("tokens").alias("token")).distinct(), "token", "left_semi")
     index = cut(rule_index(rules, counts.groupBy("token").agg(F.sum("_rows").alias("n"))), "index")
-    return (posted.join(index, "token").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+    hits = (posted.join(index, "token").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
             .groupBy("tokens").agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n_rules")))
+    return cut(hits, "hits")  # of known size, so that Spark can broadcast it to the URLs where it is small
 
 
 def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
