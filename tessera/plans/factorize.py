@@ -37,14 +37,13 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cell import beta_cell
-from ..functions.expr import T
 from ..operators.contract import broadcast_threshold, contract
 from ..operators.divergence import beta_divergence
-from ..operators.elementwise import elementwise, guard
+from ..operators.elementwise import guard
 from ..operators.sampled import (
     rank_vector_model,
     sampled_contract,
@@ -160,7 +159,7 @@ def q_denominator(model: CoupledModel, f: Factorization) -> Tensor:
         x = model.tensors[f.observed]
         zs = [model.tensors[b] for b in f.latents]
         return sampled_contract(x, zs, lambda xv, hat: _model_power(hat, f.p), salt=model.salt)
-    return elementwise(T(predict(model, f, on="full")).pow(1.0 - f.p))
+    return predict(model, f, on="full").map_values(lambda hat: _model_power(hat, f.p))
 
 
 def _delta_indices(model: CoupledModel, f: Factorization, a: str, q: Sequence[str]) -> list[str]:

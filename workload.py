@@ -329,12 +329,13 @@ class SqlModel:
                 continue
             others = [self.cur[o] for o in lat if o != a]
             xs = self.xhat(x, lat, "support")
-            q1 = b.join2(x, xs, lambda u, v: f"{u} * POWER({v}, {-p})", prefix="q1")
+            # Where the model is 0, so is every product of the factors: the terms count as 0.
+            q1 = b.join2(x, xs, lambda u, v: f"CASE WHEN {v} = 0 THEN 0.0 ELSE {u} * POWER({v}, {-p}) END", prefix="q1")
             if self.missing == "zero":
                 base = b.grid(b.indices[x], self.cards) if p == 1 else self.xhat(x, lat, "full")
             else:
                 base = xs
-            q2 = b.map(base, lambda v: f"POWER({v}, {1.0 - p})", prefix="q2")
+            q2 = b.map(base, lambda v: f"CASE WHEN {v} = 0 AND {p} > 1 THEN 0.0 ELSE POWER({v}, {1.0 - p}) END", prefix="q2")
             out = [i for i in idx if i in b.indices[x] or any(i in b.indices[o] for o in others)]
             assert out == idx, "the oracle handles factors whose indices are all covered"
             num = b.contract([q1, *others], out, scale=f"{1.0 / phi}", prefix="num")
