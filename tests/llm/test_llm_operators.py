@@ -289,6 +289,30 @@ def test_base_spans():
         assert all(re.fullmatch(regex, s) for k, s in kinds if k == kind)
 
 
+def test_base_spans_equal_the_patterns_and_stay_linear():
+    rng = np.random.default_rng(11)
+    alphabet = list("a1.@-_+ (5")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet, 40))
+        assert pii.email_spans(text) == [m.span() for m in pii.EMAIL.finditer(text)]
+        assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in ip.finditer(text)]
+    assert pii.email_spans("a@b.co_x@y.com@z.org") == [m.span() for m in pii.EMAIL.finditer("a@b.co_x@y.com@z.org")]
+    # Quadratic time would take hours here.
+    long = "a" * 1_000_000 + " " + "1" * 1_000_000 + " x@y.de"
+    assert pii.base_spans(long) == [(0, len(long) - 6, len(long))]
+
+
+def test_free_spans_match_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(2000):
+        ends = np.sort(rng.choice(40, 8, replace=False)).tolist()
+        spans = list(zip(ends[::2], ends[1::2]))
+        a = int(rng.integers(0, 39))
+        b = int(rng.integers(a + 1, 41))
+        assert pii.is_free(spans, a, b) == all(b <= x or a >= y for x, y in spans)
+
+
 def test_pii_adds_spans_and_leaves_clean_text(spark, sf_dir, odd, none):
     docs = table(spark, sf_dir, "documents")
     model = pii.fit_pii(docs)
