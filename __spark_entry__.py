@@ -122,9 +122,14 @@ q_ew_scalar_both = _ew(lambda s, d: (S(3) * 4) * T(W.X1(s, d)))
 q_ew_pow = _ew(lambda s, d: T(W.X1(s, d)).pow(0.5) * S(2).pow(2) * T(W.Y1(s, d)).pow(-1), 6)
 q_ew_log = _ew(lambda s, d: T(W.X1(s, d)).log(), 6)
 q_ew_unary = _ew(lambda s, d: T(W.X1(s, d)).pow(-1), 8)
-q_ew_nested = _ew(lambda s, d: T(W.X1(s, d)) * (S(F.log(F.lit(3.0))) * T(W.X1(s, d))), 4)
+def _nested(s, d):
+    x = T(W.X1(s, d))  # one tensor, read once
+    return x * (S(F.log(F.lit(3.0))) * x)
+
+
+q_ew_nested = _ew(_nested, 4)
 q_ew_nary = _ew(lambda s, d: T(W.X1(s, d)) * T(W.Y1(s, d)) - T(W.W1(s, d)) + 3, 4)
-q_ew_outer_fill = _ew(lambda s, d: T(W.A(s, d, "R")) + T(W.A(s, d, "N")), 4, how="outer", fill=0.0)
+q_ew_outer_fill = _ew(lambda s, d: T(W.A(s, d, True)) + T(W.A(s, d, False)), 4, how="outer", fill=0.0)
 
 
 def q_index_space(spark, d):

@@ -58,11 +58,11 @@ def X2(spark, d) -> Tensor:
                       {"i": F.col("s_nationkey") + 1, "r": "l_linenumber"}, "l_quantity")
 
 
-def A(spark, d, flag: str | None = None) -> Tensor:
-    """Quantity by supplier nation and part key (sparse)."""
+def A(spark, d, returned: bool | None = None) -> Tensor:
+    """Quantity by supplier nation and part key (sparse); of the returned or of all other line items."""
     ls = _line_supp(spark, d)
-    if flag is not None:
-        ls = ls.filter(F.col("l_returnflag") == flag)
+    if returned is not None:
+        ls = ls.filter((F.coalesce("l_returnflag", F.lit("")) == "R") == returned)
     return from_table(ls, {"n": "s_nationkey", "part": "l_partkey"}, "l_quantity")
 
 
@@ -174,7 +174,7 @@ SQL_TENSORS: dict[str, tuple[list[str], str]] = {
     "AR": (["n", "part"], _cells({"n": "s.s_nationkey", "part": "l.l_partkey"}, "l.l_quantity", _LS,
                                  "l.l_returnflag = 'R'")),
     "AN": (["n", "part"], _cells({"n": "s.s_nationkey", "part": "l.l_partkey"}, "l.l_quantity", _LS,
-                                 "l.l_returnflag = 'N'")),
+                                 "coalesce(l.l_returnflag, '') <> 'R'")),
     "D": (["i", "p"], _cells({"i": "s.s_nationkey + 1", "p": "l.l_partkey + 1"}, "l.l_quantity", _LS)),
     "B": (["part", "brand"], _cells({"part": "p_partkey", "brand": "p_brand"}, "p_retailprice", "part")),
     "R": (["n", "region"], _cells({"n": "n_nationkey", "region": "n_regionkey"}, "1.0", "nation")),
