@@ -126,12 +126,29 @@ def _join_factors(
     df = x.df.select(*x.indices, F.col(VALUE).alias(_X))
     for n, f in enumerate(factors):
         own = [i for i in f.indices if i not in rank]
-        keys = math.prod(f.cards[i] for i in own) if all(i in f.cards for i in own) else None
-        small = keys is not None and threshold > 0 and keys * (16 + 8 * (len(own) + length)) <= threshold
-        df = _join_side(df, x, table(f, n, cards), own, small, salt)
+        df = _join_side(df, x, table(f, n, cards), own, _small(f, own, length, threshold), salt)
     return df, cards
 
 
+def _small(f: Tensor, own: list[str], length: int, threshold: int) -> bool:
+    """Whether the vectors of ``f`` have a proven size within the broadcast threshold."""
+    keys = math.prod(f.cards[i] for i in own) if all(i in f.cards for i in own) else None
+    return keys is not None and threshold > 0 and keys * (16 + 8 * (len(own) + length)) <= threshold
+
+
+def shuffles(x: Tensor, factors: Sequence[Tensor]) -> bool:
+    """Whether ``x`` may be shuffled for some factor.
+
+    Its rows then lie partitioned by that factor's key, and an aggregate on
+    the key would run in the join's own stage, hot keys and all."""
+    rank = rank_vector_model(x, factors)
+    if rank is None:
+        return True  # joined by the general contraction
+    length = math.prod(next(f.cards[r] for f in factors if r in f.cards) for r in rank)
+    threshold = broadcast_threshold(x.df)
+    return not all(_small(f, [i for i in f.indices if i not in rank], length, threshold) for f in factors)
+
+
 def _join_vectors(
     x: Tensor, factors: Sequence[Tensor], rank: list[str], salt: int | None
 ) -> tuple[DataFrame, list[Column], dict[str, int]]:
@@ -149,10 +166,6 @@ def _product(cols: Sequence[Column]) -> Column:
     return out
 
 
-def _times(q: Column) -> Callable[[Column], Column]:
-    return lambda e: e * q
-
-
 def _dot(cols: Sequence[Column]) -> Column:
     return F.aggregate(_product(cols), F.lit(0.0), lambda acc, e: acc + e)
 
@@ -197,7 +210,7 @@ def sampled_gradient(
     vectors, so no other join is needed.  The rank is unrolled with
     ``posexplode`` and the rows are left unreduced for the caller's
     aggregate, whose partial sums collapse them to at most one row per cell
-    of ``Z_a`` and task.
+    of ``Z_a`` and task (see ``shuffles`` for joins on the same keys).
     """
     rank = rank_vector_model(x, factors)
     if rank is None:
@@ -208,13 +221,11 @@ def sampled_gradient(
     length = math.prod(cards.values())
     others = [v for n, v in enumerate(vecs) if n != target]
     base = _product(others) if others else F.array_repeat(F.lit(1.0), length)
-    rows = df.select(*own_a, F.col(_X), _dot(vecs).alias(_HAT), base.alias(_BASE))
-    scaled = []
-    for n in names:
-        scaled.append(F.transform(F.col(_BASE), _times(outputs[n](F.col(_X), F.col(_HAT)))).alias(n))
-    zipped = rows.select(*own_a, F.arrays_zip(*scaled).alias("__zip"))
-    exploded = zipped.select(*own_a, F.posexplode("__zip").alias("__pos", "__e"))
-    exploded = exploded.select(*own_a, "__pos", *[F.col("__e")[n].alias(n) for n in names])
+    hats = df.select(*own_a, F.col(_X), _dot(vecs).alias(_HAT), base.alias(_BASE))
+    # Each q is computed once per cell, below the generator, not once per rank position.
+    rows = hats.select(*own_a, _BASE, *[outputs[n](F.col(_X), F.col(_HAT)).alias(n) for n in names])
+    exploded = rows.select(*own_a, *names, F.posexplode(_BASE).alias("__pos", "__e"))
+    exploded = exploded.select(*own_a, "__pos", *[(F.col("__e") * F.col(n)).alias(n) for n in names])
     return _decode_rank(exploded, own_a, rank, cards, names)
 
 

@@ -48,10 +48,11 @@ from ..operators.sampled import (
     rank_vector_model,
     sampled_contract,
     sampled_gradient,
+    shuffles,
 )
 from ..tensor import VALUE, Tensor
 
-_Z, _NUM, _DEN = "__z", "__num", "__den"
+_Z, _NUM, _DEN, _CELL = "__z", "__num", "__den", "__cell"
 
 
 @dataclass(frozen=True)
@@ -284,9 +285,16 @@ def factor_update(model: CoupledModel, a: str, on_invalid: str = "raise") -> Ten
     union = pieces[0]
     for p in pieces[1:]:
         union = union.unionByName(p)
-    agg = union.groupBy(*idx).agg(
+    # After a shuffled factor join, the key is one struct: the join's partitioning
+    # does not satisfy it, so partial sums are exchanged before the final ones and
+    # adaptive execution may split a hot key's join partition.
+    split = any(shuffles(model.tensors[f.observed], [model.tensors[b] for b in f.latents]) for f in model.containing(a))
+    keys = [F.struct(*idx).alias(_CELL)] if split else idx
+    agg = union.groupBy(*keys).agg(
         F.sum(_Z).alias(_Z), F.sum(_NUM).alias(_NUM), F.sum(_DEN).alias(_DEN)
     )
+    if split:
+        agg = agg.select(f"{_CELL}.*", _Z, _NUM, _DEN)
     z, num, den = F.col(_Z), F.coalesce(F.col(_NUM), F.lit(0.0)), F.col(_DEN)
     new = F.when(den > 0, z * num / den).otherwise(z)
     new = guard(new, on_invalid, f"the update of {a}", finite=True)

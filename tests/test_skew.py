@@ -3,7 +3,7 @@
 import pytest
 
 from helpers import to_dict
-from tessera import Tensor, contract
+from tessera import CoupledModel, Factorization, Tensor, contract, factor_update, fit
 from tessera.operators.sampled import sampled_contract
 
 
@@ -48,3 +48,37 @@ def test_sampled_with_unbounded_factors(spark, salt):
     assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in got)
     if salt:
         assert "__salt" in str(sampled_contract(x, [zi, zj], salt=salt).df._jdf.queryExecution().analyzed())
+
+
+def skewed_model(spark, salt=None):
+    x = hot_tensor(spark, n=300).with_cards({"i": 300, "j": 19})
+    tensors = {"X": x, "U": factor(spark, "i", 300), "V": factor(spark, "j", 19)}
+    return CoupledModel(tensors, [Factorization("X", ("U", "V"))], missing="masked", salt=salt)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_update_exchanges_partial_sums_after_a_shuffled_join(spark, no_broadcast):
+    plan = plan_of(factor_update(skewed_model(spark), "V"))
+    above = plan[:plan.index("Union")]  # the joins are below the union
+    assert "SortMergeJoin" not in above and "SortMergeJoin" in plan
+    assert "Exchange hashpartitioning" in above and "partial_sum" in above
+
+
+def test_update_with_broadcast_keeps_flat_keys(spark):
+    assert "__cell" not in plan_of(factor_update(skewed_model(spark), "V"))
+
+
+def test_salted_fit_of_a_hot_key(spark, no_broadcast):
+    plain, salted = (fit(skewed_model(spark, salt), epochs=1) for salt in (None, 4))
+    assert salted.objective == pytest.approx(plain.objective, rel=1e-9)
+    for z in ("U", "V"):
+        want, got = to_dict(plain.model.tensors[z]), to_dict(salted.model.tensors[z])
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
