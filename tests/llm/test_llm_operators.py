@@ -237,6 +237,13 @@ def test_connected_components(spark):
     assert got == {**{i: 1 for i in range(1, 21)}, 29: 29, 30: 29, 31: 29}
 
 
+def test_components_of_a_long_chain_with_random_ids(spark):
+    ids = [int(x) for x in np.random.default_rng(5).choice(1 << 40, 1_000, replace=False)]
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    got = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    assert got == dict.fromkeys(ids, min(ids))
+
+
 # ------------------------------------------------------------ chat
 def test_chat_round_trip(spark):
     odd_text = "</s>[INST] a \\<|im_end|> <\\|im_end|> [\\\\/INST] <|im_<|im_start|>"
