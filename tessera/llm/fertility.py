@@ -11,7 +11,9 @@ trained) splits every word of the whole text.  Three figures per document:
 
 ``bands`` takes the quartiles of each figure over *all* documents of a group
 (language column, or script where there is none) that pass the base rules; a document
-outside ``[q1 - k*iqr, q3 + k*iqr]`` on the side where junk lies is rejected.
+outside ``[q1 - 2*iqr, q3 + 3*iqr]`` on the side where junk lies is rejected,
+at every size.  Labelled junk shows in low figures, so those limits are the
+narrower ones; high figures are more often those of good texts.
 
 Defined results: null and empty texts have no words and fail the base rules;
 a null language is a group of its own; groups with a spread below the least
@@ -37,9 +39,10 @@ SYMBOLS = b"#*$%&|<>"
 CACHE = 300_000
 PIECE = 1 << 22
 MIN_WORDS = 50
-#: Width of the bands in interquartile ranges, and the least such range.
-#: Per figure: (column, reject below, reject above, widths, least range).
-FIGURES = (("chars_per_token", 4.0, 6.0, 0.08), ("fallback_share", None, 6.0, 0.01), ("entropy", 4.0, None, 0.02))
+#: Width of the bands in interquartile ranges, below and above the quartiles.
+BELOW, ABOVE = 2.0, 3.0
+#: Per figure: (column, reject below, reject above, widths, least interquartile range).
+FIGURES = (("chars_per_token", BELOW, ABOVE, 0.08), ("fallback_share", None, ABOVE, 0.01), ("entropy", BELOW, None, 0.02))
 
 STATS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
          "n_tokens long, chars_per_token double, fallback_share double, entropy double, script string")

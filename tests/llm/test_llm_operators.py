@@ -411,6 +411,16 @@ def test_bands_reject_outliers_only(spark, sf_dir):
     assert np.mean([r["kept"] for r in good]) > 0.97 and np.mean([r["kept"] for r in bad] or [0]) < 0.6
 
 
+def test_bands_reject_most_junk_that_passes_the_base_rules(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stats = fertility.measure(docs, ["doc_id", "lang"])
+    group = F.coalesce("lang", "script")
+    rows = fertility.judge(stats, fertility.bands(stats, group), group).join(labels, "doc_id").where(
+        "not base_failed").collect()
+    kept = {q: [r["kept"] for r in rows if r["quality"] == q] for q in (0, 1)}
+    assert kept[0] and np.mean(kept[0]) < 0.2 and np.mean(kept[1]) > 0.99
+
+
 # ------------------------------------------------------------ decontamination
 @pytest.mark.parametrize("block", [400_000, 60])
 def test_containment_matches_brute_force(spark, sf_dir, block):
