@@ -15,7 +15,9 @@ and source and never one per document.
 The last round takes documents in a seeded order until the pattern's rest is
 used up.  Orders are never sorted as a whole: hash buckets of about
 ``BUCKET_ROWS`` documents are cumulated, and only the bucket where the rest
-runs out is walked document by document (those that fit are taken).
+runs out is walked document by document (those that fit are taken).  The room
+this leaves goes to the buckets behind it in the same way, without the
+documents larger than the room, until no document fits any more.
 
 Defined results: a null source is a source of its own, ordered last; null
 texts have size 0 and are taken 0 words; a document of several sources counts
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -133,6 +136,60 @@ def min_cost_flow(capacity: dict[tuple, float], quota: dict[str, float], repeats
     return flow
 
 
+def first_fit(sizes, room: float) -> tuple[list[int], float]:
+    """1 for every size that fits into what the ones before it left, and the room left."""
+    extra = []
+    for size in sizes:
+        extra.append(int(size <= room))
+        room -= size if size <= room else 0
+    return extra, room
+
+
+def take_rest(dealt: DataFrame, rests: list[tuple[int, float, int]],
+              small: Callable[[DataFrame], DataFrame]) -> dict[int, list[tuple[int, float, float]]]:
+    """How each pattern of ``rests`` (pid, rest, buckets) uses up its rest.
+
+    Per pattern, a list of passes (edge, fits, room): behind the edge of the
+    pass before, documents of at most ``fits`` words are taken, up to the
+    bucket ``edge``, where they are walked with ``room`` words left.  A pass
+    whose edge is the number of buckets reaches the end.  The driver sees one
+    row per pattern and pass."""
+    spark = dealt.sparkSession
+    buckets = {pid: n for pid, _, n in rests}
+    passes: dict = {pid: [] for pid in buckets}
+    now = [(pid, -1, rest) for pid, rest, _ in rests]
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "size"], kind="stable")
+        left = first_fit(pdf["size"], float(pdf["room"].iloc[0]))[1]
+        return pdf[["pid", "edge", "room"]].head(1).assign(left=left)
+
+    while now:
+        state = small(spark.createDataFrame(now, "pid int, done long, fits double"))
+        sums = (dealt.join(state, "pid").where("bucket > done AND size <= fits").groupBy("pid", "bucket")
+                .agg(F.sum("size").alias("_size"), F.first("fits").alias("fits")))
+        upto = F.sum("_size").over(Window.partitionBy("pid").orderBy("bucket")
+                                   .rowsBetween(Window.unboundedPreceding, 0))
+        # The bucket in which the rest runs out; buckets before it are taken whole.
+        edge = (sums.withColumn("_upto", upto).where(F.col("_upto") > F.col("fits")).groupBy("pid")
+                .agg(F.min("bucket").alias("edge"),
+                     F.min_by(F.col("fits") - F.col("_upto") + F.col("_size"), "bucket").alias("room")))
+        inside = dealt.join(small(edge), "pid").where("bucket = edge").select("pid", "edge", "room", "u", "size")
+        ends = {r["pid"]: r for r in inside.groupBy("pid").applyInPandas(
+            walk, "pid int, edge long, room double, left double").collect()}
+        after = []
+        for pid, _, fits in now:
+            if pid not in ends:
+                passes[pid].append((buckets[pid], fits, fits))
+                continue
+            end = ends[pid]
+            passes[pid].append((end["edge"], fits, end["room"]))
+            if end["left"] >= 1 and end["edge"] + 1 < buckets[pid]:
+                after.append((pid, end["edge"], end["left"]))
+        now = after
+    return passes
+
+
 def mix(docs: DataFrame, *, members: str, text_col: str = "text", keep: list[str], weights=WEIGHTS,
         seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Select documents so that every source comes near its target.
@@ -164,43 +221,37 @@ def mix(docs: DataFrame, *, members: str, text_col: str = "text", keep: list[str
     for (p, _), x in sorted(min_cost_flow(capacity, target).items(), key=repr):
         flow[p] += x
     plan = []
-    for r in per:
+    for pid, r in enumerate(per):
         p = tuple(r["pattern"])
         full = min(MAX_REPEATS, int(flow[p] // r["size"])) if r["size"] else 0
         rest = flow[p] - full * r["size"] if full < MAX_REPEATS else 0.0
-        plan.append((list(p), full, float(rest), max(1, r["n"] // BUCKET_ROWS)))
-    plans = spark.createDataFrame(plan, "pattern array<string>, full int, rest double, buckets long")
+        plan.append((pid, list(p), full, float(rest), max(1, r["n"] // BUCKET_ROWS)))
+    plans = spark.createDataFrame([(i, p, full, b) for i, p, full, _, b in plan],
+                                  "pid int, pattern array<string>, full int, buckets long")
     def small(df: DataFrame) -> DataFrame:  # a large source would fill one shuffle partition
         return F.broadcast(df) if len(plan) <= FEW_PATTERNS else df
 
     dealt = cut(base.join(small(plans), "pattern").withColumn(
         "bucket", F.floor(F.col("u") * F.col("buckets")).cast("long")), "dealt")
-    sums = dealt.groupBy("pattern", "bucket").agg(F.sum("size").alias("_size"), F.first("rest").alias("rest"))
-    upto = F.sum("_size").over(Window.partitionBy("pattern").orderBy("bucket")
-                               .rowsBetween(Window.unboundedPreceding, 0))
-    edge = sums.withColumn("_upto", upto)
-    # The bucket in which the rest runs out; buckets before it are taken whole.
-    edge = (edge.where(F.col("_upto") > F.col("rest")).groupBy("pattern")
-            .agg(F.min("bucket").alias("edge"), F.min_by(F.col("rest") - F.col("_upto") + F.col("_size"), "bucket")
-                 .alias("room")))
-    marked = dealt.join(small(edge), "pattern", "left")
-    before = F.coalesce(F.col("bucket") < F.col("edge"), F.lit(True))
+    passes = take_rest(dealt, [(i, rest, b) for i, _, _, rest, b in plan if rest >= 1], small)
+    steps = spark.createDataFrame(list(passes.items()),
+                                  "pid int, steps array<struct<edge: bigint, fits: double, room: double>>")
+    # The pass that decides on a document is the first whose edge isn't before its bucket.
+    marked = dealt.join(small(steps), "pid", "left").withColumn(
+        "step", F.get(F.filter("steps", lambda s: s["edge"] >= F.col("bucket")), F.lit(0)))
+    at_edge = F.coalesce(F.col("step.edge") == F.col("bucket"), F.lit(False))
     out_cols = [*[f"k_{c}" for c in keep], "pattern", "size", "full"]
-    outside = marked.where(before | (F.col("bucket") > F.col("edge"))).select(
-        *out_cols, F.when(before, 1).otherwise(0).alias("extra"))
-    inside = marked.where("bucket = edge")
+    outside = marked.where(~at_edge).select(
+        *out_cols, F.coalesce(F.col("size") <= F.col("step.fits"), F.lit(False)).cast("int").alias("extra"))
+    inside = marked.where(at_edge).withColumn("room", F.col("step.room"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:  # one bucket: about BUCKET_ROWS documents
         pdf = pdf.sort_values(["u", "size"], kind="stable")
-        room, extra = float(pdf["room"].iloc[0]), []
-        for size in pdf["size"]:
-            extra.append(int(size <= room))
-            room -= size if size <= room else 0
-        return pdf[out_cols].assign(extra=extra)
+        return pdf[out_cols].assign(extra=first_fit(pdf["size"], float(pdf["room"].iloc[0]))[0])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inside.select(*out_cols).schema)
-    filled = inside.groupBy("pattern").applyInPandas(fill, schema + ", extra int")
-    picked = outside.withColumn("extra", F.col("extra").cast("int")).unionByName(filled)
+    filled = inside.groupBy("pid", "bucket").applyInPandas(fill, schema + ", extra int")
+    picked = outside.unionByName(filled)
     picked = picked.select(*[F.col(f"k_{c}").alias(c) for c in keep], F.col("pattern").alias(members), "size",
                            (F.col("size") * (F.col("full") + F.col("extra"))).cast("long").alias("taken"))
     sources = spark.createDataFrame([(s, size_of[s], float(target[s])) for s in names],

@@ -372,6 +372,19 @@ def test_mix_comes_near_targets_and_repeats(spark, odd, none):
     assert mixing.mix(odd.limit(0), members="m", keep=["doc_id"])[0].count() == 0
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_mix_uses_the_room_behind_the_edge_bucket(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    sizes = np.random.default_rng(seed).integers(10, 50, 1_000).tolist() + [20_000]
+    rows = [(i, ["a"], "w " * n) for i, n in enumerate(sizes)] + [(-1 - i, ["b"], "w " * 50) for i in range(1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, s array<string>, text string")
+    picked, sources = mixing.mix(docs, members="s", keep=["doc_id"], weights=(1, 3), seed=seed)
+    taken = {r["s"][0]: r["n"] for r in picked.groupBy("s").agg(F.sum("taken").alias("n")).collect()}
+    for r in sources.collect():
+        assert r["target"] - 50 < taken[r["source"]] <= r["target"]
+    assert picked.count() == len(rows)
+
+
 # ------------------------------------------------------------ fertility
 def test_base_counts_match_brute_force(spark, sf_dir, odd, none):
     space = "[\x20\x09-\x0d]+"
