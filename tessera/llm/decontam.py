@@ -11,8 +11,11 @@ partitions.  Sketch hits are verified by exact containment.
 
 The search is one pass without a shuffle: items are a query set and go
 through in blocks of bounded size, each of which is small enough to
-broadcast; a document's shingles never leave its task.  Only Spark's own
-functions are used.
+broadcast; a document's shingles never leave its task.  A block is two tables:
+a row per sketch value, and each item's array once.  Items of more than
+``LARGE_SHINGLES`` shingles are not broadcast: only documents that are large
+enough to contain one are joined with them, shingle by shingle.  Only Spark's
+own functions are used.
 
 Defined results: an item of fewer than five words has its whole sequence as
 its only shingle, so it matches only documents that are that sequence; items
@@ -31,8 +34,10 @@ from .common import ascii_lower, cut, words
 
 SHINGLE = 5
 THRESHOLD = 0.75
-#: Shingles of items per block; a block's tables stay within some tens of MB.
+#: Shingles of items per block, on average; a block's tables stay within some tens of MB.
 BLOCK_SHINGLES = 400_000
+#: Items with more shingles are joined instead of broadcast.
+LARGE_SHINGLES = 50_000
 
 
 def shingles(text: Column, n: int = SHINGLE) -> Column:
@@ -62,29 +67,46 @@ def sketches(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text
 
 def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
-               n: int = SHINGLE, keep: list[str] | None = None, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+               n: int = SHINGLE, keep: list[str] | None = None, block_shingles: int = BLOCK_SHINGLES,
+               large_shingles: int = LARGE_SHINGLES) -> DataFrame:
     """Pairs (``id_col``, ``keep``, ``item_col``, size_band, n_item, n_shared,
     containment) whose containment of the item in the document reaches
     ``threshold``."""
-    sketch = cut(sketches(items, id_col=item_col, text_col=item_text, threshold=threshold, n=n), "sketches")
-    total = sketch.agg(F.sum("n_item"), F.max(F.element_at("sketch", -1))).first()
-    blocks = max(1, math.ceil((total[0] or 0) / block_shingles))
+    sketch = cut(sketches(items, id_col=item_col, text_col=item_text, threshold=threshold, n=n)
+                 .withColumn("_item_key", F.monotonically_increasing_id()), "sketches")
+    parts = {r["large"]: r for r in sketch.groupBy((F.col("n_item") > large_shingles).alias("large")).agg(
+        F.sum("n_item").alias("n"), F.max(F.element_at("sketch", -1)).alias("top")).collect()}
+    small = sketch.where(F.col("n_item") <= large_shingles)
+    total, limit = (parts[False]["n"], parts[False]["top"]) if False in parts else (0, None)
+    blocks = max(1, math.ceil(total / block_shingles))
     # A probe can only meet sketch values up to the largest one.
-    limit = total[1] if total[1] is not None else -(1 << 63)
+    limit = limit if limit is not None else -(1 << 63)
     kept = [F.col(c) for c in [id_col, *(keep or [])]]
     doc = docs.select(*kept, shingles(F.col(text_col), n).alias("_shingles"))
     probes = doc.select("*", F.explode(F.filter("_shingles", lambda h: h <= F.lit(limit))).alias("_h"))
+    needed = F.ceil(F.col("n_item") * threshold - 1e-9)
+    out = [id_col, *(keep or []), F.col("_item").alias(item_col), "size_band", "n_item", "n_shared",
+           (F.col("n_shared") / F.col("n_item")).alias("containment")]
     found = None
     for b in range(blocks):
-        block = sketch.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        index = block.select(F.col(item_col).alias("_item"), "size_band", "n_item", "sketch", "item",
-                             F.explode("sketch").alias("_h"))
+        block = small.where(F.pmod(F.xxhash64("_item_key"), F.lit(blocks)) == b)
+        index = block.select("_item_key", "n_item", F.posexplode("sketch").alias("_pos", "_h"))
+        whole = block.select("_item_key", F.col(item_col).alias("_item"), "size_band", F.col("item").alias("_members"))
         # One hit per pair stays: that of the smallest sketch value the document holds.
-        hits = (probes.join(F.broadcast(index), "_h")
-                .where(F.array_min(F.array_intersect("sketch", "_shingles")) == F.col("_h"))
-                .withColumn("n_shared", F.size(F.array_intersect("item", "_shingles")))
-                .where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
-                .select(id_col, *(keep or []), F.col("_item").alias(item_col), "size_band", "n_item", "n_shared",
-                        (F.col("n_shared") / F.col("n_item")).alias("containment")))
+        first = (F.col("_pos") == 0) | ~F.arrays_overlap(F.slice("_members", F.lit(1), F.col("_pos")), "_shingles")
+        hits = (probes.join(F.broadcast(index), "_h").where(F.size("_shingles") >= needed)
+                .join(F.broadcast(whole), "_item_key").where(first)
+                .withColumn("n_shared", F.size(F.array_intersect("_members", "_shingles")))
+                .where(F.col("n_shared") >= needed).select(*out))
         found = hits if found is None else found.unionByName(hits)
+    if True in parts:
+        large = sketch.where(F.col("n_item") > large_shingles)
+        least = math.ceil((large_shingles + 1) * threshold - 1e-9)
+        wide = cut(doc.where(F.size("_shingles") >= least).withColumn("_doc", F.monotonically_increasing_id()), "wide")
+        shared = (wide.select("_doc", F.explode("_shingles").alias("_h"))
+                  .join(large.select("_item_key", F.explode("item").alias("_h")), "_h")
+                  .groupBy("_doc", "_item_key").agg(F.count(F.lit(1)).cast("int").alias("n_shared")))
+        names = large.select("_item_key", F.col(item_col).alias("_item"), "size_band", "n_item")
+        found = found.unionByName(shared.join(names, "_item_key").where(F.col("n_shared") >= needed)
+                                  .join(wide.drop("_shingles"), "_doc").select(*out))
     return found

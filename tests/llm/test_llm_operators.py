@@ -453,3 +453,16 @@ def test_containment_matches_brute_force(spark, sf_dir, block):
     assert got == want and (-1, -3) in got
     assert decontam.find_items(docs.limit(0), items).count() == 0
     assert decontam.find_items(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("large", [50_000, 1_000])
+def test_containment_of_long_items(spark, large):
+    """Copying an item's array to each of its sketch rows would make this a table of a gigabyte."""
+    text = [f"w{i}" for i in range(20_000)]
+    items = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:10])), (3, " ".join(text)),
+                                   (None, " ".join(text[:5_000]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(["x", *text[2_000:]])), (2, " ".join(text[:10_000])),
+                                  (2, " ".join(text[:10_000])), (3, "w0")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"] or 0, r["n_shared"], r["n_item"])
+                 for r in decontam.find_items(docs, items, large_shingles=large).collect())
+    assert got == [(1, 1, 17_996, 19_996), (1, 3, 17_996, 19_996), *[(2, 0, 4_996, 4_996)] * 2, *[(2, 2, 6, 6)] * 2]
