@@ -6,8 +6,12 @@ Each candidate is described by its format (digits, groups, separators, check
 sum, ...) and its context (neighbouring characters, cue words before it).
 Boosted regression trees, grown here in numpy with logistic loss, give it a
 probability; per kind, a threshold calibrated on held-back candidates selects
-spans.  Training needs no manual labels: in a bounded sample of documents a
-candidate is positive if it covers most of a base span of its kind.
+spans.  Training needs no manual labels and sees only candidates that no base
+pattern covers, as those are the ones to decide on.  In a bounded sample of
+documents every base span is rewritten, in its place, into forms that the base
+patterns miss (``disguises``): positive where the form or a cue word before it
+tells, negative where the same look-alike stands without a cue.  The free
+candidates of the texts themselves are negative if they have no cue either.
 
 Redaction = every base span, plus the selected candidates that overlap
 neither a base span nor a better candidate.
@@ -52,6 +56,10 @@ WIDE_EMAIL = re.compile(
     r"[A-Za-z0-9._%+-]{1,64}(?:\s?(?:@|\(at\)|\[at\]|\{at\})\s?)[A-Za-z0-9-]{1,63}"
     r"(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?[A-Za-z0-9-]{1,63})+")
 WIDE_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().\-/:]{0,2}[0-9]){6,24}")
+#: A dot that ends a sentence is no part of a domain.
+TIGHT_EMAIL = re.compile(
+    r"[A-Za-z0-9._%+-]{1,64}(?:\s?(?:@|\(at\)|\[at\]|\{at\})\s?)[A-Za-z0-9-]{1,63}"
+    r"(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?)[A-Za-z0-9-]{1,63})+")
 CUES = re.compile(r"(?i)(phone|tel|mobile|call|fax)|(card|visa|credit|pay)|(\bip\b|host|server|addr)|(mail|contact|write)")
 
 
@@ -101,7 +109,8 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     """Overlapping spans that may be personal data, with high recall."""
     out = []
     if "@" in text or "at)" in text or "at]" in text or "at}" in text:
-        out += [(0, *m.span()) for m in WIDE_EMAIL.finditer(text)]
+        wide = [(0, *m.span()) for m in WIDE_EMAIL.finditer(text)]
+        out += wide + sorted({(0, *m.span()) for m in TIGHT_EMAIL.finditer(text)} - set(wide))
     for m in WIDE_NUMBER.finditer(text):
         s = m[0]
         digits = len(DIGITS.sub("", s))
@@ -212,7 +221,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Trees:
 
 
 def covers(c: tuple[int, int, int], spans: list[tuple[int, int, int]]) -> bool:
-    """Whether candidate ``c`` agrees with a base span of its kind on most of either."""
+    """Whether candidate ``c`` agrees with a span of its kind on most of either."""
     for k, a, b in spans:
         shared = min(b, c[2]) - max(a, c[1])
         if k == c[0] and shared > 0 and 2 * shared > max(b - a, c[2] - c[1]):
@@ -220,6 +229,64 @@ def covers(c: tuple[int, int, int], spans: list[tuple[int, int, int]]) -> bool:
     return False
 
 
+CUE_OF = (3, 2, 1, 0)  # the group of CUES that belongs to each kind
+CUE_WORDS = (("mail ", "contact: "), ("host ", "server: "), ("card ", "pay: "), ("phone ", "call ", "tel: "))
+AT_DOT = ((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" {at} ", " {dot} "),
+          (" (at) ", "."))
+
+
+def disguises(kind: int, s: str) -> list[tuple[str, str, bool]]:
+    """(cue, form, positive): forms of the base span ``s`` that the base patterns miss."""
+    cues, digits = CUE_WORDS[kind], DIGITS.sub("", s)
+    if kind == 0:
+        local, _, domain = s.partition("@")
+        clear = [f"{local}{at}{domain.replace('.', dot)}" for at, dot in AT_DOT]
+        forms = [f"{local} @ {domain}"]
+    elif kind == 1:
+        clear, forms = [], [s.replace(".", ". "), s.replace(".", " .")]
+    elif kind == 2:
+        fours = [digits[i:i + 4] for i in range(0, len(digits), 4)]
+        wrong = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+        clear = [sep.join(fours) for sep in ("/", ".", ":", " - ")]
+        return [(c, f, True) for f in clear for c in ("", cues[0])] + [
+            ("", sep.join([wrong[i:i + 4] for i in range(0, len(wrong), 4)]), False) for sep in ("", "/", ".", "-")]
+    else:
+        a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+        clear = []
+        forms = [s[1:], f"{a}-{b}-{c}", f"{a}/{b}-{c}", f"{a}.{b}.{c}", f"{a} {b}:{c}", f"({a}) {b} {c}", "00" + digits]
+    return [("", f, True) for f in clear] + [(c, f, True) for f in forms for c in cues] + [("", f, False) for f in forms]
+
+
+def examples(text: str) -> list[tuple[list[float], float, bool]]:
+    """(features, label, held back) of one document, for learning only."""
+    def fold(key: str) -> bool:
+        return hashlib.md5((key + text).encode("utf-8", "replace")).digest()[0] % 2 == 0
+
+    out = []
+    spans = base_spans(text)
+    for c in candidates(text)[:50]:  # of the sample only: a list of numbers must not outweigh all else
+        if not any(c[1] < b and a < c[2] for _, a, b in spans):
+            x = features(text, *c)
+            if not x[CUE_OF[c[0]] - 4]:
+                out.append((x, 0.0, fold("")))
+    for kind, a, b in spans[:8]:
+        held = fold(text[a:b])
+        for cue, form, positive in disguises(kind, text[a:b]):
+            head = text[max(0, a - 60):a] + cue
+            shown = head + form + text[b:b + 60]
+            planted = (kind, len(head), len(head) + len(form))
+            fixed = base_spans(shown)
+            for c in candidates(shown):
+                if c[1] >= planted[2] or c[2] <= planted[1] or any(c[1] < q and p < c[2] for _, p, q in fixed):
+                    continue
+                x = features(shown, *c)
+                right = c == planted if kind == 0 else covers(c, [planted])
+                if right and not positive and x[CUE_OF[kind] - 4]:
+                    continue  # the text before happens to hold a cue
+                out.append((x, float(right and positive), held))
+    return out
+
+
 def fit_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS) -> Trees:
     """Learn from the candidates of about ``max_docs`` documents, thinned by a
     hash of the text; the driver fetches their features, never texts."""
@@ -230,13 +297,10 @@ def fit_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         xs, ys, folds = [], [], []
         for text in batch.column(0).to_pylist():
-            found = candidates(text)
-            spans = base_spans(text) if found else []
-            fold = hashlib.md5(text.encode("utf-8", "replace")).digest()[0] % 2 == 0
-            for c in found[:50]:  # of the sample only: a list of numbers must not outweigh all else
-                xs.append(features(text, *c))
-                ys.append(float(covers(c, spans)))
-                folds.append(fold)
+            for x, y, held in examples(text):
+                xs.append(x)
+                ys.append(y)
+                folds.append(held)
         if not xs:
             return None
         return pa.record_batch([pa.array(xs, pa.list_(pa.float64())), pa.array(ys), pa.array(folds)],

@@ -336,6 +336,24 @@ def test_pii_adds_spans_and_leaves_clean_text(spark, sf_dir, odd, none):
     assert pii.redact("mail a@b.co now", [(0, 5, 11)]) == "mail [EMAIL] now"
 
 
+def test_pii_adds_disguised_emails_and_phones(spark):
+    rng = np.random.default_rng(3)
+    d = lambda n: "".join(map(str, rng.integers(1, 10, n)))
+    texts = [t for i in range(60) for t in (f"the hall of la {chr(97 + i % 26)}on.{d(2)}@box{i}.example.com and so",
+                                            f"some are in +1 ({d(3)}) {d(3)}-{d(4)} on the way", f"order {d(16)} of the list",
+                                            f"part {d(3)}-{d(3)}-{d(4)} is in the box")]
+    model = pii.fit_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {"please write to jane.doe (at) host (dot) com today": ("email", "jane.doe (at) host (dot) com"),
+            "or to jo[at]some[dot]host[dot]org. Then go": ("email", "jo[at]some[dot]host[dot]org"),
+            "call 555-123-4567 now": ("phone", "555-123-4567"), "his phone is 555/123-4567 at work": ("phone", "555/123-4567"),
+            "lot 555-123-4567 was sold": None, "number 2123465659789240 of the list": None}
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    for r in pii.find_pii(rows, model).collect():
+        text = list(want)[r["doc_id"]]
+        got = [(s["kind"], text[s["start"]:s["stop"]]) for s in r["added"]]
+        assert got == ([want[text]] if want[text] else []) and not r["base"]
+
+
 # ------------------------------------------------------------ mixing
 def test_water_fill_shares_the_excess():
     assert mixing.water_fill([10, 100, 100], [5, 2, 1], 210) == pytest.approx([30, 120, 60])
