@@ -9,11 +9,17 @@ sentinel as its text shows where the text lies inside the span, which gives
 the loss mask of assistant turns.
 
 ``stream`` mode keeps the first turn and the last ``WINDOW`` turns of a
-conversation as context, so memory stays bounded and time linear however long
-a conversation is; ``rewrites_history`` decides on probes whether a template
-allows that, and a turn that breaks the prefix rule later raises.  Templates
+conversation as context; ``rewrites_history`` decides on probes whether a
+template allows that, and a turn that breaks the prefix rule later raises.
+Templates that declare ``turn_local = True`` (what a turn adds depends on no
+others) need no more, so memory stays bounded however long a conversation is.
+With any other template the turns are held, and the output of each whole
+conversation is rendered once and compared with its pieces; if they differ,
+the operator raises.  Templates
 that rewrite history go through ``buffer`` mode: a turn's span starts where
-the output of the turns before it stops agreeing with the final output.
+the output of the turns before it stops agreeing with the final output, and
+the loss span is found with the sentinel in the whole conversation; a text
+that the final output leaves out has none, one that can't be located raises.
 
 ``MarkedTemplate`` marks turns and escapes control strings in texts and roles
 reversibly: one backslash goes behind the first character of every control
@@ -43,6 +49,7 @@ Turn = tuple[str, str]
 class MarkedTemplate:
     """``<|im_start|>role\\ntext<|im_end|>\\n`` per turn."""
 
+    turn_local = True
     START, END = "<|im_start|>", "<|im_end|>"
     CONTROLS = (START, END, "<s>", "</s>", "[INST]", "[/INST]")
     _rest = "|".join(re.escape(c[1:]) for c in CONTROLS if c[0] == "<")
@@ -136,6 +143,17 @@ def buffered_spans(template, turns: list[Turn]) -> list[tuple[int, int]]:
     return list(zip(starts, [*starts[1:], len(final)]))
 
 
+def buffered_loss(template, turns: list[Turn], k: int, final: str) -> tuple[int | None, int | None]:
+    """Where the text of turn ``k`` lies in the final output; None if it isn't part of it."""
+    marked = template.render([*turns[:k], (turns[k][0], SENTINEL), *turns[k + 1:]])
+    head, mark, tail = marked.partition(SENTINEL)
+    if not mark and marked == final:
+        return None, None
+    if not mark or not final.startswith(head) or not final.endswith(tail) or len(head) + len(tail) > len(final):
+        raise ValueError(f"turn {k}: its text can't be located in the output")
+    return len(head), len(final) - len(tail)
+
+
 class _Conversation:
     """Turns of one conversation as they arrive, with bounded context."""
 
@@ -185,7 +203,8 @@ def format_chats(rows: DataFrame, template, *, mode: str = "stream", conv_col: s
     fields = [conv_col, *(f.split()[0] for f in PIECES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, conv, held = object(), None, []
+        current, conv, held, made = object(), None, [], []
+        whole = mode == "stream" and not getattr(template, "turn_local", False)
 
         def flush(out):
             if mode == "buffer" and held:
@@ -193,10 +212,12 @@ def format_chats(rows: DataFrame, template, *, mode: str = "stream", conv_col: s
                 for k, (a, b) in enumerate(buffered_spans(template, held)):
                     loss = (None, None)
                     if held[k][0] == "assistant":
-                        at = final.find(held[k][1], a, b)
-                        loss = (at, at + len(held[k][1])) if at >= 0 else loss
+                        loss = buffered_loss(template, held, k, final)
                     out.append((current, k, held[k][0], a, b, *loss, final[a:b]))
-                held.clear()
+            elif held and template.render(held) != "".join(made):
+                raise ValueError("the template rewrites history; use mode='buffer'")
+            held.clear()
+            made.clear()
 
         for batch in batches:
             out: list[tuple] = []
@@ -210,6 +231,9 @@ def format_chats(rows: DataFrame, template, *, mode: str = "stream", conv_col: s
                 else:
                     n, a, b, la, lb, piece = conv.add((role, text))
                     out.append((cid, n, role, a, b, la, lb, piece))
+                    if whole:
+                        held.append((role, text))
+                        made.append(piece)
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), types(batch.column(0).type))], fields)

@@ -286,6 +286,27 @@ def test_templates_that_rewrite_history_are_detected(spark):
     assert "".join(r["piece"] for r in rows) == "[user]a;[assistant]...;[user]c;[assistant]d;"
 
 
+def test_late_rewrites_raise_and_buffered_loss_is_the_text(spark):
+    class ForgetsLate:  # local, so that it travels to the tasks by value
+        """Leaves out all but the last 10 turns once there are more than 20."""
+
+        def render(self, turns):
+            return "".join(f"{r}:{t};" for r, t in (turns if len(turns) <= 20 else turns[-10:]))
+
+    rows = [(1, i, "assistant" if i % 2 else "user", "a" if i % 2 else "hi") for i in range(30)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="rewrites history"):
+        chat.format_chats(df, ForgetsLate()).collect()
+    assert chat.format_chats(df.where("turn < 20"), ForgetsLate()).count() == 20
+    got = {r["pos"]: r for r in chat.format_chats(df, ForgetsLate(), mode="buffer").collect()}
+    final = ForgetsLate().render([(r, t) for _, _, r, t in rows])
+    for k in range(1, 30, 2):
+        assert (got[k]["loss_start"] is None) == (k < 20)
+        if k >= 20:
+            a = got[k]["loss_start"]
+            assert final[a - 10:a + 2] == "assistant:a;" and got[k]["loss_stop"] == a + 1
+
+
 # ------------------------------------------------------------ PII
 def test_base_spans():
     text = "a@b.co x@y 1.2.3.255 1.2.3.256 4111 1111 1111 1111 4111111111111112 +1 (555) 123-4567 +12"
