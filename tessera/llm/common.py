@@ -44,6 +44,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokeniser's file on this machine."""
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError as e:
+        raise FileNotFoundError(f"no vocabulary named: pass the path of a copy of {name}") from e
+    return public_tokenizers.path(name)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

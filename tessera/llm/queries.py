@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, fertility, jaccard_join, lang_id, mixing, pii, quality_rank, shard_propagation
+from . import chat_format, decontam, fertility, jaccard_join, lang_id, mixing, piece_codec, pii, quality_rank
+from . import shard_propagation
 from . import url_rules as urls
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, table, vocabulary
 
 SHARDS = 40
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -106,6 +107,10 @@ def op10_containment(spark, d):
     return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+def op11_piece_codec(spark, d):
+    return piece_codec.round_trips(table(spark, d, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
