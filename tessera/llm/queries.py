@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, fertility, jaccard_join, lang_id, mixing, piece_codec, pii, quality_rank
-from . import shard_propagation
+from . import chat_format, decontam, divergence_audit, fertility, jaccard_join, lang_id, mixing, piece_codec, pii
+from . import quality_rank, shard_propagation
 from . import url_rules as urls
 from .common import crc_mod, cut, table, vocabulary
 
@@ -111,6 +111,10 @@ def op11_piece_codec(spark, d):
     return piece_codec.round_trips(table(spark, d, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op13_divergence_audit(spark, d):
+    return divergence_audit.audit_sources(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
@@ -171,5 +175,37 @@ def chat_sql() -> str:
     FROM c GROUP BY conv_id"""
 
 
+def audit_sql() -> str:
+    """The same on the dense table of groups by kept terms."""
+    share = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({t} + 2 * v)"
+    gap = "(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+    return f"""
+    WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLD},
+               '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) GROUP BY 1, 2, 3),
+    k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY 1, 2
+          HAVING count(*) >= {divergence_audit.MIN_DOCS}),
+    l AS (SELECT lang, term, sum(n) AS n FROM c JOIN k USING (lang, term) GROUP BY 1, 2),
+    t AS (SELECT lang, count(*) AS v, sum(n) AS t FROM l GROUP BY 1),
+    q AS (SELECT lang, term, {share.format(n='l.n', t='t.t')} AS q FROM l JOIN t USING (lang)),
+    s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang)
+          LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    o AS (SELECT lang, source, sum(n) AS t FROM s GROUP BY 1, 2),
+    p AS (SELECT s.lang, s.source, s.term, s.n, {share.format(n='s.n', t='o.t')} AS p FROM s JOIN o USING (lang, source)
+          JOIN t USING (lang)),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum({gap.format(p='a.p', q='b.p')}) AS value FROM p a JOIN p b
+          ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b
+              ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+    terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, {gap.format(p='p.p', q='q.q')} AS value
+              FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    WHERE part = 'pair' OR rank <= {divergence_audit.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": jaccard_sql(), "op6_chat_spans": chat_sql(), "op10_containment": decontam_sql()}
+    return {"op13_divergence_audit": audit_sql(), "op5_jaccard_join": jaccard_sql(), "op6_chat_spans": chat_sql(), "op10_containment": decontam_sql()}
