@@ -42,7 +42,7 @@ from .common import map_batches
 SPACE = "▁".encode()  # white space in a normalised text
 HEAD = b"\xff"  # marks a word that begins without it; no byte of UTF-8
 #: Bytes of words and their pieces that a task keeps; two generations of them.
-CACHE = 40 << 20
+CACHE = 96 << 20
 #: Bytes of text whose words are learned and encoded at once.
 SLICE = 1 << 20
 #: Words of more characters are merged through a queue.
@@ -50,7 +50,6 @@ WIDE = 48
 #: Rows of the merge matrix.
 ROWS = 1 << 14
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-NONE = np.int32(np.iinfo(np.int32).max)
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -234,32 +233,30 @@ class PieceModel:
                 if left is not None and right is not None:
                     table[left * self.size + right] = (order[scores[i]], i)
         self.pairs = table
-        self.keys = np.array(sorted(table) or [-1], np.int64)
-        self.ranks = np.array([table[k][0] if k >= 0 else NONE for k in self.keys.tolist()], np.int32)
-        self.merged = np.array([table[k][1] if k >= 0 else 0 for k in self.keys.tolist()], np.int32)
+        self.kind = np.int16 if self.size < np.iinfo(np.int16).max else np.int32
+        self.none = np.iinfo(self.kind).max
+        self.slots = PairTable(table, self.kind)
         self.cache = WordCache(self)
 
     # ------------------------------------------------------------- merging
     def best(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of merging each pair (``NONE``: no piece)."""
+        """Rank and result of merging each pair (``none``: no piece)."""
         key = left.astype(np.int64) * self.size + right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        ok = (self.keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(ok, self.ranks[at], NONE), self.merged[at]
+        key[(left < 0) | (right < 0)] = -1
+        return self.slots.find(key)
 
     def merge_rows(self, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge the words in the rows of ``sym``, ``lens`` symbols each; returns
         the same, merged, with as many columns."""
         out, n_out = np.full_like(sym, -1), lens.copy()
         row = np.arange(len(sym))
-        sym = np.c_[sym, np.full(len(sym), -1, np.int32)]
+        sym = np.c_[sym, np.full(len(sym), -1, sym.dtype)]
         top = sym.shape[1] - 1
         rank, into = self.best(sym[:, :-1].ravel(), sym[:, 1:].ravel())
         rank, into = rank.reshape(-1, top), into.reshape(-1, top)
         while True:
             at = rank.argmin(axis=1)  # the best pair, the first of equal ones
-            live = rank[np.arange(len(row)), at] != NONE
+            live = rank[np.arange(len(row)), at] != self.none
             done = ~live
             out[row[done], :top] = sym[done, :top]
             n_out[row[done]] = lens[done]
@@ -270,13 +267,12 @@ class PieceModel:
             new = into[here, at]
             top = int(lens.max())
             # Close the gap behind the merged place; rows end in -1, which no pair has.
-            place = np.arange(top + 1)
-            sym = np.take_along_axis(sym, np.minimum(place + (place > at[:, None]), sym.shape[1] - 1), 1)
+            behind = np.arange(top + 1) > at[:, None]
+            sym = np.where(behind, sym[:, 1:top + 2], sym[:, :top + 1])
             sym[here, at] = new
-            place = np.arange(top)
-            shift = np.minimum(place + (place >= at[:, None]), rank.shape[1] - 1)
-            rank, into = np.take_along_axis(rank, shift, 1), np.take_along_axis(into, shift, 1)
-            rank[place >= (lens - 1)[:, None]] = NONE
+            behind = np.arange(top) >= at[:, None]
+            rank = np.where(behind, rank[:, 1:top + 1], rank[:, :top])
+            into = np.where(behind, into[:, 1:top + 1], into[:, :top])
             for side in (0, 1):  # the pairs before and behind it
                 p = at - 1 + side
                 ok = np.flatnonzero((p >= 0) & (p < lens - 1))
@@ -313,7 +309,7 @@ class PieceModel:
         """The ids of normalised words, byte pieces included, as 32-bit integers."""
         points = np.frombuffer(b"".join(words).decode().encode("utf-32-le"), np.uint32)
         known = self.by_point[np.minimum(points, len(self.by_point) - 1)]
-        symbols = np.where(known >= 0, known, -1 - points.astype(np.int64)).astype(np.int32)
+        strange = np.flatnonzero(known < 0)  # characters outside the vocabulary never merge
         # Characters per word: its bytes that don't continue one.
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
@@ -327,11 +323,11 @@ class PieceModel:
             n, top = lens[part], int(lens[part[-1]])
             place = np.arange(top)
             inside = place < n[:, None]
-            sym = np.full((len(part), top), -1, np.int32)
-            sym[inside] = symbols[((ends[part] - n)[:, None] + place)[inside]]
+            sym = np.full((len(part), top), -1, self.kind)
+            sym[inside] = known[((ends[part] - n)[:, None] + place)[inside]]
             sym, n = self.merge_rows(sym, n)
             inside = place < n[:, None]
-            flat = sym[inside].tobytes()
+            flat = sym[inside].astype(np.int32).tobytes()
             stops = (np.cumsum(n) * 4).tolist()
             odd = ((sym < 0) & inside).any(axis=1)
             begin = 0
@@ -339,19 +335,24 @@ class PieceModel:
                 out[i] = flat[begin:stop]
                 begin = stop
             for k in np.flatnonzero(odd).tolist():
-                out[part[k]] = self.spell(sym[k, :n[k]].tolist())
+                i = part[k]
+                a, b = np.searchsorted(strange, [ends[i] - lens[i], ends[i]])
+                out[i] = self.spell(sym[k, :n[k]].tolist(), points[strange[a:b]].tolist())
         for i in order[n_short:].tolist():
-            out[i] = self.spell(self.merge_long(symbols[ends[i] - lens[i]:ends[i]].tolist()))
+            a, b = np.searchsorted(strange, [ends[i] - lens[i], ends[i]])
+            out[i] = self.spell(self.merge_long(known[ends[i] - lens[i]:ends[i]].tolist()), points[strange[a:b]].tolist())
         return out
 
-    def spell(self, ids: list[int]) -> bytes:
-        """The same, with characters outside the vocabulary as byte pieces or as the unknown id."""
+    def spell(self, ids: list[int], strange: list[int]) -> bytes:
+        """The ids with the characters outside the vocabulary (-1, their code
+        points in order) as byte pieces or as the unknown id."""
         out: list[int] = []
+        points = iter(strange)
         for i in ids:
             if i >= 0:
                 out.append(i)
             elif self.fallback:
-                out += [self.bytes[b] for b in chr(-1 - i).encode()]
+                out += [self.bytes[b] for b in chr(next(points)).encode()]
             elif not out or out[-1] != self.unk:  # unknown characters in a row are one piece
                 out.append(self.unk)
         return np.array(out, np.int32).tobytes()
@@ -445,6 +446,51 @@ class PieceModel:
         return "".join(out)
 
 
+class PairTable:
+    """Rank and result by pair, found by two hashes without a search: every
+    pair lies in its first or in its second place."""
+
+    def __init__(self, pairs: dict[int, tuple[int, int]], kind: type):
+        self.kind, self.none = kind, np.iinfo(kind).max
+        bits = max(4, (2 * len(pairs)).bit_length())
+        rng = np.random.default_rng(5)
+        while not self._fill(pairs, bits, rng):
+            bits += 1
+
+    def _fill(self, pairs: dict[int, tuple[int, int]], bits: int, rng: np.random.Generator) -> bool:
+        self.shift = np.uint64(64 - bits)
+        self.salts = rng.integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        first, second = (p.tolist() for p in self._places(keys))
+        place_of = {k: (a, b + (1 << bits)) for k, a, b in zip(keys.tolist(), first, second)}
+        held: list = [None] * (2 << bits)
+        for k in pairs:
+            at = place_of[k][0]
+            for _ in range(200):  # move whoever lies there to the other place
+                k, held[at] = held[at], k
+                if k is None:
+                    break
+                a, b = place_of[k]
+                at = b if at == a else a
+            else:
+                return False
+        self.keys = np.array([-2 if k is None else k for k in held], np.int64)
+        self.ranks = np.array([self.none if k is None else pairs[k][0] for k in held], self.kind)
+        self.merged = np.array([0 if k is None else pairs[k][1] for k in held], self.kind)
+        self.half = 1 << bits
+        return True
+
+    def _places(self, keys: np.ndarray) -> list[np.ndarray]:
+        return [((keys.astype(np.uint64) * salt) >> self.shift).astype(np.int64) for salt in self.salts]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, second = self._places(keys)
+        at = np.where(self.keys[first] == keys, first, second + self.half)
+        rank = self.ranks[at]
+        rank[self.keys[at] != keys] = self.none
+        return rank, self.merged[at]
+
+
 class WordCache:
     """Pieces by word, in two generations: words not met since the younger one
     was begun are forgotten when it is full."""
@@ -469,7 +515,7 @@ class WordCache:
         full = [w[1:] if w[:1] == HEAD else SPACE + w for w in rest]
         if rest:
             self.young.update(zip(rest, self.model.merge(full)))
-        self.used += sum(len(w) + len(self.young[w]) + 160 for w in new)
+        self.used += 5 * sum(map(len, new)) + 200 * len(new)  # a piece takes 4 bytes, at least one of the word's
 
     def ids_of(self, words: list[bytes]) -> np.ndarray:
         """The pieces of learned words."""
