@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import chat_format, decontam, divergence_audit, fertility, jaccard_join, lang_id, mixing, piece_codec, pii
-from . import quality_rank, shard_propagation
+from . import prefix_trie, quality_rank, shard_propagation
 from . import url_rules as urls
 from .common import crc_mod, cut, table, vocabulary
 
@@ -111,6 +111,10 @@ def op11_piece_codec(spark, d):
     return piece_codec.round_trips(table(spark, d, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op12_prefix_trie(spark, d):
+    return prefix_trie.prefix_trie(table(spark, d, "conversations"))
+
+
 def op13_divergence_audit(spark, d):
     return divergence_audit.audit_sources(table(spark, d, "documents"))
 
@@ -207,5 +211,30 @@ def audit_sql() -> str:
     WHERE part = 'pair' OR rank <= {divergence_audit.TOP}"""
 
 
+def trie_sql() -> str:
+    """Rebuilt turns as lists; nodes are their distinct prefixes."""
+    bits = ", ".join(["-1"] * 8)
+    crc = f"""xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+              lambda ch: [ascii(ch), {bits}])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+              ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+    return f"""
+    WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+               ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+               FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+    h AS (SELECT conv_id, l, CAST({crc} % 6 AS BIGINT) AS h FROM o),
+    b AS (SELECT h.conv_id, coalesce(o.l, [])[1:h.h] || h.l[h.h + 1:] AS l FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100),
+    p AS (SELECT conv_id, d, l[1:d] AS k, len(l) = d AS ends FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM b)),
+    n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n,
+          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS e FROM p GROUP BY 1, 2),
+    c AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY 1, 2),
+    m AS (SELECT n.*, coalesce(c.n, 0) AS kids, CASE WHEN n.d > 0 THEN (n.n - 1) * length(n.k[n.d].t) ELSE 0 END AS saved
+          FROM n LEFT JOIN c ON c.d = n.d AND c.k = n.k),
+    s AS (SELECT a AS d, k[1:a] AS k, sum(saved) AS saved, count(*) FILTER (kids = 0) AS leaves
+          FROM (SELECT *, unnest(range(d + 1)) AS a FROM m) GROUP BY 1, 2)
+    SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.n AS n_convs, m.kids AS n_children,
+           s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, m.e AS ends_sha256
+    FROM m JOIN s ON s.d = m.d AND s.k = m.k LEFT JOIN n u ON u.d = m.d - 1 AND u.k = m.k[1:m.d - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op13_divergence_audit": audit_sql(), "op5_jaccard_join": jaccard_sql(), "op6_chat_spans": chat_sql(), "op10_containment": decontam_sql()}
+    return {"op12_prefix_trie": trie_sql(), "op13_divergence_audit": audit_sql(), "op5_jaccard_join": jaccard_sql(), "op6_chat_spans": chat_sql(), "op10_containment": decontam_sql()}

@@ -14,7 +14,7 @@ OPS = sorted(Q.queries())
 
 
 def test_one_query_per_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in OPS) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in OPS) == list(range(1, 14))
     assert set(OPS) | {"pipeline"} <= set(E.queries())
 
 
