@@ -1,19 +1,23 @@
 """Quality rules: tokeniser fertility with rejection bands per language.
 
-A public byte-level BPE vocabulary (its path is a parameter, nothing is
-trained) splits every word of the whole text.  Three figures per document:
+Public vocabularies (their paths are a parameter, nothing is trained) split
+every word of the whole text.  Per document and vocabulary:
 
 * ``chars_per_token``: code points in words per token;
 * ``fallback_share``: share of tokens that are no whole characters, that is
   where the vocabulary falls back to bytes;
+
+and, under the first one:
+
 * ``entropy``: Shannon entropy of the document's tokens, as a share of what
   a text of that many tokens can reach (``log2(min(tokens, 512))``).
 
 ``bands`` takes the quartiles of each figure over *all* documents of a group
-(language column, or script where there is none) that pass the base rules; a document
-outside ``[q1 - 2*iqr, q3 + 3*iqr]`` on the side where junk lies is rejected,
-at every size.  Labelled junk shows in low figures, so those limits are the
-narrower ones; high figures are more often those of good texts.
+(language column, or script where there is none) that pass the base rules; a
+document with a figure outside ``[q1 - 2*iqr, q3 + 3*iqr]``, on the side where
+junk lies, under most of the vocabularies is rejected, at every size.  Labelled
+junk shows in low figures, so those limits are the narrower ones; high figures
+are more often those of good texts.
 
 Defined results: null and empty texts have no words and fail the base rules;
 a null language is a group of its own; groups with a spread below the least
@@ -25,23 +29,30 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import vocabulary
+from .piece_codec import SPACE, PieceModel
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Files of public vocabularies; entropy is that of the first one's tokens.
+VOCABULARIES = ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
-CACHE = 300_000
-PIECE = 1 << 22
+#: Bytes of words and tokens in a generation of a task's table.
+CACHE = 32 << 20
+#: Bytes of text whose words are split at once, and words encoded at once.
+PIECE = 1 << 20
+LEARN = 50_000
 MIN_WORDS = 50
 #: Width of the bands in interquartile ranges, below and above the quartiles.
 BELOW, ABOVE = 2.0, 3.0
-#: Per figure: (column, reject below, reject above, widths, least interquartile range).
+#: Per figure: (column, reject below, reject above, least interquartile range).
 FIGURES = (("chars_per_token", BELOW, ABOVE, 0.08), ("fallback_share", None, ABOVE, 0.01), ("entropy", BELOW, None, 0.02))
 
 STATS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -89,14 +100,13 @@ def script_of(lead: np.ndarray) -> str:
     return best if rest[best] else "none"
 
 
-class WordTokens:
-    """Token ids by word.  Words of a batch that aren't known yet are encoded
-    together; the cache is emptied when it outgrows ``CACHE`` words."""
+class RankFile:
+    """Words under a byte-level BPE vocabulary: a file of tokens and ranks."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, path: str):
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoder = tiktoken.Encoding("words", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -107,88 +117,143 @@ class WordTokens:
                 token.decode("utf-8")
             except UnicodeDecodeError:
                 self.partial[i] = True
-        self._clear()
 
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def encode(self, ws: list[bytes]) -> list[bytes]:
+        """The 32-bit ids of each word, with a space before it."""
+        ids = np.array(self.encoder.encode_ordinary((b" " + b" ".join(ws)).decode()), np.int32)
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w) + 1 for w in ws])) + 1
+        flat, stops = ids.tobytes(), (ends * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *stops], stops)]
+
+
+class PieceFile:
+    """The same under a vocabulary of pieces with byte fallback."""
+
+    def __init__(self, path: str):
+        self.model = PieceModel(path)
+        self.partial = self.model.is_byte
+
+    def encode(self, ws: list[bytes]) -> list[bytes]:
+        return self.model.merge([SPACE + w for w in ws])
+
+
+class WordTokens:
+    """Ids by word under the first vocabulary, and under each of the others the
+    number of tokens and of those that are no whole characters.
+
+    Words of a batch that aren't known yet are encoded together.  Two
+    generations of words are kept within ``CACHE`` bytes each; those not met
+    since the younger one was begun are forgotten when it is full."""
+
+    def __init__(self, paths: list[str]):
+        self.coders = [(PieceFile if p.endswith(".model") else RankFile)(p) for p in paths]
+        self.partial = self.coders[0].partial
+        self.young: dict[bytes, tuple[bytes, bytes]] = {}
+        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+        self.used = 0
 
     def learn(self, ws: set[bytes]) -> None:
-        new = [w for w in ws if w not in self.index]
-        if len(self.index) + len(new) > CACHE:
-            self._clear()
-            new = list(ws)
-        if not new:
-            return
-        text = b" " + b" ".join(new)
-        ids = np.array(self.encoder.encode_ordinary(text.decode("utf-8", "replace")), np.int32)
-        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w) + 1 for w in new])) + 1
-        starts = np.r_[0, ends[:-1]]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.start = np.r_[self.start, starts + len(self.ids)]
-        self.count = np.r_[self.count, ends - starts]
-        self.ids = np.r_[self.ids, ids]
-
-    def encode(self, ws: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-        n = self.count[at]
-        skip = np.repeat(self.start[at] - (np.cumsum(n) - n), n)
-        return self.ids[skip + np.arange(len(skip))]
-
-
-def text_stats(texts: list[str | None], tokens: WordTokens) -> list[tuple]:
-    out, start = [], 0
-    while start < len(texts):  # learn the words of about PIECE bytes at once
+        """Make sure that all words are in the younger generation."""
+        new = ws - self.young.keys()
+        if new and self.used > CACHE:
+            self.old, self.young, self.used, new = self.young, {}, 0, ws
+        known = new & self.old.keys()
+        self.young.update((w, self.old[w]) for w in known)
+        rest = list(new - known)
+        for a in range(0, len(rest), LEARN):
+            part = rest[a:a + LEARN]
+            first, *others = (c.encode(part) for c in self.coders)
+            counts = np.zeros((len(part), len(others), 2), np.uint32)
+            for k, ids in enumerate(others):
+                n = np.fromiter(map(len, ids), np.int64, len(part)) // 4
+                partial = self.coders[k + 1].partial[np.frombuffer(b"".join(ids), np.int32)]
+                upto = np.r_[0, np.cumsum(partial)]
+                stops = np.cumsum(n)
+                counts[:, k, 0], counts[:, k, 1] = n, upto[stops] - upto[stops - n]
+            flat, width = counts.tobytes(), 8 * len(others)
+            self.young.update(zip(part, zip(first, (flat[i:i + width] for i in range(0, width * len(part), width))
+                                            if width else [b""] * len(part))))
+        # A token takes 4 bytes, at least one of the word's.
+        self.used += 5 * sum(map(len, new)) + (300 + 8 * len(self.coders)) * len(new)
+
+    def encode(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of learned words, and the sums of the others' (tokens, partial ones)."""
+        found = list(map(self.young.__getitem__, ws))
+        rest = np.frombuffer(b"".join([b for _, b in found]), np.uint32).astype(np.int64)
+        return (np.frombuffer(b"".join([a for a, _ in found]), np.int32),
+                rest.reshape(len(ws), len(self.coders) - 1, 2).sum(axis=0))
+
+
+def text_stats(texts: Iterable[str | None], tokens: WordTokens) -> list[tuple]:
+    out, texts = [], iter(texts)
+    while True:  # learn the words of about PIECE bytes at once
         part, size = [], 0
-        while start < len(texts) and size < PIECE:
-            data = (texts[start] or "").encode("utf-8", "replace")
+        for text in texts:
+            data = (text or "").encode("utf-8", "replace")
             part.append(base_counts(data))
             size += len(data)
-            start += 1
+            if size >= PIECE:
+                break
+        if not part:
+            return out
         tokens.learn({w for p in part for w in p[0]})
         for ws, hist, chars, symbols, dup, repeat in part:
             n, fallback, entropy = 0, 0, 0.0
+            others = np.zeros((len(tokens.coders) - 1, 2), np.int64)
             if ws:
-                ids = tokens.encode(ws)
+                ids, others = tokens.encode(ws)
                 n, fallback = len(ids), int(tokens.partial[ids].sum())
                 if n > 1:
                     p = np.unique(ids, return_counts=True)[1] / n
                     entropy = min(1.0, float(-(p @ np.log2(p))) / float(np.log2(min(n, 512))))
+            more = [x for m, f in others.tolist() for x in (chars / max(1, m), f / max(1, m))]
             out.append((len(ws), chars, symbols, dup, repeat, n, chars / max(1, n), fallback / max(1, n), entropy,
-                        script_of(hist)))
-    return out
+                        script_of(hist), *more))
 
 
-def measure(docs: DataFrame, keep: list[str], *, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` columns and the figures of every document.  ``keep`` may hold
-    the text itself; it must not use the names of the figures."""
+def measure(docs: DataFrame, keep: list[str], *, text_col: str = "text",
+            vocabularies: list[str] | None = None) -> DataFrame:
+    """``keep`` columns and the figures of every document, under the
+    vocabularies at the given paths.  ``keep`` may hold the text itself; it
+    must not use the names of the figures."""
+    paths = [vocabulary(v) for v in VOCABULARIES] if vocabularies is None else vocabularies
     src = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
     at = keep.index(text_col) if text_col in keep else len(keep)
+    stats = ", ".join([STATS, *[f"chars_per_token_{k} double, fallback_share_{k} double" for k in range(2, len(paths) + 1)]])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:len(keep)])
-    names = [s.split()[0] for s in STATS.split(", ")]
-    made: list[WordTokens] = []
+    names = [s.split()[0] for s in stats.split(", ")]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not made:
-            made.append(WordTokens(vocabulary))
-        rows = text_stats(batch.column(at).to_pylist(), made[0])
-        kept = batch.columns[:len(keep)]
-        return pa.record_batch([*kept, *map(pa.array, zip(*rows))], [*keep, *names]) if rows else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = None  # ends with the task
+        for batch in batches:
+            tokens = tokens or WordTokens(paths)
+            rows = text_stats((t.as_py() for t in batch.column(at)), tokens)
+            if rows:
+                yield pa.record_batch([*batch.columns[:len(keep)], *map(pa.array, zip(*rows))], [*keep, *names])
 
-    return map_batches(src, run, f"{schema}, {STATS}")
+    return src.mapInArrow(run, f"{schema}, {stats}")
 
 
 def base_failed(n_words="n_words", n_repeat="n_repeat_words") -> Column:
     return (F.col(n_words) < MIN_WORDS) | (100 * F.col(n_repeat) > 50 * F.col(n_words))
 
 
+def figures(stats: DataFrame) -> list[tuple]:
+    """(column, reject below, reject above, least interquartile range) of all
+    figures that ``stats`` has."""
+    more = [(f"{c}_{k}", low, high, least) for k in range(2, 10) for c, low, high, least in FIGURES
+            if f"{c}_{k}" in stats.columns]
+    return [*FIGURES, *more]
+
+
 def bands(stats: DataFrame, group: Column) -> DataFrame:
     """Per group: the limits of each figure, from its quartiles over all
     documents that pass the base rules."""
-    aggs = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c, *_ in FIGURES]
+    found = figures(stats)
+    aggs = [F.percentile_approx(c, [0.25, 0.75], 10_000).alias(c) for c, *_ in found]
     q = stats.where(~base_failed()).groupBy(group.alias("_group")).agg(*aggs)
     cols = [F.col("_group")]
-    for c, low, high, least in FIGURES:
+    for c, low, high, least in found:
         spread = F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(least))
         cols.append((F.col(c)[0] - low * spread if low else F.lit(None).cast("double")).alias(f"{c}_low"))
         cols.append((F.col(c)[1] + high * spread if high else F.lit(None).cast("double")).alias(f"{c}_high"))
@@ -200,9 +265,11 @@ def judge(stats: DataFrame, limits: DataFrame, group: Column) -> DataFrame:
     or script; a group without a row has no document that passes the base rules."""
     out = stats.withColumn("_group", group).withColumn("base_failed", base_failed())
     inside = F.lit(True)
-    for c, *_ in FIGURES:
-        inside &= F.coalesce(F.col(c) >= F.col(f"{c}_low"), F.lit(True))
-        inside &= F.coalesce(F.col(c) <= F.col(f"{c}_high"), F.lit(True))
+    for name, *_ in FIGURES:
+        under = [c for c, *_ in figures(stats) if c == name or c.startswith(f"{name}_")]
+        outside = [F.coalesce((F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high")), F.col(c) < F.col(f"{c}_low"),
+                              F.col(c) > F.col(f"{c}_high"), F.lit(False)).cast("int") for c in under]
+        inside &= 2 * reduce(lambda a, b: a + b, outside) <= len(under)
     extra = [n for n in limits.columns if n != "_group"]
     joined = out.join(limits.withColumnRenamed("_group", "_g"), F.col("_group").eqNullSafe(F.col("_g")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & inside).drop("_group", "_g", *extra)

@@ -53,10 +53,10 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: Bands up to this size index one-deletion neighbourhoods.
 SMALL = 32
-#: Signatures per part, the unit that is sorted in memory.
-PART = 2_000_000
+#: Signatures per part, the unit that is sorted in memory, and signatures sent at once.
+PART, FLUSH = 1_000_000, 250_000
 #: Bytes of text hashed at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Sets per bucket from which the check for shingles of one's own is worth its cost.
 CROWD = 24
 
@@ -282,7 +282,7 @@ def shared_signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, part
 
             def flush():
                 sig = np.concatenate(sigs)
-                doc = np.concatenate(docs_).astype(np.uint32)
+                doc = np.concatenate(docs_)
                 role = np.concatenate(roles)
                 node = np.array(nodes, np.int64)
                 part = ((sig >> U(32)) * U(parts) >> U(32)).astype(np.int64)
@@ -307,11 +307,11 @@ def shared_signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, part
                 seen.add(node)
                 for sig, role in signatures(s, bands)[0]:
                     sigs.append(sig)
-                    docs_.append(np.full(len(sig), len(nodes)))
+                    docs_.append(np.full(len(sig), len(nodes), np.uint32))
                     roles.append(np.full(len(sig), role, np.uint8))
                     size += len(sig)
                 nodes.append(node)
-                if size > PART // 2:
+                if size > FLUSH:
                     yield flush()
                     nodes, sigs, docs_, roles, size = [], [], [], [], 0
             if size:

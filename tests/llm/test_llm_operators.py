@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import chat_format as chat
 from tessera.llm import decontam, fertility, jaccard_join, lang_id, mixing, pii, quality_rank, shard_propagation
 from tessera.llm import url_rules as urls
-from tessera.llm.common import table
+from tessera.llm.common import table, vocabulary
 from tessera.llm.components import connected_components
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -446,11 +446,24 @@ def test_base_counts_match_brute_force(spark, sf_dir, odd, none):
     assert fertility.judge(stats, fertility.bands(stats, F.col("lang")), F.col("lang")).count() == 0
 
 
-def test_tokens_of_words_equal_the_tokens_of_the_text():
-    t = fertility.WordTokens(fertility.VOCABULARY)
-    ws = "der Straße über naïve 日本語 zebra zebra".encode().split()
-    t.learn(set(ws))
-    assert t.encode(ws).tolist() == t.encoder.encode_ordinary(" " + " ".join(w.decode() for w in ws))
+def test_tokens_of_words_equal_the_tokens_of_the_text(monkeypatch):
+    import sentencepiece
+
+    paths = [vocabulary(v) for v in fertility.VOCABULARIES]
+    text = "der Straße über naïve 日本語 zebra zebra \U00013000"
+    pieces = sentencepiece.SentencePieceProcessor(model_file=paths[2])
+    for cache in (1 << 20, 500):
+        monkeypatch.setattr(fertility, "CACHE", cache)
+        t = fertility.WordTokens(paths)
+        for ws in (text.encode().split(), b"zebra zoo".split(), text.encode().split()):
+            t.learn(set(ws))
+            ids, others = t.encode(ws)
+            whole = b" ".join(ws).decode()
+            assert ids.tolist() == t.coders[0].encoder.encode_ordinary(" " + whole)
+            other = t.coders[1].encoder.encode_ordinary(" " + whole)
+            assert others[0].tolist() == [len(other), int(t.coders[1].partial[other].sum())]
+            split = pieces.encode(whole)
+            assert others[1].tolist() == [len(split), sum(pieces.is_byte(i) for i in split)]
 
 
 def test_bands_reject_outliers_only(spark, sf_dir):
