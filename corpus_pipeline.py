@@ -1,87 +1,7 @@
-"""From raw documents to shards: five stages, each one an operator of tessera.llm.
-
-Every stage takes the documents its predecessor kept, as a table, and returns
-the documents that stay (the last one: their shards).  Rows are told apart by
-a hash of id and text.
-
-Defined results: rows without words are rejected by the quality rules, and an
-empty table passes through all stages; repeated rows of one id and text are
-one group of the join; null ids and extra columns are carried along.
-"""
+"""From raw documents to shards: five stages, defined in ``tessera.llm.stages``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from tessera.llm import decontam, fertility, jaccard_join, mixing, shard_propagation
-from tessera.llm.common import cut, table
-
-SHARDS = 40
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their language's fertility bands."""
-    inner = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
-    plain = docs.toDF(*inner)
-    lang, text = (inner[docs.columns.index(c)] for c in ("lang", "text"))
-    stats = cut(fertility.measure(plain, inner, text_col=text), "measured")
-    group = F.coalesce(lang, "script")
-    judged = fertility.judge(stats, fertility.bands(stats, group), group)
-    return judged.where("kept").select(*inner).toDF(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the 5-word Jaccard join: the smallest id."""
-    rows = cut(jaccard_join.jaccard_components(docs).select(
-        "doc_id", "component", F.col("row_key").alias("_key")).where("component IS NOT NULL"), "components")
-    best = rows.groupBy("component").agg(
-        F.min(F.struct(F.isnull("doc_id").alias("n"), "doc_id", "_key")).alias("best"))
-    out = rows.join(best, "component").groupBy("_key").agg(
-        F.min(F.col("best._key") != F.col("_key")).alias("loses"), F.count(F.lit(1)).alias("rows"))
-    out = cut(out.where("loses OR rows > 1"), "decisions")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    kept = _keyed(docs).join(out, "_key", "left").where(~F.coalesce("loses", F.lit(False)))
-    return kept.withColumn("_n", first).where("rows IS NULL OR _n = 1").select(*docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't contain a benchmark item."""
-    found = decontam.find_items(_keyed(docs), table(spark, sf_dir, "benchmark"), id_col="_key")
-    leaks = cut(found.select("_key").distinct(), "leaks")
-    return _keyed(docs).join(leaks, "_key", "left_anti").select(*docs.columns)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (not at all to three times)."""
-    keyed = _keyed(docs)
-    picked, _ = mixing.mix(keyed.withColumn("_members", F.array("source")), members="_members", keep=["_key"])
-    times = picked.where("taken > 0").groupBy("_key").agg(
-        F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    # Rows of one key are equal; the first of them stands for all.
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    out = keyed.join(cut(times, "times"), "_key").withColumn("_n", first).where("_n = 1")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
-
-
-def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
-    return shard_propagation.shard_documents(docs, SHARDS, keep=["doc_id"])
-
-
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
-          ("mixture", mixture), ("sharding", sharding)]
-
-#: The tokeniser, the join's components and label propagation have no SQL form.
-ORACLE_SQL = None
-
+from tessera.llm.stages import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
