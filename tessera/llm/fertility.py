@@ -37,15 +37,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import vocabulary
+from .common import give_back, vocabulary
 from .piece_codec import SPACE, PieceModel
 
 #: Files of public vocabularies; entropy is that of the first one's tokens.
-VOCABULARIES = ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
+VOCABULARIES = ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken")
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 #: Bytes of words and tokens in a generation of a task's table.
-CACHE = 32 << 20
+CACHE = 16 << 20
 #: Bytes of text whose words are split at once, and words encoded at once.
 PIECE = 1 << 20
 LEARN = 50_000
@@ -224,12 +224,14 @@ def measure(docs: DataFrame, keep: list[str], *, text_col: str = "text",
     names = [s.split()[0] for s in stats.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = None  # ends with the task
+        tokens = batch = None  # end with the task
         for batch in batches:
             tokens = tokens or WordTokens(paths)
             rows = text_stats((t.as_py() for t in batch.column(at)), tokens)
             if rows:
                 yield pa.record_batch([*batch.columns[:len(keep)], *map(pa.array, zip(*rows))], [*keep, *names])
+        del tokens, batch
+        give_back()
 
     return src.mapInArrow(run, f"{schema}, {stats}")
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash01, map_batches
+from .common import cut, give_back, hash01, map_batches
 from .components import connected_components
 
 SHINGLE = 5
@@ -316,6 +316,9 @@ def shared_signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, part
                     nodes, sigs, docs_, roles, size = [], [], [], [], 0
             if size:
                 yield flush()
+                nodes, sigs, docs_, roles = [], [], [], []
+        batch = None
+        give_back()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -352,6 +355,8 @@ def shared_signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, part
                              np.frombuffer(roles, np.uint8)))
         if held and (out := settle()) is not None:
             yield out
+        held, batch, out = [], None, None
+        give_back()
 
     chunks = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(
         emit, "part long, nodes binary, width int, docs binary, sigs binary, roles binary")
@@ -394,17 +399,29 @@ def fetch_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n
     rows = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("t")).join(
         wanted.select("rk"), "rk", "left_semi").select("t")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, flat, ends = [], [], [0]
-        for _, s in shingle_sets(batch.column(0), n):
-            nodes.append(node_of(s))
-            flat.append(s.astype(np.int64))
-            ends.append(ends[-1] + len(s))
-        values = pa.array(np.concatenate(flat)) if flat else pa.array([], pa.int64())
-        return pa.record_batch([pa.array(nodes, pa.int64()),
-                                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["node", "shingles"])
-
-    return cut(map_batches(rows, run, "node long, shingles array<bigint>").dropDuplicates(["node"]), "sets")
+
+        def out() -> pa.RecordBatch:
+            values = pa.array(np.concatenate(flat))
+            return pa.record_batch([pa.array(nodes, pa.int64()),
+                                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["node", "shingles"])
+
+        batch = None
+        for batch in batches:
+            for _, s in shingle_sets(batch.column(0), n):
+                nodes.append(node_of(s))
+                flat.append(s.astype(np.int64))
+                ends.append(ends[-1] + len(s))
+                if ends[-1] > FLUSH:
+                    yield out()
+                    nodes, flat, ends = [], [], [0]
+        if nodes:
+            yield out()
+        nodes, flat, batch = [], [], None
+        give_back()
+
+    return cut(rows.mapInArrow(run, "node long, shingles array<bigint>").dropDuplicates(["node"]), "sets")
 
 
 def similar_links(docs: DataFrame, meta: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int,
