@@ -45,6 +45,7 @@ from tessera import (  # noqa: E402
     write_tensor,
 )
 from tessera.plans import alpha, checkpoint_dir, materialize_observed  # noqa: E402
+from tessera.plans.factorize import factorization_divergence  # noqa: E402
 from tessera.plans.factorize import q_denominator as denominator_q  # noqa: E402
 from tessera.plans.factorize import q_numerator as numerator_q  # noqa: E402
 
@@ -65,6 +66,27 @@ def q_contract_three_way(spark, d):
     return W.rounded(t, 4)
 
 
+def q_contract_any_order(spark, d):
+    """The same contraction with the products-first order of operands; sizes decide."""
+    t = contract([W.R(spark, d), W.B(spark, d), W.A(spark, d)], ["region", "brand"])
+    return W.rounded(t, 4)
+
+
+def _reduced_inputs(spark, d):
+    """A, B of a few brands, R of one region: most cells of A have no partner."""
+    b, r = W.B(spark, d), W.R(spark, d)
+    return [W.A(spark, d), b.with_df(b.df.where(F.col("brand").endswith("1"))), r.with_df(r.df.where("region = 1"))]
+
+
+def q_contract_reduced(spark, d):
+    return W.rounded(contract(_reduced_inputs(spark, d), ["region", "brand"], semi_join=True), 4)
+
+
+def q_contract_hot_keys(spark, d):
+    """Nations are few, so each holds a share of A: its rows are spread over all partitions."""
+    return W.rounded(contract([W.A(spark, d), W.R(spark, d)], ["region", "part"], skew=0.01), 4)
+
+
 def q_contract_to_scalar(spark, d):
     return W.rounded(contract([W.A(spark, d), W.B(spark, d)], []), 2)
 
@@ -128,7 +150,14 @@ def _nested(s, d):
 
 
 q_ew_nested = _ew(_nested, 4)
-q_ew_nary = _ew(lambda s, d: T(W.X1(s, d)) * T(W.Y1(s, d)) - T(W.W1(s, d)) + 3, 4)
+
+
+def _nary(s, d):
+    t = W.quantity_count_discount(s, d)  # one pass over the line items
+    return T(t["X1"]) * T(t["Y1"]) - T(t["W1"]) + 3
+
+
+q_ew_nary = _ew(_nary, 4)
 q_ew_outer_fill = _ew(lambda s, d: T(W.A(s, d, True)) + T(W.A(s, d, False)), 4, how="outer", fill=0.0)
 
 
@@ -198,6 +227,30 @@ def q_predict_support(spark, d):
     return W.rounded(predict(m, m.factorizations[0], on="support"), 6)
 
 
+def _absent_model(spark, d, p, missing):
+    return CoupledModel(W.absent_rows_tensors(spark, d), [Factorization("D", ("U", "V"), p)], missing=missing)
+
+
+def q_predict_absent_rows(spark, d):
+    """The model on the cells of D, 0 where V lacks the key."""
+    m = _absent_model(spark, d, 1.0, "masked")
+    return W.rounded(predict(m, m.factorizations[0], on="support"), 6)
+
+
+def q_divergence_absent_rows(spark, d):
+    """Divergences as text: a stored cell that the model can't reach costs infinity for p >= 1."""
+    rows = []
+    for p in (0.0, 0.5, 1.0, 1.5):
+        for missing in ("zero", "masked"):
+            m = _absent_model(spark, d, p, missing)
+            x = F.col("divergence")
+            rows.append(factorization_divergence(m, m.factorizations[0]).select(
+                F.lit(p).alias("p"), F.lit(missing).alias("missing"),
+                F.when(F.abs(x) == float("inf"), F.lit("infinite")).otherwise(
+                    F.round(x, 0).cast("decimal(38,0)").cast("string")).alias("divergence")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def q_q1(spark, d):
     m = _x1_model(spark, d)
     return W.rounded(numerator_q(m, m.factorizations[0]), 6)
@@ -214,9 +267,7 @@ def q_delta(spark, d):
 
 
 def q_alpha(spark, d):
-    m = _x1_model(spark, d, phi=2.0)
-    f = m.factorizations[0]
-    return W.rounded(delta(m, f, "Z1", 1).map_values(lambda v: v / F.lit(f.phi)), 4)
+    return W.rounded(alpha(_x1_model(spark, d, phi=2.0), "Z1", 1), 4)
 
 
 def q_factor_update(spark, d):
@@ -246,6 +297,18 @@ q_epoch_sparse = _epoch_query(
     lambda s, d: CoupledModel(W.sparse_model_tensors(s, d), [Factorization("D", ("U", "V"))]),
     lambda m: W.rounded(m.tensors["V"], 6),
 )
+def _sparse_p0(s, d):
+    return CoupledModel(W.sparse_model_tensors(s, d), [Factorization("D", ("U", "V"), 0.0)])
+
+
+q_epoch_p0_sparse = _epoch_query(_sparse_p0, lambda m: W.rounded(m.tensors["V"], 6))
+
+
+def q_fit_p0_history(spark, d):
+    res = fit(_sparse_p0(spark, d), epochs=2, checkpoint=W.has_checkpoint_dir(spark))
+    return res.history.select("epoch", "factorization", F.round("divergence", 2).alias("divergence"))
+
+
 q_epoch_masked = _epoch_query(
     lambda s, d: CoupledModel(W.sparse_model_tensors(s, d), [Factorization("D", ("U", "V"))],
                               missing="masked"),
@@ -298,11 +361,11 @@ def q_read_tensor(spark, d):
 
 
 def q_write_tensor(spark, d):
-    """The cells that come back from a written tensor, where the session names a shared folder."""
+    """The cells that come back from a written tensor: in the checkpoint folder,
+    or in the warehouse where the session names none; executors share both."""
     x = W.X1(spark, d)
-    if not W.has_checkpoint_dir(spark):
-        return W.rounded(x, 4)
-    path = f"{checkpoint_dir(spark)}/tensor-{uuid.uuid4().hex}"
+    shared = checkpoint_dir(spark) if W.has_checkpoint_dir(spark) else spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared}/tensor-{uuid.uuid4().hex}"
     write_tensor(x, path)
     return W.rounded(read_tensor(spark, path, ["i", "j"], coalesce=False), 4)
 
@@ -490,6 +553,35 @@ def _sql_epoch_masked() -> str:
     return _sql_model_query(W.sql_model_sparse, fs, "masked", 1, final)
 
 
+def _sql_divergence_absent_rows() -> str:
+    rows = []
+    for p in (0.0, 0.5, 1.0, 1.5):
+        for missing in ("zero", "masked"):
+            cell = W.sql_beta("coalesce(x, 0.0)", "mu", p)
+            where = "WHERE x IS NOT NULL" if missing == "masked" else ""
+            rows.append(f"SELECT CAST({p} AS DOUBLE) AS p, '{missing}' AS missing, SUM({cell}) AS s FROM M {where}")
+    return (W.sql_absent_rows() + "SELECT p, missing, CASE WHEN isinf(s) THEN 'infinite' "
+            "ELSE CAST(CAST(ROUND(s, 0) AS DECIMAL(38,0)) AS VARCHAR) END AS divergence FROM ("
+            + " UNION ALL ".join(rows) + ")")
+
+
+def _sql_epoch_p0() -> str:
+    def final(b, model, epochs):
+        model.epoch()
+        return b.render(f"SELECT k, p, ROUND(value, 6) AS value FROM {model.cur['V']}")
+    return _sql_model_query(W.sql_model_sparse, [("D", ["U", "V"], 0.0, 1.0)], "zero", 1, final)
+
+
+def _sql_fit_p0() -> str:
+    def final(b, model, epochs):
+        rows = []
+        for e in range(1, epochs + 1):
+            model.epoch()
+            rows.append(model.divergence_rows(e))
+        return b.render(" UNION ALL ".join(rows))
+    return _sql_model_query(W.sql_model_sparse, [("D", ["U", "V"], 0.0, 1.0)], "zero", 2, final)
+
+
 def _sql_epoch_sparse() -> str:
     fs = [("D", ["U", "V"], 1.0, 1.0)]
 
@@ -569,6 +661,13 @@ def _tensor_sql() -> dict[str, str]:
         "tensor_from_table": W.SQL_TENSORS["X1"][1],
         "contract_binary": _sql_contract(["A", "B"], ["n", "brand"], 4),
         "contract_three_way": _sql_contract(["A", "B", "R"], ["region", "brand"], 4),
+        "contract_reduced": (
+            "WITH A AS (" + W.SQL_TENSORS["A"][1] + "), B AS (" + W.SQL_TENSORS["B"][1] + "), R AS ("
+            + W.SQL_TENSORS["R"][1] + ") SELECT R.region, B.brand, ROUND(SUM(A.value * B.value * R.value), 4) AS value "
+            "FROM A JOIN B ON A.part = B.part JOIN R ON A.n = R.n "
+            "WHERE B.brand LIKE '%1' AND R.region = 1 GROUP BY 1, 2"),
+        "contract_hot_keys": _sql_contract(["A", "R"], ["region", "part"], 4),
+        "contract_any_order": _sql_contract(["A", "B", "R"], ["region", "brand"], 4),
         "contract_to_scalar": _sql_contract(["A", "B"], [], 2),
         "contract_self": (
             "WITH X1 AS (" + W.SQL_TENSORS["X1"][1] + ") SELECT a.i AS i, b.i AS i2, "
@@ -623,6 +722,8 @@ def _tensor_sql() -> dict[str, str]:
             W.sql_model_sparse(b),
             b.render("SELECT i, p, ROUND(value, 6) AS value FROM "
                      + b.contract([b.support("D"), "U", "V"], ["i", "p"])))[1])(W.SqlBuilder()),
+        "predict_absent_rows": W.sql_absent_rows() + "SELECT i, p, ROUND(mu, 6) AS value FROM M WHERE x IS NOT NULL",
+        "divergence_absent_rows": _sql_divergence_absent_rows(),
         "q1": _sql_q1(),
         "q2": _sql_q2(),
         "delta": _sql_delta(None),
@@ -650,6 +751,8 @@ def _tensor_sql() -> dict[str, str]:
             W.sql_model_coupled, [("X1", ["Z1", "Z2"], 1.0, 1.0), ("X2", ["Z1", "Z3"], 1.0, 1.0)],
             "zero", 1, _sql_xhat_after("X2")),
         "epoch_masked": _sql_epoch_masked(),
+        "epoch_p0_sparse": _sql_epoch_p0(),
+        "fit_p0_history": _sql_fit_p0(),
         "epoch_sparse": _sql_epoch_sparse(),
         "fit_history": _sql_fit_history(),
     }

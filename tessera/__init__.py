@@ -3,7 +3,8 @@
 A tensor is a DataFrame with one row per stored cell (index columns plus a
 ``value``).  Everything here builds ordinary DataFrame plans — joins,
 aggregates, projections — so Catalyst and adaptive execution choose the
-physical strategy.  No Python UDFs, no RDDs.
+physical strategy.  Two kernels work on Arrow batches inside tasks: the
+blocks of a factor update and Gram matrices.  No RDDs.
 """
 
 from .functions import S, T, beta_cell
@@ -40,7 +41,7 @@ from .sources import (
     read_tensor,
     write_tensor,
 )
-from .tensor import Tensor, coalesce_cells, from_table
+from .tensor import Tensor, coalesce_cells, from_table, tensors_from_table
 
 __all__ = [
     "CoupledModel",
@@ -74,6 +75,7 @@ __all__ = [
     "read_tensor",
     "run_epoch",
     "sparse_sum",
+    "tensors_from_table",
     "validate",
     "write_tensor",
 ]

@@ -10,12 +10,14 @@ no later operand and not the output needs ("early sum-out").  Catalyst does
 not push a sum below a join by itself, so without this the intermediate of
 an N-way contraction is the join of all inputs.
 
-Join order.  The first operand is the *spine*: the plan starts from it and
-joins the other operands one at a time, always picking one that shares an
-index with what has been built so far, preferring the one that leaves the
-fewest indices after summing out.  Callers put the large, sparse tensor
-(the observed data) first; joining two small dense factors first would
-materialize their full product.
+Join order.  Three and more operands are ordered by size: one aggregate counts
+the stored cells and the distinct coordinates of every operand, and dynamic
+programming over subsets of operands finds the tree of joins with the fewest
+intermediate rows, whatever order the operands are given in (operands of
+different components meet last).  ``order="given"`` takes no counts: the plan
+starts from the first operand and joins the others one at a time, always
+picking one that shares an index with what has been built so far,
+preferring the one that leaves the fewest indices after summing out.
 
 Physical strategy.  A side is hinted for broadcast only when its size has a
 proven bound: every index has a known cardinality and ``Π card`` rows fit
@@ -86,7 +88,7 @@ def _sum_out(op: _Operand, keep: Sequence[str]) -> _Operand:
     return _Operand(df, keep, {i: op.cards[i] for i in keep if i in op.cards})
 
 
-def _join(a: _Operand, b: _Operand, salt: int | None, threshold: int) -> _Operand:
+def _join(a: _Operand, b: _Operand, salt: int | None, threshold: int, skew: float | None = None) -> _Operand:
     shared = [i for i in a.indices if i in b.indices]
     left = a.df.select(*a.indices, F.col(VALUE).alias(_LEFT))
     right = b.df.select(*b.indices, F.col(VALUE).alias(_RIGHT))
@@ -112,6 +114,9 @@ def _join(a: _Operand, b: _Operand, salt: int | None, threshold: int) -> _Operan
         right = F.broadcast(right)
     elif _small(a, threshold):
         left = F.broadcast(left)
+    elif skew:
+        joined = _split_join(a, b, left, right, shared, skew)
+        return _Operand(joined.select(*indices, product), indices, cards)
     elif salt and salt > 1:
         left, right = _salted(a, b, left, right, shared, salt)
         if _SALT in left.columns:
@@ -135,12 +140,188 @@ def _salted(a, b, left, right, shared, n):
     return (big_df, small_df) if big_is_left else (small_df, big_df)
 
 
+@dataclass
+class _Size:
+    """Estimated rows, and distinct coordinates per index."""
+
+    rows: float
+    distinct: dict[str, float]
+
+
+def measure_sizes(ops: Sequence[_Operand]) -> list[_Size]:
+    """Stored cells and distinct coordinates of every operand, from one job."""
+    rows = None
+    for n, op in enumerate(ops):
+        counts = F.array(*[F.approx_count_distinct(i).cast("double") for i in op.indices]) if op.indices else F.array(
+            F.lit(1.0))
+        one = op.df.agg(F.count(F.lit(1)).cast("double").alias("rows"), counts.alias("distinct")).select(
+            F.lit(n).alias("n"), "rows", "distinct")
+        rows = one if rows is None else rows.unionByName(one)
+    found = {r["n"]: r for r in rows.collect()}  # a row per operand
+    return [_Size(found[n]["rows"], {i: max(1.0, min(d, op.cards.get(i, math.inf)))
+                                     for i, d in zip(op.indices, found[n]["distinct"])}) for n, op in enumerate(ops)]
+
+
+def _joined(a: _Size, b: _Size) -> _Size:
+    rows = a.rows * b.rows
+    for i in a.distinct.keys() & b.distinct.keys():
+        rows /= max(a.distinct[i], b.distinct[i])
+    return _Size(rows, {i: min(a.distinct.get(i, math.inf), b.distinct.get(i, math.inf))
+                        for i in {**a.distinct, **b.distinct}})
+
+
+def _kept(size: _Size, keep: set[str]) -> _Size:
+    distinct = {i: d for i, d in size.distinct.items() if i in keep}
+    return _Size(min(size.rows, math.prod(distinct.values())), distinct)
+
+
+def join_tree(indices: Sequence[Sequence[str]], sizes: Sequence[_Size], output: Sequence[str]):
+    """The cheapest tree of joins: a nested pair of operand numbers.
+
+    The cost of a join is the rows it makes before its aggregate.  Operands
+    without a common index are only joined where nothing else is left."""
+    order = sorted(range(len(sizes)), key=lambda n: (sorted(indices[n]), sizes[n].rows))
+    full = (1 << len(order)) - 1
+    used = [set(indices[n]) for n in order]
+
+    def needed(subset: int) -> set[str]:
+        return set(output).union(*[used[i] for i in range(len(order)) if not subset >> i & 1])
+
+    best: dict[int, tuple[tuple[int, float], _Size, object]] = {}
+    for i, n in enumerate(order):
+        best[1 << i] = ((0, 0.0), _kept(sizes[n], needed(1 << i)), n)
+    for subset in range(1, full + 1):
+        if subset in best:
+            continue
+        half = subset
+        while half := (half - 1) & subset:
+            rest = subset ^ half
+            if half < rest:
+                continue
+            (pa, ca), sa, ta = best[half]
+            (pb, cb), sb, tb = best[rest]
+            product = not (sa.distinct.keys() & sb.distinct.keys()) and bool(sa.distinct and sb.distinct)
+            made = _joined(sa, sb)
+            cost = (pa + pb + product, ca + cb + made.rows)
+            if subset not in best or cost < best[subset][0]:
+                best[subset] = (cost, _kept(made, needed(subset)), (ta, tb))
+    return best[full][2]
+
+
+def _leaves(node) -> list[int]:
+    return [node] if isinstance(node, int) else [n for side in node for n in _leaves(side)]
+
+
+def _in_given_order(ops: list[_Operand], output: Sequence[str], salt: int | None, threshold: int,
+                    skew: float | None) -> _Operand:
+    cur, rest = ops[0], ops[1:]
+    while rest:
+        linked = [o for o in rest if set(o.indices) & set(cur.indices)] or [
+            o for o in rest if not o.indices or not cur.indices
+        ] or rest
+
+        def after(o: _Operand) -> tuple[int, float]:
+            # fewest indices left after summing out, then the smallest proven
+            # bound of that intermediate (unknown bounds rank last)
+            keep = set(output).union(*[set(x.indices) for x in rest if x is not o])
+            left = (set(cur.indices) | set(o.indices)) & keep
+            known = {**cur.cards, **o.cards}
+            bound = math.prod(known[i] for i in left) if all(i in known for i in left) else math.inf
+            return len(left), bound
+
+        nxt = min(linked, key=lambda o: (*after(o), rest.index(o)))
+        rest = [o for o in rest if o is not nxt]
+        cur = _join(cur, nxt, salt, threshold, skew)
+        cur = _sum_out(cur, set(output).union(*[set(o.indices) for o in rest]))
+    return cur
+
+
+def join_forest(indices: Sequence[Sequence[str]]) -> list[tuple[int, int]] | None:
+    """(child, parent) edges of a join tree, children first; None if the operands
+    are cyclic.  An operand is a leaf if what it shares with all the others
+    lies in one of them."""
+    left, edges = {n: set(i) for n, i in enumerate(indices)}, []
+    while len(left) > 1:
+        for n, mine in left.items():
+            shared = mine & set().union(*[o for m, o in left.items() if m != n])
+            parent = next((m for m, o in left.items() if m != n and shared <= o), None)
+            if parent is not None:
+                break
+        else:
+            return None
+        if shared:
+            edges.append((n, parent))
+        del left[n]
+    return edges
+
+
+def drop_dangling(ops: list[_Operand]) -> list[_Operand]:
+    """Keep the cells that take part in some product (acyclic operands only).
+
+    Every operand is filtered by the keys of its children, leaves first, and
+    then by those of its parent; after that no join makes a row that a later
+    one drops.  A filter is a semi-join with distinct keys."""
+    edges = join_forest([o.indices for o in ops])
+    if edges is None:
+        return ops
+    ops = list(ops)
+
+    def filtered(n: int, by: int) -> None:
+        shared = [i for i in ops[n].indices if i in ops[by].indices]
+        keys = ops[by].df.select(*shared).distinct()
+        ops[n] = _Operand(ops[n].df.join(keys, shared, "left_semi"), ops[n].indices, ops[n].cards)
+
+    for child, parent in edges:
+        filtered(parent, child)
+    for child, parent in reversed(edges):
+        filtered(child, parent)
+    return ops
+
+
+def hot_keys(df: DataFrame, key, share: float) -> list[int]:
+    """Hashes of the keys that may hold ``share`` of the rows or more: Spark's
+    frequent-items sketch, of at most ``1 / share`` entries."""
+    found = df.select(key.alias("__key")).stat.freqItems(["__key"], share).first()[0]
+    return sorted(found or [])
+
+
+def _split_join(a: _Operand, b: _Operand, left: DataFrame, right: DataFrame, shared: list[str], share: float) -> DataFrame:
+    """A shuffled join whose hot keys are spread over all partitions: their
+    cells by the hash of the other indices, the other side's copied to each."""
+    key = F.xxhash64(*shared)
+    sides = [(left, a, hot_keys(left, key, share)), (right, b, hot_keys(right, key, share))]
+    hot = sides[0][2] if len(a.indices) > len(shared) else []
+    big_is_left = bool(hot)
+    if not hot:
+        hot = sides[1][2] if len(b.indices) > len(shared) else []
+    if not hot:
+        return left.join(right, shared, "inner")
+    # Several buckets per partition, so that their hashes fill partitions evenly.
+    n = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    big, op, _ = sides[0 if big_is_left else 1]
+    small = right if big_is_left else left
+    is_hot = key.isin(hot)
+    rest = [F.col(i) for i in op.indices if i not in shared]
+    spread = big.where(is_hot).withColumn(_SALT, F.pmod(F.xxhash64(*rest), F.lit(n)).cast("int"))
+    copies = small.where(is_hot).withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    columns = [*dict.fromkeys([*left.columns, *right.columns])]
+    hot_rows = spread.join(copies, [*shared, _SALT], "inner").select(*columns)
+    return big.where(~is_hot).join(small.where(~is_hot), shared, "inner").select(*columns).unionByName(hot_rows)
+
+
+#: Operands up to which all trees are tried; 3^n steps.
+MAX_ORDERED = 10
+
+
 def contract(
     tensors: Sequence[Tensor],
     output: Sequence[str],
     index_space: Mapping[str, int] | None = None,
     salt: int | None = None,
     reduce: bool = True,
+    order: str = "measured",
+    skew: float | None = None,
+    semi_join: bool = False,
 ) -> Tensor:
     """Contract tensors over every index not in ``output``.
 
@@ -157,6 +338,12 @@ def contract(
     partial products, several rows per output cell, for a caller that
     aggregates them together with other rows anyway (one shuffle instead
     of two).  It is not a tensor until grouped by its indices.
+
+    ``skew=share`` looks for keys that hold that share of an operand's cells
+    before every shuffled join (one pass with a sketch of bounded size) and
+    spreads them over all partitions.  ``semi_join`` drops cells that take part
+    in no product first, where the operands are acyclic; it pays where most
+    cells of a large operand have no partner.
     """
     if not tensors:
         raise ValueError("contract needs at least one tensor")
@@ -179,29 +366,27 @@ def contract(
     def needed(exclude: list[_Operand]) -> set[str]:
         return set(output).union(*[set(o.indices) for o in ops if not any(o is e for e in exclude)])
 
+    if semi_join:
+        ops = drop_dangling(ops)
     # Sum out indices private to one operand before any join.
     ops = [_sum_out(o, needed([o])) for o in ops]
 
-    cur = ops[0]
-    rest = ops[1:]
-    while rest:
-        linked = [o for o in rest if set(o.indices) & set(cur.indices)] or [
-            o for o in rest if not o.indices or not cur.indices
-        ] or rest
+    if order not in ("measured", "given"):
+        raise ValueError("order must be 'measured' or 'given'")
+    if order == "measured" and 2 < len(ops) <= MAX_ORDERED:
+        tree = join_tree([o.indices for o in ops], measure_sizes(ops), output)
 
-        def after(o: _Operand) -> tuple[int, float]:
-            # fewest indices left after summing out, then the smallest proven
-            # bound of that intermediate (unknown bounds rank last)
-            keep = set(output).union(*[set(x.indices) for x in rest if x is not o])
-            left = (set(cur.indices) | set(o.indices)) & keep
-            known = {**cur.cards, **o.cards}
-            bound = math.prod(known[i] for i in left) if all(i in known for i in left) else math.inf
-            return len(left), bound
+        def build(node, outside: set[str]) -> _Operand:
+            if isinstance(node, int):
+                return ops[node]
+            left, right = node
+            below = [{i for n in _leaves(side) for i in ops[n].indices} for side in node]
+            a, b = build(left, outside | below[1]), build(right, outside | below[0])
+            return _sum_out(_join(a, b, salt, threshold, skew), outside)
 
-        nxt = min(linked, key=lambda o: (*after(o), rest.index(o)))
-        rest = [o for o in rest if o is not nxt]
-        cur = _join(cur, nxt, salt, threshold)
-        cur = _sum_out(cur, set(output).union(*[set(o.indices) for o in rest]))
+        cur = build(tree, set(output))
+    else:
+        cur = _in_given_order(ops, output, salt, threshold, skew)
 
     if reduce:
         cur = _sum_out(cur, output)

@@ -1,7 +1,8 @@
 """Element-wise evaluation of an expression over aligned tensor cells.
 
 Every *distinct* tensor in the expression is joined once on the full index
-set, then the whole tree is evaluated as a single projection.  Because
+set (tensors of one ``tensors_from_table`` call share one side and need no join
+among them), then the whole tree is evaluated as a single projection.  Because
 each tensor stores at most one row per cell, these joins are one-to-one on
 their keys: no key can fan out, so a hot coordinate cannot skew them.
 
@@ -13,7 +14,9 @@ that value (``fill=0`` makes ``+`` a sparse sum).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import Expr, compile_expr, render, wrap
@@ -59,9 +62,16 @@ def elementwise(
     indices = list(align(tensors))
 
     names = {id(t): f"__e{n}" for n, t in enumerate(tensors)}
-    df = None
+    groups: list[list[Tensor]] = []  # tensors that are columns of one table
     for t in tensors:
-        side = t.df.select(*indices, F.col(VALUE).alias(names[id(t)]))
+        same = next((g for g in groups if t.wide is not None and g[0].wide is t.wide), None)
+        if same is None:
+            groups.append([t])
+        else:
+            same.append(t)
+    df = None
+    for group in groups:
+        side = _one_side(group, indices, names, how)
         df = side if df is None else df.join(side, indices, "inner" if how == "inner" else "full")
 
     def column_of(t: Tensor) -> Column:
@@ -76,6 +86,15 @@ def elementwise(
     return Tensor(df.select(*indices, value.alias(VALUE)), tuple(indices), cards)
 
 
+def _one_side(group: list[Tensor], indices: list[str], names: dict[int, str], how: str) -> DataFrame:
+    """The cells of tensors that share a table (or of one tensor)."""
+    if len(group) == 1:
+        return group[0].df.select(*indices, F.col(VALUE).alias(names[id(group[0])]))
+    stored = [F.col(t.column).isNotNull() for t in group]
+    cells = reduce(lambda a, b: a & b if how == "inner" else a | b, stored)
+    return group[0].wide.filter(cells).select(*indices, *[F.col(t.column).alias(names[id(t)]) for t in group])
+
+
 def sparse_sum(tensors: list[Tensor]) -> Tensor:
     """Σ of tensors over one index set, absent cells counting as zero.
 

@@ -22,7 +22,8 @@ denominator contributions of a multiplicative update.
 
 The plan is the same for every rank: vectors are array columns, so neither
 the plan nor the optimizer's work grows with the rank.  A rank coordinate
-outside ``1..card`` raises inside the plan; it is never dropped.
+outside ``1..card`` raises inside the plan; it is never dropped.  A cell of ``x``
+whose key a factor doesn't store has a model of 0; it is never dropped either.
 
 Other shapes fall back to the join/aggregate contraction from the support
 of ``x`` followed by a one-to-one join with ``x``.
@@ -100,16 +101,17 @@ def _join_side(df: DataFrame, x: Tensor, v: DataFrame, own: list[str], small: bo
                salt: int | None) -> DataFrame:
     if not own:
         return df.crossJoin(F.broadcast(v))  # one row: a rank-only factor
+    # A key that the factor doesn't store is a row of zeros, so cells of ``x`` stay.
     if small:
-        return df.join(F.broadcast(v), own, "inner")
+        return df.join(F.broadcast(v), own, "left")
     if salt and salt > 1 and len(x.indices) > len(own):
         # Spread each key's cells of x over ``salt`` tasks; the factor row
         # of the key is copied to each of them.
         rest = [F.col(i) for i in x.indices if i not in own]
         df = df.withColumn(_SALT, F.pmod(F.xxhash64(*rest), F.lit(salt)).cast("int"))
         v = v.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        return df.join(v, [*own, _SALT], "inner").drop(_SALT)
-    return df.join(v, own, "inner")
+        return df.join(v, [*own, _SALT], "left").drop(_SALT)
+    return df.join(v, own, "left")
 
 
 def _join_factors(
@@ -156,7 +158,8 @@ def _join_vectors(
     df, cards = _join_factors(
         x, factors, rank, salt,
         lambda f, n, c: rank_vectors(f, rank, c).withColumnRenamed("__vec", f"__vec{n}"))
-    return df, [F.col(f"__vec{n}") for n in range(len(factors))], cards
+    zeros = F.array_repeat(F.lit(0.0), math.prod(cards.values()))
+    return df, [F.coalesce(F.col(f"__vec{n}"), zeros) for n in range(len(factors))], cards
 
 
 def _product(cols: Sequence[Column]) -> Column:
@@ -181,11 +184,12 @@ def sampled_contract(
     rank = rank_vector_model(x, factors)
     if rank is None:
         ones = Tensor(x.df.select(*x.indices, F.lit(1.0).alias(VALUE)), x.indices, x.cards)
-        hat = contract([ones, *factors], x.indices, salt=salt)
+        hat = contract([ones, *factors], x.indices, salt=salt, order="given")
         joined = x.df.select(*x.indices, F.col(VALUE).alias(_X)).join(
-            hat.df.select(*x.indices, F.col(VALUE).alias(_HAT)), list(x.indices), "inner"
+            hat.df.select(*x.indices, F.col(VALUE).alias(_HAT)), list(x.indices), "left"
         )
-        df = joined.select(*x.indices, combine(F.col(_X), F.col(_HAT)).alias(VALUE))
+        model = F.coalesce(F.col(_HAT), F.lit(0.0))  # a cell that the model doesn't reach is 0 there
+        df = joined.select(*x.indices, combine(F.col(_X), model).alias(VALUE))
         return Tensor(df, x.indices, x.cards)
     df, vecs, _ = _join_vectors(x, factors, rank, salt)
     rows = df.select(*x.indices, F.col(_X), _dot(vecs).alias(_HAT))
@@ -226,10 +230,10 @@ def sampled_gradient(
     rows = hats.select(*own_a, _BASE, *[outputs[n](F.col(_X), F.col(_HAT)).alias(n) for n in names])
     exploded = rows.select(*own_a, *names, F.posexplode(_BASE).alias("__pos", "__e"))
     exploded = exploded.select(*own_a, "__pos", *[(F.col("__e") * F.col(n)).alias(n) for n in names])
-    return _decode_rank(exploded, own_a, rank, cards, names)
+    return decode_rank(exploded, own_a, rank, cards, names)
 
 
-def _decode_rank(df: DataFrame, own: list[str], rank: Sequence[str], cards: dict[str, int],
+def decode_rank(df: DataFrame, own: list[str], rank: Sequence[str], cards: dict[str, int],
                  names: list[str]) -> DataFrame:
     """Turn the rank position ``__pos`` back into 1-based rank coordinates."""
     coords, stride = [], 1

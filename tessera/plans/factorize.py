@@ -22,8 +22,10 @@ Scale notes (the plan never needs the full model grid when avoidable):
   ``X̂`` at all (``X̂⁰ = 1``): it is the other factors summed over their
   private indices, a tiny dense aggregate.  The objective's ``Σ X̂`` is the
   same kind of aggregate.  So the whole KL fit is linear in ``nnz(X)``.
-* ``missing="zero"`` with ``p ≠ 1`` needs ``X̂`` on the full grid of ``X``
-  (``Π card`` cells); that is inherent to the model, not to the plan.
+* With ``missing="zero"`` and ``p=0`` the sums over the grid come from the
+  factors' Gram matrices (see ``operators.gram``) where no index of ``X``
+  belongs to two factors, so a Euclidean fit is linear in ``nnz(X)`` as well.
+  Other powers need ``X̂`` on the full grid of ``X`` (``Π card`` cells).
 * The sums over observations are one union + aggregate with the factor's
   own cells, so a factor update is a single shuffle on the factor's index.
 * Each new factor is materialized with a reliable checkpoint, so plans do
@@ -41,9 +43,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cell import beta_cell
+from ..operators.blocks import BlockedTensor, blocked, blocked_gradient, worth_blocking
 from ..operators.contract import broadcast_threshold, contract
 from ..operators.divergence import beta_divergence
 from ..operators.elementwise import guard
+from ..operators.gram import gram_denominator, gram_total, separable
 from ..operators.sampled import (
     rank_vector_model,
     sampled_contract,
@@ -51,6 +55,7 @@ from ..operators.sampled import (
     shuffles,
 )
 from ..tensor import VALUE, Tensor
+from .lineage import checkpoint_dir
 
 _Z, _NUM, _DEN, _CELL = "__z", "__num", "__den", "__cell"
 
@@ -84,6 +89,8 @@ class CoupledModel:
     missing: str = "zero"
     salt: int | None = None
     cards: dict[str, int] = field(default_factory=dict)
+    #: Blocked layouts of the observations, by the place of their factorization.
+    layouts: dict[int, BlockedTensor] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.missing not in ("zero", "masked"):
@@ -144,7 +151,7 @@ def predict(model: CoupledModel, f: Factorization, on: str = "full") -> Tensor:
     if on != "full":
         raise ValueError("on must be 'full' or 'support'")
     space = {i: model.card(i) for i in _observed_only(model, f)}
-    return contract(zs, x.indices, index_space=space or None, salt=model.salt)
+    return contract(zs, x.indices, index_space=space or None, salt=model.salt, order="given")
 
 
 def q_numerator(model: CoupledModel, f: Factorization) -> Tensor:
@@ -185,11 +192,23 @@ def delta(
     elif which == 2:
         if model.missing == "zero" and f.p == 1.0:
             return _ones_denominator(model, f, a)
+        if model.missing == "zero" and f.p == 0.0 and (split := _gram_model(model, f)):
+            scale = float(math.prod(model.card(i) for i in _observed_only(model, f)))
+            return gram_denominator(model.tensors[a], others, *split, scale=scale)
         q = q_denominator(model, f)
     else:
         raise ValueError("which must be 1 (numerator) or 2 (denominator)")
     out = _delta_indices(model, f, a, x.indices)
-    return contract([q, *others], out, salt=model.salt, reduce=reduce)
+    return contract([q, *others], out, salt=model.salt, reduce=reduce, order="given")
+
+
+def _gram_model(model: CoupledModel, f: Factorization) -> tuple[list[str], dict[str, int]] | None:
+    """Rank indices and their cardinalities where the grid's sums split by factor."""
+    zs = [model.tensors[b] for b in f.latents]
+    rank = separable(model.tensors[f.observed], zs)
+    if rank is None or len(set(f.latents)) < len(f.latents):
+        return None
+    return rank, {r: next(z.cards[r] for z in zs if r in z.cards) for r in rank}
 
 
 def _ones_denominator(model: CoupledModel, f: Factorization, a: str) -> Tensor:
@@ -204,7 +223,7 @@ def _ones_denominator(model: CoupledModel, f: Factorization, a: str) -> Tensor:
     scale = float(math.prod(model.card(i) for i in _observed_only(model, f)))
     shared = [i for i in za.indices if any(i in o.indices for o in others)]
     if others:
-        t = contract(others, shared, salt=model.salt)
+        t = contract(others, shared, salt=model.salt, order="given")
         return t if scale == 1.0 else t.map_values(lambda v: v * F.lit(scale))
     one = za.df.sparkSession.range(1).select(F.lit(scale).alias(VALUE))
     return Tensor(one, ())
@@ -243,7 +262,11 @@ def _fused_parts(model: CoupledModel, f: Factorization, a: str, types, w) -> lis
     outputs = {_NUM: lambda xv, hat: _over_model(xv, hat, p)}
     if model.missing == "masked":
         outputs[_DEN] = lambda xv, hat: _model_power(hat, p)
-    rows = sampled_gradient(x, zs, list(f.latents).index(a), outputs, salt=model.salt)
+    target, layout = list(f.latents).index(a), model.layouts.get(model.factorizations.index(f))
+    if layout is not None:
+        rows = blocked_gradient(layout, x, zs, target, p, _DEN in outputs, [_NUM, _DEN])
+    else:
+        rows = sampled_gradient(x, zs, target, outputs, salt=model.salt)
     keys = [F.col(i).cast(types[i]).alias(i) for i in idx]
     den = F.col(_DEN) * w if _DEN in outputs else none
     pieces = [rows.select(*keys, none.alias(_Z), (F.col(_NUM) * w).alias(_NUM), den.alias(_DEN))]
@@ -325,6 +348,13 @@ def factorization_divergence(model: CoupledModel, f: Factorization) -> DataFrame
     if model.missing == "masked":
         cells = sampled_contract(x, zs, lambda xv, hat: beta_cell(xv, hat, f.p), salt=model.salt)
         return cells.df.agg(F.sum(VALUE).alias("divergence"))
+    if f.p == 0.0 and (split := _gram_model(model, f)):
+        # Σ_support [½(x − x̂)² − ½x̂²] + ½ Σ_grid x̂².
+        cells = sampled_contract(
+            x, zs, lambda xv, hat: beta_cell(xv, hat, 0.0) - F.lit(0.5) * hat * hat, salt=model.salt)
+        half = 0.5 * math.prod(model.card(i) for i in _observed_only(model, f))
+        total = gram_total(zs, *split).select((F.col(VALUE) * F.lit(half)).alias("__s"))
+        return cells.df.agg(F.sum(VALUE).alias("__s")).unionByName(total).agg(F.sum("__s").alias("divergence"))
     if f.p != 1.0:
         return beta_divergence(x, predict(model, f, on="full"), f.p, missing="zero")
     # p = 1: Σ_support [d(x|x̂) − x̂] + Σ_grid x̂, the last term from the
@@ -334,7 +364,7 @@ def factorization_divergence(model: CoupledModel, f: Factorization) -> DataFrame
     )
     on_support = cells.df.agg(F.sum(VALUE).alias("__s"))
     space = {i: model.card(i) for i in _observed_only(model, f)}
-    total = contract(zs, [], index_space=space or None)
+    total = contract(zs, [], index_space=space or None, order="given")
     both = on_support.unionByName(total.df.select(F.col(VALUE).alias("__s")))
     return both.agg(F.sum("__s").alias("divergence"))
 
@@ -382,13 +412,23 @@ def run_epoch(model: CoupledModel, checkpoint: bool = True, on_invalid: str = "r
 
 
 def materialize_observed(model: CoupledModel) -> CoupledModel:
-    """Checkpoint each observed tensor once: it is read by every update."""
+    """Checkpoint each observed tensor once: it is read by every update.
+
+    Observations whose factors are large, or of a high rank, are also written
+    by block (see ``operators.blocks``), so that updates don't move them."""
     seen = {}
     for f in model.factorizations:
         t = model.tensors[f.observed]
         if f.observed not in seen and not t.materialized:
             seen[f.observed] = t.checkpoint()
-    return model.with_tensors(**seen)
+    model = model.with_tensors(**seen)
+    layouts = dict(model.layouts)
+    for n, f in enumerate(model.factorizations):
+        x, zs = model.tensors[f.observed], [model.tensors[b] for b in f.latents]
+        if n not in layouts and worth_blocking(x, zs):
+            checkpoint_dir(x.df.sparkSession)
+            layouts[n] = blocked(x, zs)
+    return replace(model, layouts=layouts)
 
 
 def _check_finite_objective(model: CoupledModel) -> None:

@@ -38,6 +38,9 @@ class Tensor:
     cards: Mapping[str, int] = field(default_factory=dict)
     # True when ``df`` reads a reliable checkpoint (a materialized copy).
     materialized: bool = False
+    # A table of several tensors over the same cells, and this tensor's column in it.
+    wide: DataFrame | None = field(default=None, compare=False, repr=False)
+    column: str | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "indices", tuple(self.indices))
@@ -90,7 +93,7 @@ class Tensor:
 
     def with_cards(self, cards: Mapping[str, int]) -> Tensor:
         """Attach cardinalities known to hold (e.g. from ``cardinalities``)."""
-        return Tensor(self.df, self.indices, {**self.cards, **cards}, self.materialized)
+        return Tensor(self.df, self.indices, {**self.cards, **cards}, self.materialized, self.wide, self.column)
 
     def restrict(self, cards: Mapping[str, int]) -> Tensor:
         """Keep coordinates inside ``1..card`` for each given index.
@@ -167,6 +170,29 @@ def from_table(
     return t.restrict(cards) if cards else t
 
 
+def tensors_from_table(
+    df: DataFrame, index_exprs: Mapping[str, Column | str], value_exprs: Mapping[str, Column | str]
+) -> dict[str, Tensor]:
+    """Several tensors over one index set from a single pass over ``df``.
+
+    Each is the tensor that ``from_table`` builds for its value; all of them
+    share one aggregate with a sum each.  Element-wise expressions over
+    tensors of one call read that aggregate once and need no join.
+    """
+    names, values = list(index_exprs), list(value_exprs)
+    if clash := {*names, VALUE} & set(values):
+        raise ValueError(f"{sorted(clash)} name both an index and a value")
+    cols = [(F.col(e) if isinstance(e, str) else e).alias(n) for n, e in index_exprs.items()]
+    vals = [(F.col(e) if isinstance(e, str) else e).cast("double").alias(n) for n, e in value_exprs.items()]
+    projected = df.select(*cols, *vals)
+    stored = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+    some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in values])
+    # A sum over NULLs only is NULL: the cell is not stored in that tensor.
+    wide = projected.filter(stored & some).groupBy(*names).agg(*[F.sum(v).alias(v) for v in values])
+    return {v: Tensor(wide.filter(F.col(v).isNotNull()).select(*names, F.col(v).alias(VALUE)), tuple(names), {}, False,
+                      wide, v) for v in values}
+
+
 def coalesce_cells(t: Tensor) -> Tensor:
     """Sum duplicate rows of a tensor so that each cell is stored once."""
     return Tensor(t.df.groupBy(*t.indices).agg(F.sum(VALUE).alias(VALUE)), t.indices, t.cards)

@@ -1,7 +1,11 @@
 """The driver contract: every registered query against its DuckDB oracle."""
 
 import math
+import os
 import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -56,3 +60,16 @@ def test_query_matches_oracle(spark, duck, sf_dir, name):
     assert sorted(cols) == sorted(df.columns)
     want = _rows(cols, res.fetchall())
     assert got == want
+
+
+def test_queries_load_without_the_corpus_folders(tmp_path):
+    """The tensor queries don't need the corpus operators, nor their pipeline module."""
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    for name in ("__spark_entry__.py", "workload.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    shutil.copytree(f"{root}/tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as E; print(*sorted(E.queries()), *sorted(E.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert set(out.stdout.split()) == set(TENSOR)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera import Tensor, cardinalities, formula_tensor, from_table
+from tessera import Tensor, cardinalities, formula_tensor, from_table, tensors_from_table
 
 RANK = 4  # number of latent components (index k)
 
@@ -52,6 +52,12 @@ def W1(spark, d) -> Tensor:
                       {"i": F.col("s_nationkey") + 1, "j": "p_size"}, "l_discount")
 
 
+def quantity_count_discount(spark, d) -> dict[str, Tensor]:
+    """X1, Y1 and W1 from one pass over the line items."""
+    return tensors_from_table(_line_supp_part(spark, d), {"i": F.col("s_nationkey") + 1, "j": "p_size"},
+                              {"X1": "l_quantity", "Y1": F.lit(1.0), "W1": "l_discount"})
+
+
 def X2(spark, d) -> Tensor:
     """Quantity by supplier nation (1-based) and line number."""
     return from_table(_line_supp(spark, d),
@@ -140,6 +146,13 @@ def sparse_model_tensors(spark, d, rank: int = RANK) -> dict[str, Tensor]:
     }
 
 
+def absent_rows_tensors(spark, d, step: int = 7) -> dict[str, Tensor]:
+    """The sparse model with every ``step``-th key of V not stored."""
+    ts = sparse_model_tensors(spark, d)
+    v = ts["V"]
+    return {**ts, "V": v.with_df(v.df.where(F.col("p") % step != 0))}
+
+
 def user_rows_tensors(spark, d) -> dict[str, Tensor]:
     """A model of one factor: X1(i, j) as the sum over k of Z(i, k)."""
     ts = x1_model_tensors(spark, d)
@@ -397,6 +410,17 @@ def sql_model_coupled(b: SqlBuilder) -> dict[str, str]:
     return m
 
 
+def sql_absent_rows(step: int = 7) -> str:
+    """D and its model by the factors, V without every ``step``-th key."""
+    b = SqlBuilder()
+    sql_model_sparse(b)
+    b.add("V0", ["k", "p"], f"SELECT * FROM V WHERE p % {step} <> 0")
+    hat = b.contract(["U", "V0"], ["i", "p"])
+    b.add("M", ["i", "p"], f"SELECT COALESCE(D.i, h.i) AS i, COALESCE(D.p, h.p) AS p, D.value AS x, "
+                           f"COALESCE(h.value, 0.0) AS mu FROM D FULL JOIN {hat} h ON D.i = h.i AND D.p = h.p")
+    return b.render("")
+
+
 def sql_model_sparse(b: SqlBuilder, rank: int = RANK) -> dict[str, str]:
     d = b.tensor("D")
     b.add("card_d", [], "SELECT MAX(i) AS ci, MAX(p) AS cp FROM D")
