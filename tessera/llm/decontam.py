@@ -7,7 +7,7 @@ with k = n - ceil(t n) + 1: a document that contains a share t of the item
 misses at most k - 1 of its shingles, so it holds at least one of any k, and
 the search is exact.  A document probes with the part of its own shingles
 that is small enough to be in a sketch: below the largest sketch value of the
-partitions.  Sketch hits are verified by exact containment.
+partitions whose items it is large enough to contain.  Sketch hits are verified by exact containment.
 
 The search is one pass without a shuffle: items are a query set and go
 through in blocks of bounded size, each of which is small enough to
@@ -74,16 +74,22 @@ def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     ``threshold``."""
     sketch = cut(sketches(items, id_col=item_col, text_col=item_text, threshold=threshold, n=n)
                  .withColumn("_item_key", F.monotonically_increasing_id()), "sketches")
-    parts = {r["large"]: r for r in sketch.groupBy((F.col("n_item") > large_shingles).alias("large")).agg(
-        F.sum("n_item").alias("n"), F.max(F.element_at("sketch", -1)).alias("top")).collect()}
+    # One row per size band: its largest sketch value, its smallest item.
+    parts = sketch.groupBy((F.col("n_item") > large_shingles).alias("large"), "size_band").agg(
+        F.sum("n_item").alias("n"), F.min("n_item").alias("least"), F.max(F.element_at("sketch", -1)).alias("top")).collect()
     small = sketch.where(F.col("n_item") <= large_shingles)
-    total, limit = (parts[False]["n"], parts[False]["top"]) if False in parts else (0, None)
-    blocks = max(1, math.ceil(total / block_shingles))
-    # A probe can only meet sketch values up to the largest one.
-    limit = limit if limit is not None else -(1 << 63)
+    bands = [r for r in parts if not r["large"]]
+    blocks = max(1, math.ceil(sum(r["n"] for r in bands) / block_shingles))
+    # A document can only contain items of the bands it is large enough for, and
+    # can only meet sketch values up to the largest one of those.
+    limit = F.lit(-(1 << 63))
+    for r in sorted(bands, key=lambda r: r["size_band"]):
+        enough = F.size("_shingles") >= math.ceil(r["least"] * threshold - 1e-9)
+        limit = F.when(enough, F.greatest(limit, F.lit(r["top"]))).otherwise(limit)
     kept = [F.col(c) for c in [id_col, *(keep or [])]]
     doc = docs.select(*kept, shingles(F.col(text_col), n).alias("_shingles"))
-    probes = doc.select("*", F.explode(F.filter("_shingles", lambda h: h <= F.lit(limit))).alias("_h"))
+    probes = doc.withColumn("_limit", limit).select(
+        *doc.columns, F.explode(F.filter("_shingles", lambda h: h <= F.col("_limit"))).alias("_h"))
     needed = F.ceil(F.col("n_item") * threshold - 1e-9)
     out = [id_col, *(keep or []), F.col("_item").alias(item_col), "size_band", "n_item", "n_shared",
            (F.col("n_shared") / F.col("n_item")).alias("containment")]
@@ -99,7 +105,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
                 .withColumn("n_shared", F.size(F.array_intersect("_members", "_shingles")))
                 .where(F.col("n_shared") >= needed).select(*out))
         found = hits if found is None else found.unionByName(hits)
-    if True in parts:
+    if any(r["large"] for r in parts):
         large = sketch.where(F.col("n_item") > large_shingles)
         least = math.ceil((large_shingles + 1) * threshold - 1e-9)
         wide = cut(doc.where(F.size("_shingles") >= least).withColumn("_doc", F.monotonically_increasing_id()), "wide")

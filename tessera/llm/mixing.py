@@ -7,10 +7,10 @@ source asks for its quota.  A min-cost flow routes pattern capacity to source
 quotas.  A pattern then takes whole rounds of all its documents plus a seeded
 part of them in a last round.
 
-Patterns of one source that share it with no other pattern need no search:
-the cheapest flow fills their rounds in order.  The others go through
-successive shortest paths on the driver; that graph has one node per pattern
-and source and never one per document.
+The flow is found on the driver, in a graph of one node per pattern and
+source and never one per document: shortest path costs first, then a blocking
+flow over all paths of the cheapest cost at once, and so on; there are only a
+few different costs.
 
 The last round takes documents in a seeded order until the pattern's rest is
 used up.  Orders are never sorted as a whole: hash buckets of about
@@ -39,10 +39,11 @@ from .common import cut, hash01, words
 
 MAX_REPEATS = 3
 COSTS = (0, 1, 3)  # of a token's first, second and third use
+EPS = 1e-6
 WEIGHTS = (5, 2, 1)
 BUCKET_ROWS = 1_000
 #: Sources and patterns live on the driver; more of them than this is an error.
-MAX_NODES = 500_000
+MAX_NODES = 200_000
 #: Tables with a row per pattern are broadcast up to this many patterns.
 FEW_PATTERNS = 20_000
 
@@ -68,21 +69,48 @@ def water_fill(sizes: list[int], weights: list[float], total: float, most: int =
     return target
 
 
+def push_level(res: dict, cheap: Callable) -> bool:
+    """A blocking flow from "S" to "T" over the cheap arcs that lead one level
+    further from "S"; whether anything was moved."""
+    level, todo = {"S": 0}, ["S"]
+    for u in todo:
+        for v, cap in res[u].items():
+            if cap > EPS and v not in level and cheap(u, v):
+                level[v] = level[u] + 1
+                todo.append(v)
+    if "T" not in level:
+        return False
+    ahead = {u: [v for v in res[u] if level.get(v) == level[u] + 1 and cheap(u, v)] for u in level}
+    path = ["S"]
+    while path:
+        u = path[-1]
+        if u == "T":
+            arcs = list(zip(path, path[1:]))
+            push = min(res[a][b] for a, b in arcs)
+            for a, b in arcs:
+                res[a][b] -= push
+                res[b][a] += push
+            # Back to where the first arc is full.
+            full = next(n for n, (a, b) in enumerate(arcs) if res[a][b] <= EPS)
+            del path[full + 1:]
+            continue
+        while ahead[u] and res[u][ahead[u][-1]] <= EPS:
+            ahead[u].pop()
+        if ahead[u]:
+            path.append(ahead[u][-1])
+        else:
+            path.pop()
+            if path:
+                ahead[path[-1]].pop()
+    return True
+
+
 def min_cost_flow(capacity: dict[tuple, float], quota: dict[str, float], repeats: int = MAX_REPEATS,
                   costs: tuple[int, ...] = COSTS) -> dict[tuple[tuple, str], float]:
     """Tokens routed from each pattern (a tuple of sources) to each of its
     sources: as much of every quota as can be met, at least total cost."""
     flow: dict[tuple[tuple, str], float] = {}
-    by_source = defaultdict(list)
-    for p in capacity:
-        for s in p:
-            by_source[s].append(p)
-    shared = []
-    for p in sorted(capacity, key=repr):
-        if len(p) == 1 and len(by_source[p[0]]) == 1:
-            flow[p, p[0]] = min(quota.get(p[0], 0.0), repeats * capacity[p])
-        else:
-            shared.append(p)
+    shared = sorted(capacity, key=repr)
     if not shared:
         return flow
     # Residual graph: "S" -> (pattern, round) -> pattern -> source -> "T".
@@ -105,30 +133,25 @@ def min_cost_flow(capacity: dict[tuple, float], quota: dict[str, float], repeats
         arc(("s", s), "T", quota.get(s, 0.0), 0)
     potential: dict = defaultdict(int)
     while True:
-        dist, back, heap, n = {"S": 0}, {}, [(0, 0, "S")], 0
+        dist, heap, n = {"S": 0}, [(0, 0, "S")], 0
         while heap:
             d, _, u = heapq.heappop(heap)
             if d > dist[u]:
                 continue
             for v, cap in res[u].items():
-                if cap > 1e-9:
+                if cap > EPS:
                     nd = d + cost[u, v] + potential[u] - potential[v]
                     if v not in dist or nd < dist[v]:
-                        dist[v], back[v], n = nd, u, n + 1
+                        dist[v], n = nd, n + 1
                         heapq.heappush(heap, (nd, n, v))
         if "T" not in dist:
             break
         far = max(dist.values())
         for v in list(res):
             potential[v] += dist.get(v, far)
-        path, v = [], "T"
-        while v != "S":
-            path.append((back[v], v))
-            v = back[v]
-        push = min(res[u][v] for u, v in path)
-        for u, v in path:
-            res[u][v] -= push
-            res[v][u] += push
+        # All paths of this cost at once.
+        while push_level(res, lambda u, v: cost[u, v] + potential[u] == potential[v]):
+            pass
     for p in shared:
         for s in p:
             if (moved := res[("s", s)].get(("p", p), 0.0)) > 1e-9:

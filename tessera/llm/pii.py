@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
+#: Candidates and base spans of one document that the trees may learn from.
+CANDIDATES_PER_DOC, SPANS_PER_DOC = 50, 8
 #: About this many documents are searched for candidates to learn from.
 MAX_DOCS = 20_000
 PRECISION = 0.99
@@ -257,6 +259,13 @@ def disguises(kind: int, s: str) -> list[tuple[str, str, bool]]:
     return [("", f, True) for f in clear] + [(c, f, True) for f in forms for c in cues] + [("", f, False) for f in forms]
 
 
+def drawn(spans: list[tuple], text: str, most: int) -> list[tuple]:
+    """At most ``most`` of a document's spans, by the hash of their contents and places."""
+    if len(spans) <= most:
+        return spans
+    return sorted(spans, key=lambda c: hashlib.md5(f"{c} {text[c[1]:c[2]]}".encode("utf-8", "replace")).digest())[:most]
+
+
 def examples(text: str) -> list[tuple[list[float], float, bool]]:
     """(features, label, held back) of one document, for learning only."""
     def fold(key: str) -> bool:
@@ -264,12 +273,13 @@ def examples(text: str) -> list[tuple[list[float], float, bool]]:
 
     out = []
     spans = base_spans(text)
-    for c in candidates(text)[:50]:  # of the sample only: a list of numbers must not outweigh all else
+    # Of the sample only: a list of numbers must not outweigh all else.  Drawn by hash, wherever they lie.
+    for c in drawn(candidates(text), text, CANDIDATES_PER_DOC):
         if not any(c[1] < b and a < c[2] for _, a, b in spans):
             x = features(text, *c)
             if not x[CUE_OF[c[0]] - 4]:
                 out.append((x, 0.0, fold("")))
-    for kind, a, b in spans[:8]:
+    for kind, a, b in drawn(spans, text, SPANS_PER_DOC):
         held = fold(text[a:b])
         for cue, form, positive in disguises(kind, text[a:b]):
             head = text[max(0, a - 60):a] + cue

@@ -2,9 +2,10 @@
 
 Labelled URLs become transactions of tokens (host labels, host suffixes, path
 segments, file extension, query keys; runs of digits read ``#``) plus their
-label.  FP-growth finds frequent combinations; a rule is a combination whose
-share of blocked URLs (confidence) and whose count (support) reach their
-limits, and which isn't implied by a shorter rule of no lower confidence.
+label.  FP-growth finds the combinations that bad URLs share; a rule is a
+combination whose share of bad URLs (confidence) and whose count of URLs
+(support) reach their limits, and which isn't implied by a shorter rule of no
+lower confidence.  Tokens that always occur together are mined as one.
 
 Matching is an inverted index: each rule is filed under its rarest token, URL
 tokens are joined to that index, and a rule fires if the URL holds all its
@@ -20,17 +21,16 @@ one by one; without labelled URLs no rule is mined.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
 
-BLOCK = "=block"
-MIN_SUPPORT = 0.002
 MIN_COUNT = 20
 MIN_CONFIDENCE = 0.6
-MAX_TOKENS = 3
 
 
 def host_of(url: Column) -> Column:
@@ -60,39 +60,75 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
         keys))
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT,
-               min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def fold_tokens(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, tokens, bad) with one token of each set that always occurs
+    together, and those sets: ``token`` and ``members``.
+
+    Equal URLs of many tokens would otherwise give a combination for every
+    subset of them.  Sets are found by count and sums of row hashes, and then
+    proved: every row with one member must hold the first one."""
+    one = rows.select("id", "tokens", F.explode("tokens").alias("token"))
+    marks = one.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright(F.xxhash64(F.lit(k), "id"), 20)).alias(f"s{k}") for k in range(3)])
+    sets = marks.groupBy("n", "s0", "s1", "s2").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    sets = cut(sets.select(F.get("members", F.lit(0)).alias("first"), "members"), "token-sets")
+    of = sets.where(F.size("members") > 1).select("first", "members", F.explode("members").alias("token"))
+    broken = one.join(of, "token").where(~F.array_contains("tokens", F.col("first"))).select("first").distinct()
+    right = of.join(broken, "first", "left_anti")
+    folded = cut(one.join(right.select("token", "first"), "token", "left")
+                 .where("first IS NULL OR first = token")
+                 .groupBy("id").agg(F.collect_list("token").alias("tokens")), "folded")
+    return (folded.join(rows.select("id", "bad"), "id"),
+            cut(right.where("first = token").select("token", "members"), "fold"))
+
+
+def mine_rules(labelled: DataFrame, *, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``(rule_id, tokens, n, confidence)`` from ``(tokens, bad)`` rows.
 
-    The number of frequent tokens is at most tokens per URL / ``min_support``,
-    whatever the input size, so the rule table has a bound that doesn't depend
-    on the data."""
+    A rule of ``min_count`` URLs and ``min_confidence`` holds in at least their
+    product of bad URLs, so combinations are mined from the bad URLs only, by
+    that count at every table size and without a bound on their length; how often
+    they occur in all URLs is then counted through the index."""
     rows = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(
-        F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
+        F.monotonically_increasing_id().alias("id"), "tokens", "bad")
     rows = cut(rows, "transactions")
-    total = rows.count()
-    if not total:
+    bad = rows.where("bad").count()
+    least = max(1, math.ceil(min_count * min_confidence - 1e-9))
+    if bad < least:
         none = labelled.sparkSession.range(0)
         return none.select(F.col("id").alias("rule_id"), F.array(F.lit("")).alias("tokens"), F.col("id").alias("n"),
                            F.lit(0.0).alias("confidence"))
-    support = max(min_support, min_count / total)
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(rows).freqItemsets
-    sets = cut(sets.where(F.size("items") <= max_tokens + 1)
-               .select(F.sort_array("items").alias("items"), "freq"), "itemsets")
-    blocked = (sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1))
-               .select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("bad")))
-    rules = (blocked.join(sets, "items").select("items", "freq", (F.col("bad") / F.col("freq")).alias("confidence"))
-             .where(F.col("confidence") >= min_confidence)
-             .withColumn("rule_id", F.xxhash64("items")))
-    rules = cut(rules, "rules")
+    rows, fold = fold_tokens(rows)
+    rows = cut(rows, "folded-rows")
+    # Half a row less, so that rounding can't lift the limit above ``least`` rows.
+    sets = FPGrowth(itemsCol="tokens", minSupport=(least - 0.5) / bad, minConfidence=min_confidence).fit(
+        rows.where("bad")).freqItemsets
+    sets = cut(sets.select(F.sort_array("items").alias("items"), F.col("freq").alias("bad"),
+                           F.xxhash64(F.sort_array("items")).alias("rule_id")), "itemsets")
+    # Occurrences in all rows, equal token lists once: sets are filed under their rarest token.
+    lists = cut(rows.groupBy(F.sort_array("tokens").alias("tokens")).agg(F.count(F.lit(1)).alias("_rows")), "lists")
+    posted = lists.select("tokens", "_rows", F.explode("tokens").alias("token"))
+    often = posted.groupBy("token").agg(F.sum("_rows").alias("n"))
+    one = sets.select("rule_id", "items", "bad", F.explode("items").alias("token"))
+    filed = one.join(often, "token").groupBy("rule_id", "items", "bad").agg(F.min(F.struct("n", "token")).alias("_r")).select(
+        "rule_id", "items", "bad", F.col("_r.token").alias("token"))
+    rules = (posted.join(filed, "token").where(F.size(F.array_except("items", "tokens")) == 0)
+             .groupBy("rule_id", "items", "bad").agg(F.sum("_rows").alias("freq"))
+             .withColumn("confidence", F.col("bad") / F.col("freq"))
+             .where((F.col("freq") >= min_count) & (F.col("confidence") >= min_confidence)))
+    rules = cut(rules.select("rule_id", "items", "freq", "confidence"), "rules")
     # A shorter rule that shares a token and is contained in the longer one, at no lower confidence, implies it.
     by_token = rules.select("rule_id", "items", "confidence", F.explode("items").alias("token"))
     implied = (by_token.alias("l").join(by_token.alias("s"), "token")
                .where((F.size("s.items") < F.size("l.items")) & (F.col("s.confidence") >= F.col("l.confidence"))
                       & (F.size(F.array_except("s.items", "l.items")) == 0))
                .select(F.col("l.rule_id").alias("rule_id")).distinct())
-    return rules.join(implied, "rule_id", "left_anti").select(
-        "rule_id", F.col("items").alias("tokens"), F.col("freq").alias("n"), "confidence")
+    left = rules.join(implied, "rule_id", "left_anti")
+    # Folded tokens stand for all members again.
+    whole = left.select("rule_id", "freq", "confidence", F.explode("items").alias("token")).join(fold, "token", "left").select(
+        "rule_id", "freq", "confidence", F.explode(F.coalesce("members", F.array("token"))).alias("token"))
+    return whole.groupBy("rule_id", "freq", "confidence").agg(F.sort_array(F.collect_list("token")).alias("tokens")).select(
+        "rule_id", "tokens", F.col("freq").alias("n"), "confidence")
 
 
 def rule_index(rules: DataFrame, tokens: DataFrame) -> DataFrame:

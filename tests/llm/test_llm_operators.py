@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -122,13 +123,13 @@ def test_url_rules_match_brute_force(spark):
     lists = [(set(r["tokens"]), r["bad"]) for r in labelled.collect()]
     from itertools import combinations
     every = {}
-    for k in (1, 2, 3):
+    for k in range(1, max(len(t) for t, _ in lists) + 1):
         seen, bad = Counter(), Counter()
         for t, b in lists:
             for c in combinations(sorted(t), k):
                 seen[c] += 1
                 bad[c] += b
-        every |= {c: (n, bad[c] / n) for c, n in seen.items() if bad[c] >= 20 and bad[c] / n >= 0.6}
+        every |= {c: (n, bad[c] / n) for c, n in seen.items() if n >= 20 and bad[c] / n >= 0.6}
     minimal = {c: v for c, v in every.items()
                if not any(set(o) < set(c) and every[o][1] >= v[1] for o in every)}
     assert found == {c: (n, round(x, 9)) for c, (n, x) in minimal.items()} and found
@@ -136,6 +137,24 @@ def test_url_rules_match_brute_force(spark):
     assert all((v == "block") == pages[i][2] for i, v in got.items())
 
 
+def mined(spark, rows):
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    return {tuple(r["tokens"]): (r["n"], r["confidence"]) for r in urls.mine_rules(df.repartition(4)).collect()}
+
+
+def test_rules_of_many_tokens_and_of_a_small_share_are_mined(spark):
+    four = [(list("abcd"), True)] * 30
+    for drop in "abcd":  # every smaller combination is mostly good
+        four += [([t for t in "abcd" if t != drop], False)] * 60
+    assert mined(spark, four) == {tuple("abcd"): (30, 1.0)}
+    rare = [(["x", "y"], True)] * 30 + [([f"t{i % 97}", "y"], False) for i in range(20_000)]
+    assert mined(spark, rare) == {("x",): (30, 1.0)}
+    wide = [([f"t{i:02}" for i in range(30)], True)] * 30  # one item, not 2^30 sets
+    assert mined(spark, wide) == {tuple(f"t{i:02}" for i in range(30)): (30, 1.0)}
+    assert mined(spark, [(["a"], True)] * 19) == {} == mined(spark, [(["a"], True)] * 19 + [(["a"], False)] * 13)
+    assert mined(spark, [([], True), (["a"], None)]) == {}
+
+
 def test_url_parts_and_fixed_rules(spark):
     cases = [(1, "http://A.example.com/en/x", "a.example.com", "/en/x", "example.com/en/", "block"),
              (2, "x://www.example.com/en/?q", "www.example.com", "/en/", "www.example.com/en/", "allow"),
@@ -393,6 +412,75 @@ def test_min_cost_flow_of_overlapping_sources():
     assert sum(max(0, used[p] - c) for p, c in {("a",): 10, ("a", "b"): 10, ("b",): 2}.items()) == pytest.approx(0)
 
 
+def cheapest(capacity, quota):
+    """Amount and cost of the best flow, path by path with Bellman-Ford."""
+    arcs = []
+
+    def arc(u, v, cap, c):
+        arcs.extend([[u, v, cap, c], [v, u, 0.0, -c]])
+
+    for p, cap in capacity.items():
+        for k, c in enumerate(mixing.COSTS):
+            arc("S", ("p", p), cap, c)
+        for s in p:
+            arc(("p", p), ("s", s), 3 * cap, 0)
+    for s, q in quota.items():
+        arc(("s", s), "T", q, 0)
+    amount = cost = 0.0
+    while True:
+        dist, back = {"S": 0}, {}
+        for _ in range(60):
+            for i, (u, v, cap, c) in enumerate(arcs):
+                if cap > 1e-9 and u in dist and dist[u] + c < dist.get(v, 1e9):
+                    dist[v], back[v] = dist[u] + c, i
+        if "T" not in dist:
+            return amount, cost
+        path, v = [], "T"
+        while v != "S":
+            path.append(back[v])
+            v = arcs[back[v]][0]
+        push = min(arcs[i][2] for i in path)
+        for i in path:
+            arcs[i][2] -= push
+            arcs[i ^ 1][2] += push
+        amount, cost = amount + push, cost + push * dist["T"]
+
+
+def test_flow_is_cheapest_and_fast():
+    rng = np.random.default_rng(6)
+    for _ in range(25):
+        names = list("abcd")
+        capacity = {tuple(sorted(rng.choice(names, rng.integers(1, 4), replace=False))): float(rng.integers(1, 20)) for _ in range(5)}
+        quota = {s: float(rng.integers(0, 50)) for s in names}
+        flow = mixing.min_cost_flow(capacity, quota)
+        used, into = defaultdict(float), defaultdict(float)
+        for (p, s), x in flow.items():
+            assert s in p
+            used[p] += x
+            into[s] += x
+        assert all(into[s] <= quota[s] + 1e-6 for s in names)
+        cost = sum(c * min(max(used[p] - k * cap, 0), cap) for p, cap in capacity.items() for k, c in enumerate(mixing.COSTS))
+        amount, least = cheapest(capacity, quota)
+        assert sum(into.values()) == pytest.approx(amount) and cost == pytest.approx(least)
+    names = [f"s{i}" for i in range(40)]
+    large = {tuple(sorted(rng.choice(names, 3, replace=False))): float(rng.integers(1, 900)) for _ in range(1000)}
+    total = sum(large.values())
+    begin = time.process_time()
+    flow = mixing.min_cost_flow(large, {s: total / 40 * (1 + i % 3) for i, s in enumerate(names)})
+    assert time.process_time() - begin < 5 and sum(flow.values()) > total
+
+
+def test_mix_of_overlapping_sources_comes_near_its_targets(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), [["a"], ["a", "b"], ["b", "c"], ["c"]][i % 4]) for i in range(2000)]
+    picked, sources = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, of array<string>"), members="of",
+                                 keep=["doc_id"])
+    rows = picked.collect()
+    assert len(rows) == 2000 and all(r["taken"] <= 3 * r["size"] for r in rows)
+    # What the sources ask for in all is taken, from documents of each.
+    assert sum(r["taken"] for r in rows) == pytest.approx(sum(r["target"] for r in sources.collect()), rel=0.02)
+
+
 def test_mix_comes_near_targets_and_repeats(spark, odd, none):
     rng = np.random.default_rng(3)
     rows = [(i, "w " * int(rng.integers(1, 200)), f"s{i % 5}" if i % 7 else None) for i in range(2000)]
@@ -449,7 +537,7 @@ def test_base_counts_match_brute_force(spark, sf_dir, odd, none):
 def test_tokens_of_words_equal_the_tokens_of_the_text(monkeypatch):
     import sentencepiece
 
-    paths = [vocabulary(v) for v in fertility.VOCABULARIES]
+    paths = [vocabulary(v) for v in (*fertility.VOCABULARIES, "piece_bpe_32k.model")]
     text = "der Straße über naïve 日本語 zebra zebra \U00013000"
     pieces = sentencepiece.SentencePieceProcessor(model_file=paths[2])
     for cache in (1 << 20, 500):
@@ -518,3 +606,21 @@ def test_containment_of_long_items(spark, large):
     got = sorted((r["doc_id"], r["item_id"] or 0, r["n_shared"], r["n_item"])
                  for r in decontam.find_items(docs, items, large_shingles=large).collect())
     assert got == [(1, 1, 17_996, 19_996), (1, 3, 17_996, 19_996), *[(2, 0, 4_996, 4_996)] * 2, *[(2, 2, 6, 6)] * 2]
+
+
+def test_bands_have_limits_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(4000)]
+    items = [(0, "one two three four five"), (1, " ".join(words[:60])), (2, " ".join(words[100:700])), (3, "tiny")]
+    docs = [(0, "x one two three four five y"), (1, " ".join(words[5:60]) + " z"), (2, "one two three four five"),
+            (3, " ".join(words[90:690])), (4, "tiny"), (5, "tiny one"), (None, " ".join(words[:60])), (6, " ".join(words))]
+    docs += [(100 + i, " ".join(rng.choice(words, 300))) for i in range(20)]
+    found = decontam.find_items(spark.createDataFrame(docs, "doc_id long, text string"),
+                                spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            a, b = shingles(item), shingles(text)
+            if 4 * len(a & b) >= 3 * len(a):
+                want.add((d, i, len(a & b)))
+    assert {(r["doc_id"], r["item_id"], r["n_shared"]) for r in found} == want and len(want) >= 8
