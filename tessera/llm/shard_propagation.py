@@ -1,18 +1,21 @@
 """Sharding by balanced label propagation.
 
-Linked documents move towards their neighbours' shards under capacity quotas:
-every round, Spark joins count each document's neighbours per shard, a
-document that would gain neighbours proposes to move, and only as many
-proposals per (from, to) pair of shards are accepted as the quotas allow.  At
-the end the shards are made exactly even (row counts at most one apart):
-documents beyond a shard's quota and documents without links fill the gaps.
+Linked documents are first gathered into clusters of at most a shard's size,
+by propagation of cluster labels along links.  Clusters then move towards
+their neighbours' shards under capacity quotas: every round, Spark joins sum
+each cluster's links per shard, a cluster that would gain links proposes to
+move, and only as many proposals per (from, to) pair of shards are accepted as
+the quotas allow, until no cut links are gained.  At the end the shards are
+made exactly even (row counts at most one apart): documents beyond a shard's
+quota and documents without links fill the gaps.
 
 The graph never leaves the executors; the driver sees one table of shard
-pairs per round (shards squared rows at most).  No window runs over a whole
+pairs per round (shards squared rows at most) and the clusters over a sixteenth
+of a shard (32 a shard at most).  No window runs over a whole
 shard or a whole group: proposals are accepted by a hash threshold, and ranks
 come from ``bucket_ranks``.  Links of equal texts are a star (every copy to
 the first one), not all pairs; Spark splits the join partition of a star's
-centre, and neighbour counts are summed before they are shuffled.
+centre, and link counts are summed before they are shuffled.
 
 Defined results: every row of the input is a document of its own, whatever
 its id (null and repeated ids included); a null text has size 16 and no
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import bucket_ranks, cut, hash01
 
-ROUNDS = 4
+#: Rounds end when two in a row gain less than this share of the links.
+LEAST_GAIN = 0.001
 #: Rows per ranking bucket.
 BUCKET_ROWS = 20_000
 
@@ -65,51 +69,169 @@ def quotas(counts: dict[int, int], proposals: dict[tuple[int, int], int], capaci
     return {k: allowed[k] / v for k, v in proposals.items() if v}
 
 
-def propagate(links: DataFrame, shards: int, total: int, *, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
-    """``node``, ``shard`` and ``anchor`` (the node's smallest neighbour or
-    itself) of every linked node.
+def coarsen(links: DataFrame, capacity: int, *, seed: int = 0) -> DataFrame:
+    """``node`` and ``anchor`` of the linked nodes that join a cluster of another
+    node; no cluster is expected to hold more than ``capacity`` nodes.
 
-    In all rounds but the last a random half of the nodes may move, towards
-    all their neighbours, so that two linked nodes don't swap for ever; in the
-    last one nodes look at smaller neighbours only, which lets no pair swap."""
+    Every cluster names the neighbour it shares most links with.  In odd rounds
+    clusters join a neighbour that is the better linked one of two that name
+    each other (a star is one cluster after a round); in even rounds those a
+    coin makes movers join those it doesn't, so that long chains shrink by a
+    constant share too.  The rounds go on until no two linked clusters fit into
+    one; links of clusters that don't fit are left out on the way."""
+    edges = cut(links.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                .agg(F.count(F.lit(1)).alias("w")).where(F.lit(capacity >= 2))
+                .select("a", "b", "w", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")), "edges-0")
+    joined, r = [], 0
+    while edges.take(1):
+        r += 1
+        both = edges.select(F.col("a").alias("c"), F.col("b").alias("o"), "w", F.col("na").alias("n")).unionByName(
+            edges.select(F.col("b").alias("c"), F.col("a").alias("o"), "w", F.col("nb").alias("n")))
+        tie = F.xxhash64(F.lit(seed + r), F.least("c", "o"), F.greatest("c", "o"))
+        best = cut(both.groupBy("c").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("deg"),
+                                         F.max(F.struct("w", tie.alias("t"), "o")).getField("o").alias("p")), f"best-{r}")
+        if r % 2:
+            named = best.join(best.select(F.col("c").alias("p"), F.col("p").alias("pp"), F.col("deg").alias("pdeg")), "p")
+            root = (F.col("pp") == F.col("c")) & (
+                (F.col("deg") > F.col("pdeg")) | ((F.col("deg") == F.col("pdeg")) & (F.col("c") < F.col("p"))))
+            named = named.withColumn("root", root)
+            centres = named.where("root").select(F.col("c").alias("p"), F.col("n").alias("pn"))
+            asks = named.where("NOT root").select("c", "n", "p").join(centres, "p")
+        else:
+            asks = (best.where((hash01(F.lit(seed + r), "c") < 0.5) & (hash01(F.lit(seed + r), "p") >= 0.5))
+                    .select("c", "n", "p").join(best.select(F.col("c").alias("p"), F.col("n").alias("pn")), "p"))
+        load = asks.groupBy("p").agg(F.sum("n").alias("asked"))
+        room = F.lit(capacity) - F.col("pn")
+        moves = cut(asks.join(load, "p").where(hash01(F.lit(~seed - r), "c") * F.col("asked") < room)
+                    .select("c", "p", "n"), f"joins-{r}")
+        joined.append(moves.select(F.col("c").alias("node"), F.col("p").alias("anchor")))
+        grown = moves.groupBy(F.col("p").alias("to")).agg(F.sum("n").alias("more"))
+        weight = best.select(F.col("c").alias("to"), "n").join(grown, "to", "left").select(
+            "to", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        now = best.select("c").join(moves.select("c", "p"), "c", "left").select("c", F.coalesce("p", "c").alias("to"))
+        now = cut(now.join(weight, "to").select("c", F.struct("to", "n").alias("s")), f"clusters-{r}")
+        ends = (edges.select("a", "b", "w").join(now.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+                .join(now.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+                .where((F.col("sa.to") != F.col("sb.to")) & (F.col("sa.n") + F.col("sb.n") <= capacity)))
+        edges = cut(ends.groupBy(F.least("sa", "sb").alias("l"), F.greatest("sa", "sb").alias("g"))
+                    .agg(F.sum("w").alias("w"))
+                    .select(F.col("l.to").alias("a"), F.col("g.to").alias("b"), "w",
+                            F.col("l.n").alias("na"), F.col("g.n").alias("nb")), f"edges-{r}")
+    if not joined:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("anchor")).where(F.lit(False))
+    # Every cluster joins another once: a forest, as deep as there were rounds.
+    forest, depth = joined[0], 1
+    for moves in joined[1:]:
+        forest = forest.unionByName(moves)
+    while depth < r:
+        up = forest.select(F.col("node").alias("anchor"), F.col("anchor").alias("above"))
+        forest = cut(forest.join(up, "anchor", "left").select("node", F.coalesce("above", "anchor").alias("anchor")), "forest")
+        depth *= 2
+    return forest
+
+
+def place(clusters: DataFrame, shards: int, total: int, *, seed: int = 0) -> DataFrame:
+    """``cluster``, ``n`` and a first ``shard``: clusters over a sixteenth of a
+    shard, heaviest first, where most room is left (at most 32 for each shard,
+    whatever the input), all others by hash in proportion to the room."""
+    capacity = max(1, total // shards)
+    room = [total / shards] * shards
+    heavy = clusters.where(F.col("n") * 16 > capacity).select("cluster", "n").collect()
+    at = []
+    for c, n in sorted(heavy, key=lambda x: (-x[1], x[0])):
+        s = max(range(shards), key=lambda s: room[s])
+        room[s] -= n
+        at.append((c, s))
+    left = [max(0.0, x) for x in room]
+    if not sum(left):
+        left = [1.0] * shards
+    ends, run = [], 0.0
+    for x in left[:-1]:
+        run += x
+        ends.append(run / sum(left))
+    u = hash01(F.lit(seed), "cluster")
+    light = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= u)) if ends else F.lit(0)
+    fixed = clusters.sparkSession.createDataFrame(at, "cluster long, at int")
+    return clusters.join(F.broadcast(fixed), "cluster", "left").select(
+        "cluster", "n", F.coalesce("at", light.cast("int")).alias("shard"))
+
+
+def propagate(links: DataFrame, shards: int, total: int, *, seed: int = 0) -> DataFrame:
+    """``node``, ``shard``, ``anchor`` (its cluster) and ``n`` (the cluster's
+    nodes) of every linked node.
+
+    Clusters of linked nodes (``coarsen``) move as one.  In a round a random
+    half of them may move towards the shard they have most links with, so that
+    two linked clusters don't swap for ever.  The rounds end when two in a row
+    gain less than ``LEAST_GAIN`` of the links; the state with the fewest cut
+    links is kept."""
     capacity = max(1, total // shards)
+    joined = coarsen(links, capacity, seed=seed)
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    member = cut(nodes.join(joined, "node", "left").select("node", F.coalesce("anchor", "node").alias("cluster")),
+                 "members")
+    clusters = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    state = cut(place(cut(clusters, "sizes"), shards, total, seed=seed), "shards-0")
+    between = (links.join(member.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), "a")
+               .join(member.select(F.col("node").alias("b"), F.col("cluster").alias("cb")), "b").where("ca <> cb")
+               .groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+               .agg(F.count(F.lit(1)).alias("w")))
+    between = cut(between, "between")
+    if between.take(1):
+        state = move_clusters(between, state, shards, capacity, links.count(), seed=seed)
+    return cut(member.join(state, "cluster").select("node", F.col("cluster").alias("anchor"), "shard", "n"), "shards")
+
+
+def move_clusters(between: DataFrame, state: DataFrame, shards: int, capacity: int, total_links: int, *,
+                  seed: int = 0) -> DataFrame:
+    """``state`` (``cluster``, ``n``, ``shard``) after the rounds of moves."""
     # One direction is stored; both are read.
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    nodes = both.groupBy("node").agg(F.min("other").alias("_o")).select(
-        "node", F.least("node", "_o").alias("anchor"),
-        F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(shards)).cast("int").alias("shard"))
-    state = cut(nodes, "shards-0")
-    for r in range(1, rounds + 1):
-        last = r == rounds
-        seen = both.where("other < node") if last else both
-        votes = (seen.join(state.select(F.col("node").alias("other"), F.col("shard").alias("to")), "other")
-                 .groupBy("node", "to").agg(F.count(F.lit(1)).alias("n")))
-        # The best shard, and the votes for the current one, in one aggregate.
-        best = (votes.join(state, "node")
-                .groupBy("node", "anchor", "shard")
-                .agg(F.max(F.struct("n", (-F.col("to")).alias("t"))).alias("best"),
-                     F.sum(F.when(F.col("to") == F.col("shard"), F.col("n")).otherwise(0)).alias("here")))
-        active = F.lit(True) if last else hash01(F.lit(seed + r), "node") < 0.5
-        wants = F.when(active & (F.col("best.n") > F.col("here")), -F.col("best.t")).otherwise(F.col("shard"))
-        others = state.join(best.select("node"), "node", "left_anti").withColumn("to", F.col("shard")) if last else None
-        moved = best.select("node", "anchor", "shard", wants.cast("int").alias("to"))
-        moved = cut(moved.unionByName(others) if last else moved, f"moves-{r}")
-        table = moved.groupBy("shard", "to").count().collect()  # shards squared rows at most
+    both = between.select(F.col("a").alias("cluster"), F.col("b").alias("other"), "w").unionByName(
+        between.select(F.col("b").alias("cluster"), F.col("a").alias("other"), "w"))
+    kept, fewest, idle, r = state, math.inf, 0, 0
+    while True:
+        r += 1
+        votes = (both.join(state.select(F.col("cluster").alias("other"), F.col("shard").alias("to")), "other")
+                 .groupBy("cluster", "to").agg(F.sum("w").alias("w")))
+        # The best shard, the votes for the current one and all votes, in one aggregate.
+        best = (votes.join(state, "cluster").groupBy("cluster", "n", "shard")
+                .agg(F.max(F.struct("w", (-F.col("to")).alias("t"))).alias("best"), F.sum("w").alias("all"),
+                     F.sum(F.when(F.col("to") == F.col("shard"), F.col("w")).otherwise(0)).alias("here")))
+        wants = (hash01(F.lit(seed + r), "cluster") < 0.5) & (F.col("best.w") > F.col("here"))
+        moved = best.select("cluster", "n", "shard", (F.col("all") - F.col("here")).alias("away"),
+                            F.when(wants, -F.col("best.t")).otherwise(F.col("shard")).cast("int").alias("to"))
+        alone = state.join(between.select(F.col("a").alias("cluster")).unionByName(
+            between.select(F.col("b").alias("cluster"))).distinct(), "cluster", "left_anti")
+        moved = cut(moved.unionByName(alone.select("cluster", "n", "shard", F.lit(0).cast("long").alias("away"),
+                                                   F.col("shard").alias("to"))), f"moves-{r}")
+        # Shards squared rows at most.
+        table = moved.groupBy("shard", "to").agg(F.sum("n").alias("n"), F.sum("away").alias("away")).collect()
+        cut_links = sum(row["away"] for row in table) / 2
+        idle = 0 if cut_links < fewest - LEAST_GAIN * total_links else idle + 1
+        if cut_links < fewest:
+            kept, fewest = state, cut_links
+        if idle == 2 or not cut_links:
+            return kept
         counts: dict[int, int] = {}
         proposals: dict[tuple[int, int], int] = {}
         for row in table:
-            counts[row["shard"]] = counts.get(row["shard"], 0) + row["count"]
+            counts[row["shard"]] = counts.get(row["shard"], 0) + row["n"]
             if row["to"] != row["shard"]:
-                proposals[row["shard"], row["to"]] = row["count"]
+                proposals[row["shard"], row["to"]] = row["n"]
         share = quotas(counts, proposals, capacity)
-        # One row for each pair of shards at most, whatever the number of documents.
-        pairs = links.sparkSession.createDataFrame(
+        pairs = between.sparkSession.createDataFrame(
             [(a, b, float(v)) for (a, b), v in share.items()], "shard int, to int, share double")
-        moved = moved.join(F.broadcast(pairs), ["shard", "to"], "left")
-        go = hash01(F.lit(~seed - r), "node") < F.coalesce("share", F.lit(0.0))
-        state = moved.select("node", "anchor", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard"))
-    return cut(state, "shards")
+        go = hash01(F.lit(~seed - r), "cluster") < F.coalesce("share", F.lit(0.0))
+        state = cut(moved.join(F.broadcast(pairs), ["shard", "to"], "left").select(
+            "cluster", "n", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard")), f"shards-{r}")
+
+
+def cut_links(links: DataFrame, placed: DataFrame, *, id_col: str = "node") -> DataFrame:
+    """One row: ``links``, and ``cut``, those whose ends lie in different shards."""
+    at = placed.select(F.col(id_col).alias("a"), F.col("shard").alias("sa"))
+    other = placed.select(F.col(id_col).alias("b"), F.col("shard").alias("sb"))
+    return links.join(at, "a").join(other, "b").agg(
+        F.count(F.lit(1)).alias("links"), F.coalesce(F.sum((F.col("sa") != F.col("sb")).cast("long")), F.lit(0)).alias("cut"))
 
 
 def even_out(nodes: DataFrame, placed: DataFrame, shards: int, total: int) -> DataFrame:
@@ -124,24 +246,27 @@ def even_out(nodes: DataFrame, placed: DataFrame, shards: int, total: int) -> Da
     room = [total // shards + (s < total % shards) for s in range(shards)]
     side = math.isqrt(total // BUCKET_ROWS) + 1  # side * side buckets
 
-    def by_anchor(col):  # anchors over side ranges, every anchor over side buckets
-        return F.pmod(F.xxhash64(F.lit("a"), col), F.lit(side)) * side + F.pmod(
-            F.xxhash64(F.lit("n"), "node"), F.lit(side))
+    def by_anchor():  # anchors over side ranges, every anchor of many nodes over side buckets
+        part = F.when(F.col("n") > BUCKET_ROWS, F.col("node")).otherwise(F.col("anchor"))
+        return F.pmod(F.xxhash64(F.lit("a"), "anchor"), F.lit(side)) * side + F.pmod(
+            F.xxhash64(F.lit("n"), part), F.lit(side))
 
     rooms = F.array(*[F.lit(x) for x in room])
     if placed is not None:
-        fits = bucket_ranks(placed.withColumn("_b", by_anchor("anchor")), ["shard"], "_b", ["node"], "slot")
-        fits = cut(fits.select("node", "anchor", "shard", "slot",
+        fits = bucket_ranks(placed.withColumn("_b", by_anchor()), ["shard"], "_b", ["anchor", "node"], "slot")
+        fits = cut(fits.select("node", "anchor", "n", "shard", "slot",
                                (F.col("slot") < F.get(rooms, F.col("shard"))).alias("fits")), "placed")
         kept = {r["shard"]: r["count"] for r in fits.where("fits").groupBy("shard").count().collect()}
-        rest = nodes.join(fits.select("node"), "node", "left_anti").select("node", F.lit(None).cast("long").alias("anchor"))
-        rest = rest.unionByName(fits.where("not fits").select("node", "anchor"))
+        free = nodes.join(fits.select("node"), "node", "left_anti")
     else:
-        kept, rest = {}, nodes.select("node", F.lit(None).cast("long").alias("anchor"))
-    bucket = F.when(F.col("anchor").isNotNull(), by_anchor("anchor")).otherwise(
+        kept, free = {}, nodes
+    rest = free.select("node", F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("n"))
+    if placed is not None:
+        rest = rest.unionByName(fits.where("not fits").select("node", "anchor", "n"))
+    bucket = F.when(F.col("anchor").isNotNull(), by_anchor()).otherwise(
         F.lit(side * side) + F.pmod(F.xxhash64(F.lit("n"), "node"), F.lit(side * side)))
     rest = cut(rest.withColumn("_b", bucket), "rest").withColumn("_all", F.lit(0))
-    ranked = bucket_ranks(rest, ["_all"], "_b", ["node"], "_rank")
+    ranked = bucket_ranks(rest, ["_all"], "_b", ["anchor", "node"], "_rank")
     starts, at = [], 0
     for s in range(shards):
         starts.append(at)
@@ -159,7 +284,7 @@ def even_out(nodes: DataFrame, placed: DataFrame, shards: int, total: int) -> Da
 
 
 def shard_documents(docs: DataFrame, shards: int, *, text_col: str = "text", keep: list[str] | None = None,
-                    links: DataFrame | None = None, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+                    links: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """``keep`` columns, ``size`` (UTF-8 bytes + 16), ``text_crc32``,
     ``linked`` , ``shard`` and ``slot`` for every row of ``docs``.
 
@@ -183,7 +308,7 @@ def shard_documents(docs: DataFrame, shards: int, *, text_col: str = "text", kee
     edges = cut(edges, "links")
     total = base.count()
     some = bool(edges.take(1))
-    placed = propagate(edges, shards, total, rounds=rounds, seed=seed) if some else None
+    placed = propagate(edges, shards, total, seed=seed) if some else None
     out = base.join(even_out(nodes, placed, shards, total), "node")
     linked = out.join(placed.select("node", F.lit(True).alias("linked")), "node", "left") if some else out.withColumn(
         "linked", F.lit(False))

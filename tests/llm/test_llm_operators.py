@@ -99,6 +99,37 @@ def test_shards_of_one_large_group_and_of_nothing(spark, odd, none):
     assert shard_propagation.shard_documents(none, 4, keep=["doc_id"]).count() == 0
 
 
+def _cut_share(spark, links, n, shards):
+    ids = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    edges = spark.createDataFrame(links, "a long, b long")
+    out = shard_propagation.shard_documents(ids, shards, keep=["doc_id"], links=edges).cache()
+    sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert sum(sizes) == n and len(sizes) == min(n, shards) and max(sizes) - min(sizes) <= 1
+    found = shard_propagation.cut_links(edges, out, id_col="doc_id").first()
+    shard = {r["doc_id"]: r["shard"] for r in out.collect()}
+    assert found["links"] == len(links) and found["cut"] == sum(shard[a] != shard[b] for a, b in links)
+    return found["cut"] / found["links"]
+
+
+def test_paths_that_fit_a_shard_are_rarely_cut(spark):
+    order = np.random.default_rng(3).permutation(4000)
+    paths = [(int(order[i]), int(order[i + 1])) for i in range(3999) if i % 8 != 7]
+    assert _cut_share(spark, paths, 4000, 40) < 0.1
+
+
+def test_one_long_chain_is_cut_about_once_a_shard(spark):
+    order = np.random.default_rng(4).permutation(1000)
+    assert _cut_share(spark, [(int(order[i]), int(order[i + 1])) for i in range(999)], 1000, 5) < 0.1
+
+
+def test_linked_clusters_stay_whole_beside_stray_links(spark):
+    # 40 dense groups of 20 documents and a stray link from each to the next.
+    rng = np.random.default_rng(5)
+    links = [(20 * g + int(a), 20 * g + int(b)) for g in range(40) for a, b in rng.integers(0, 20, (60, 2)) if a != b]
+    links += [(20 * g, 20 * g + 20) for g in range(39)]
+    assert _cut_share(spark, links, 800, 8) < 0.12
+
+
 def test_quotas_hold_capacity():
     share = shard_propagation.quotas({0: 10, 1: 10, 2: 10}, {(0, 1): 10, (2, 1): 10, (1, 0): 2}, 12)
     counts = {0: 10 - 10 * share[0, 1] + 2 * share[1, 0], 1: 10 + 10 * share[0, 1] + 10 * share[2, 1] - 2 * share[1, 0]}
