@@ -100,6 +100,8 @@ def coarsen(links: DataFrame, capacity: int, *, seed: int = 0) -> DataFrame:
         else:
             asks = (best.where((hash01(F.lit(seed + r), "c") < 0.5) & (hash01(F.lit(seed + r), "p") >= 0.5))
                     .select("c", "n", "p").join(best.select(F.col("c").alias("p"), F.col("n").alias("pn")), "p"))
+        # Written, so that the joins before and behind end their stages and a hot centre's partition can be split.
+        asks = cut(asks, f"asks-{r}")
         load = asks.groupBy("p").agg(F.sum("n").alias("asked"))
         room = F.lit(capacity) - F.col("pn")
         moves = cut(asks.join(load, "p").where(hash01(F.lit(~seed - r), "c") * F.col("asked") < room)
