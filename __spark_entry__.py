@@ -29,6 +29,7 @@ from tessera import (  # noqa: E402
     beta_divergence,
     cardinalities,
     contract,
+    contract_one_round,
     contract_full_space,
     delinearize,
     delta,
@@ -52,6 +53,13 @@ from tessera.plans.factorize import q_numerator as numerator_q  # noqa: E402
 SF_SMOKE = "/root/testdata/sf0.001"
 
 
+def _shared_folder(spark) -> str:
+    """The checkpoint folder; where the session names none, one in the warehouse, which executors share too."""
+    if not W.has_checkpoint_dir(spark):
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return checkpoint_dir(spark)
+
+
 # ------------------------------------------------------------- queries
 def q_tensor_from_table(spark, d):
     return W.X1(spark, d).cells()
@@ -87,6 +95,12 @@ def q_contract_hot_keys(spark, d):
     return W.rounded(contract([W.A(spark, d), W.R(spark, d)], ["region", "part"], skew=0.01), 4)
 
 
+def q_contract_triangle(spark, d):
+    """Supplier, part and customer in a cycle: each operand is exchanged once, their two-way product never."""
+    _shared_folder(spark)
+    return W.rounded(contract_one_round(W.triangle(spark, d), ["s"]), 2)
+
+
 def q_contract_to_scalar(spark, d):
     return W.rounded(contract([W.A(spark, d), W.B(spark, d)], []), 2)
 
@@ -321,6 +335,14 @@ def q_fit_history(spark, d):
     return res.history.select("epoch", "factorization", F.round("divergence", 2).alias("divergence"))
 
 
+def q_fit_resumed(spark, d):
+    """One epoch, then another call that goes on from its log."""
+    log = f"{_shared_folder(spark)}/fit-{uuid.uuid4().hex}"
+    fit(_coupled_model(spark, d), epochs=1, log=log)
+    res = fit(_coupled_model(spark, d), epochs=2, log=log)
+    return res.history.select("epoch", "factorization", F.round("divergence", 2).alias("divergence"))
+
+
 def _sparse_rank(rank, missing):
     return _epoch_query(
         lambda s, d: CoupledModel(W.sparse_model_tensors(s, d, rank), [Factorization("D", ("U", "V"))],
@@ -667,6 +689,9 @@ def _tensor_sql() -> dict[str, str]:
             "FROM A JOIN B ON A.part = B.part JOIN R ON A.n = R.n "
             "WHERE B.brand LIKE '%1' AND R.region = 1 GROUP BY 1, 2"),
         "contract_hot_keys": _sql_contract(["A", "R"], ["region", "part"], 4),
+        "contract_triangle": (
+            W.SQL_TRIANGLE + "SELECT sp.s AS s, ROUND(SUM(sp.value * pc.value * sc.value), 2) AS value FROM sp "
+            "JOIN pc ON sp.p = pc.p JOIN sc ON sp.s = sc.s AND pc.c = sc.c GROUP BY 1"),
         "contract_any_order": _sql_contract(["A", "B", "R"], ["region", "brand"], 4),
         "contract_to_scalar": _sql_contract(["A", "B"], [], 2),
         "contract_self": (
@@ -755,4 +780,5 @@ def _tensor_sql() -> dict[str, str]:
         "fit_p0_history": _sql_fit_p0(),
         "epoch_sparse": _sql_epoch_sparse(),
         "fit_history": _sql_fit_history(),
+        "fit_resumed": _sql_fit_history(),
     }

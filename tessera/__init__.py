@@ -13,6 +13,7 @@ from .operators import (
     check,
     contract,
     contract_full_space,
+    contract_one_round,
     elementwise,
     sparse_sum,
     validate,
@@ -58,6 +59,7 @@ __all__ = [
     "coalesce_cells",
     "contract",
     "contract_full_space",
+    "contract_one_round",
     "delinearize",
     "delta",
     "density",

@@ -3,6 +3,7 @@
 from .contract import contract, contract_full_space
 from .divergence import beta_divergence
 from .elementwise import elementwise, sparse_sum
+from .shares import contract_one_round
 from .validate import check, validate
 
 __all__ = [
@@ -10,6 +11,7 @@ __all__ = [
     "check",
     "contract",
     "contract_full_space",
+    "contract_one_round",
     "elementwise",
     "sparse_sum",
     "validate",

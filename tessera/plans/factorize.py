@@ -36,8 +36,9 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,7 @@ from ..operators.sampled import (
     shuffles,
 )
 from ..tensor import VALUE, Tensor
+from .epochlog import EpochLog
 from .lineage import checkpoint_dir
 
 _Z, _NUM, _DEN, _CELL = "__z", "__num", "__den", "__cell"
@@ -398,16 +400,21 @@ class FitResult:
 
 
 def run_epoch(model: CoupledModel, checkpoint: bool = True, on_invalid: str = "raise",
-              check: bool = True) -> CoupledModel:
+              check: bool = True, keep: Callable[[str, Tensor], Tensor] | None = None) -> CoupledModel:
     """Update every latent factor once, in order of first appearance.
 
     ``check`` refuses models whose objective is infinite (see ``fit``, which
-    checks once for all its epochs)."""
+    checks once for all its epochs).  ``keep(name, tensor)`` stores a new factor
+    in place of a checkpoint."""
     if check:
         _check_finite_objective(model)
     for a in model.latent_order():
         new = factor_update(model, a, on_invalid)
-        model = model.with_tensors(**{a: new.checkpoint() if checkpoint else new})
+        if keep:
+            new = keep(a, new)
+        elif checkpoint:
+            new = new.checkpoint()
+        model = model.with_tensors(**{a: new})
     return model
 
 
@@ -447,6 +454,13 @@ def _check_finite_objective(model: CoupledModel) -> None:
             )
 
 
+def _settled(objective: list[float], tol: float | None) -> bool:
+    if tol is None or len(objective) < 2:
+        return False
+    prev, j = objective[-2:]
+    return prev - j <= tol * abs(prev)
+
+
 def fit(
     model: CoupledModel,
     epochs: int,
@@ -454,6 +468,7 @@ def fit(
     checkpoint: bool = True,
     monitor: bool = True,
     on_invalid: str = "raise",
+    log: str | None = None,
 ) -> FitResult:
     """Run ``epochs`` rounds of updates; record the divergence after each.
 
@@ -462,16 +477,40 @@ def fit(
     increase beyond rounding is reported with a warning.  With ``tol``,
     the loop stops once the relative decrease of ``J`` falls below it.
     Only one row per factorization and epoch reaches the driver.
+
+    ``log`` names a folder on shared storage (see ``EpochLog``) in which every
+    epoch is recorded: a call with the folder of an earlier one, of the same
+    model, goes on after its last complete epoch, up to ``epochs`` in all.  The
+    folder holds the factors of two epochs at most.
     """
     spark = next(iter(model.tensors.values())).df.sparkSession
+    rows: list[tuple[int, str, float]] = []
+    objective: list[float] = []
+    done, record = 0, None
+    if log is not None:
+        record = EpochLog(log, model)
+        done, past = record.read()
+        if done > epochs:
+            raise ValueError(f"{log} holds {done} epochs, more than the {epochs} asked for")
+        if done:
+            model = record.load(model, done)
+        for epoch in range(1, done + 1):
+            divs = past.get(epoch, {})
+            if divs:
+                rows += [(epoch, f.observed, divs[n]) for n, f in enumerate(model.factorizations)]
+                objective.append(sum(divs[n] / f.phi for n, f in enumerate(model.factorizations)))
+        if _settled(objective, tol) or done == epochs:
+            history = spark.createDataFrame(rows, "epoch INT, factorization STRING, divergence DOUBLE")
+            return FitResult(model, history, objective)
     if checkpoint:
         model = materialize_observed(model)
     _check_finite_objective(model)
-    rows: list[tuple[int, str, float]] = []
-    objective: list[float] = []
-    for epoch in range(1, epochs + 1):
-        model = run_epoch(model, checkpoint, on_invalid, check=False)
+    for epoch in range(done + 1, epochs + 1):
+        keep = partial(record.write, epoch) if record else None
+        model = run_epoch(model, checkpoint, on_invalid, check=False, keep=keep)
         if not (monitor or tol):
+            if record:
+                record.close(epoch, {})
             continue
         divs = {r["n"]: float(r["divergence"]) for r in _numbered_divergence(model).collect()}
         j = 0.0
@@ -481,10 +520,10 @@ def fit(
         if objective and j > objective[-1] * (1 + 1e-9) + 1e-12:
             warnings.warn(f"objective rose from {objective[-1]} to {j} at epoch {epoch}")
         objective.append(j)
-        if tol is not None and len(objective) > 1:
-            prev = objective[-2]
-            if prev - j <= tol * abs(prev):
-                break
+        if record:
+            record.close(epoch, divs)
+        if _settled(objective, tol):
+            break
     history = spark.createDataFrame(rows, "epoch INT, factorization STRING, divergence DOUBLE")
     return FitResult(model, history, objective)
 

@@ -78,6 +78,25 @@ def D(spark, d) -> Tensor:
                       {"i": F.col("s_nationkey") + 1, "p": F.col("l_partkey") + 1}, "l_quantity")
 
 
+def triangle(spark, d) -> list[Tensor]:
+    """Quantities by (supplier, part) and (part, customer), line items by (supplier, customer)."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    lo = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    return [from_table(li, {"s": "l_suppkey", "p": "l_partkey"}, "l_quantity"),
+            from_table(lo, {"p": "l_partkey", "c": "o_custkey"}, "l_quantity"),
+            from_table(lo, {"s": "l_suppkey", "c": "o_custkey"}, F.lit(1.0))]
+
+
+SQL_TRIANGLE = (
+    "WITH lo AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey), "
+    "sp AS (SELECT l_suppkey AS s, l_partkey AS p, SUM(CAST(l_quantity AS DOUBLE)) AS value FROM lineitem "
+    "WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL GROUP BY 1, 2), "
+    "pc AS (SELECT l_partkey AS p, o_custkey AS c, SUM(CAST(l_quantity AS DOUBLE)) AS value FROM lo "
+    "WHERE l_partkey IS NOT NULL AND o_custkey IS NOT NULL GROUP BY 1, 2), "
+    "sc AS (SELECT l_suppkey AS s, o_custkey AS c, SUM(1.0) AS value FROM lo "
+    "WHERE l_suppkey IS NOT NULL AND o_custkey IS NOT NULL GROUP BY 1, 2) ")
+
+
 def B(spark, d) -> Tensor:
     """Retail price by part key and brand."""
     return from_table(table(spark, d, "part"), {"part": "p_partkey", "brand": "p_brand"},
