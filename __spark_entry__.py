@@ -392,6 +392,19 @@ def q_write_tensor(spark, d):
     return W.rounded(read_tensor(spark, path, ["i", "j"], coalesce=False), 4)
 
 
+def q_write_tensor_clustered(spark, d):
+    """A range on the second index of a table clustered on both."""
+    path = f"{_shared_folder(spark)}/tensor-{uuid.uuid4().hex}"
+    write_tensor(W.A(spark, d), path, cluster=True)
+    t = read_tensor(spark, path, ["n", "part"], coalesce=False, ranges={"part": (101, 900)}, index_type="LONG")
+    return W.rounded(t, 4)
+
+
+def q_contract_exact(spark, d):
+    """Every sum the same in every bit, on any partitions."""
+    return W.rounded(contract([W.A(spark, d), W.B(spark, d)], ["n", "brand"], exact=True), 4)
+
+
 def _beta_zero_cells(spark, d):
     """X1 with every third cell stored as 0, against itself shifted by one j: (0, 0) cells occur."""
     z = F.when((F.col("i") + F.col("j")) % 3 == 0, 0.0).otherwise(F.col("value"))
@@ -768,6 +781,9 @@ def _tensor_sql() -> dict[str, str]:
         "read_tensor": ("SELECT user_id, event_type, ROUND(SUM(value), 6) AS value FROM events "
                         "WHERE user_id IS NOT NULL GROUP BY 1, 2"),
         "write_tensor": "SELECT i, j, ROUND(value, 4) AS value FROM (" + W.SQL_TENSORS["X1"][1] + ")",
+        "write_tensor_clustered": ("SELECT n, part, ROUND(value, 4) AS value FROM (" + W.SQL_TENSORS["A"][1]
+                                   + ") WHERE part BETWEEN 101 AND 900"),
+        "contract_exact": _sql_contract(["A", "B"], ["n", "brand"], 4),
         "epoch_single": _sql_model_query(W.sql_model_x1, [("X1", ["Z1", "Z2"], 1.0, 1.0)], "zero", 1,
                                          _sql_xhat_after("X1")),
         "epoch_p2": _sql_model_query(W.sql_model_x1, [("X1", ["Z1", "Z2"], 2.0, 1.0)], "zero", 1,

@@ -38,6 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sum
 from ..tensor import VALUE, Tensor
 
 _LEFT, _RIGHT, _SALT = "__l", "__r", "__salt"
@@ -77,11 +78,13 @@ def _small(op: _Operand, threshold: int) -> bool:
     return b is not None and threshold > 0 and b <= threshold
 
 
-def _sum_out(op: _Operand, keep: Sequence[str]) -> _Operand:
+def _sum_out(op: _Operand, keep: Sequence[str], exact: bool = False) -> _Operand:
     keep = [i for i in op.indices if i in keep]
     if len(keep) == len(op.indices):
         return op
-    if keep:
+    if exact:
+        df = exact_sum(op.df, keep, VALUE).select(*keep, (F.col(VALUE) if keep else F.coalesce(VALUE, F.lit(0.0))).alias(VALUE))
+    elif keep:
         df = op.df.groupBy(*keep).agg(F.sum(VALUE).alias(VALUE))
     else:
         df = op.df.agg(F.coalesce(F.sum(VALUE), F.lit(0.0)).alias(VALUE))  # an empty total is 0
@@ -213,7 +216,7 @@ def _leaves(node) -> list[int]:
 
 
 def _in_given_order(ops: list[_Operand], output: Sequence[str], salt: int | None, threshold: int,
-                    skew: float | None) -> _Operand:
+                    skew: float | None, exact: bool = False) -> _Operand:
     cur, rest = ops[0], ops[1:]
     while rest:
         linked = [o for o in rest if set(o.indices) & set(cur.indices)] or [
@@ -232,7 +235,7 @@ def _in_given_order(ops: list[_Operand], output: Sequence[str], salt: int | None
         nxt = min(linked, key=lambda o: (*after(o), rest.index(o)))
         rest = [o for o in rest if o is not nxt]
         cur = _join(cur, nxt, salt, threshold, skew)
-        cur = _sum_out(cur, set(output).union(*[set(o.indices) for o in rest]))
+        cur = _sum_out(cur, set(output).union(*[set(o.indices) for o in rest]), exact)
     return cur
 
 
@@ -322,6 +325,7 @@ def contract(
     order: str = "measured",
     skew: float | None = None,
     semi_join: bool = False,
+    exact: bool = False,
 ) -> Tensor:
     """Contract tensors over every index not in ``output``.
 
@@ -344,7 +348,14 @@ def contract(
     spreads them over all partitions.  ``semi_join`` drops cells that take part
     in no product first, where the operands are acyclic; it pays where most
     cells of a large operand have no partner.
+
+    ``exact`` makes every sum independent of the order of its terms (see
+    ``functions.exact``): a rerun, on other partitions or after a lost executor,
+    agrees in every bit.  Each summation rounds once, to the nearest double.  It
+    needs ``reduce``.
     """
+    if exact and not reduce:
+        raise ValueError("exact sums need reduce=True")
     if not tensors:
         raise ValueError("contract needs at least one tensor")
     output = list(output)
@@ -369,7 +380,7 @@ def contract(
     if semi_join:
         ops = drop_dangling(ops)
     # Sum out indices private to one operand before any join.
-    ops = [_sum_out(o, needed([o])) for o in ops]
+    ops = [_sum_out(o, needed([o]), exact) for o in ops]
 
     if order not in ("measured", "given"):
         raise ValueError("order must be 'measured' or 'given'")
@@ -382,14 +393,14 @@ def contract(
             left, right = node
             below = [{i for n in _leaves(side) for i in ops[n].indices} for side in node]
             a, b = build(left, outside | below[1]), build(right, outside | below[0])
-            return _sum_out(_join(a, b, salt, threshold, skew), outside)
+            return _sum_out(_join(a, b, salt, threshold, skew), outside, exact)
 
         cur = build(tree, set(output))
     else:
-        cur = _in_given_order(ops, output, salt, threshold, skew)
+        cur = _in_given_order(ops, output, salt, threshold, skew, exact)
 
     if reduce:
-        cur = _sum_out(cur, output)
+        cur = _sum_out(cur, output, exact)
     else:
         cur = _Operand(cur.df.select(*output, VALUE), list(output),
                        {i: c for i, c in cur.cards.items() if i in output})

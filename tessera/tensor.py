@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.exact import exact_sum
+
 VALUE = "value"
 
 # Rough in-memory width of one stored cell: 8 bytes per column plus row overhead.
@@ -151,6 +153,7 @@ def from_table(
     index_exprs: Mapping[str, Column | str],
     value_expr: Column | str,
     cards: Mapping[str, int] | None = None,
+    exact: bool = False,
 ) -> Tensor:
     """Build a tensor from any DataFrame: one row per cell, duplicates summed.
 
@@ -158,15 +161,15 @@ def from_table(
     value or any coordinate is NULL are dropped (NULL never matches in a join,
     so such a row could never take part in an operation).  The aggregation is
     a hash aggregate with map-side partial sums, so a hot coordinate costs one
-    row per map task in the shuffle, not one row per input record.
+    row per map task in the shuffle, not one row per input record.  ``exact``
+    sums agree in every bit on any partitions (see ``functions.exact``).
     """
     names = list(index_exprs)
     cols = [(F.col(e) if isinstance(e, str) else e).alias(n) for n, e in index_exprs.items()]
     val = (F.col(value_expr) if isinstance(value_expr, str) else value_expr).cast("double")
     projected = df.select(*cols, val.alias(VALUE))
     not_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*names, VALUE)])
-    cells = projected.filter(not_null).groupBy(*names).agg(F.sum(VALUE).alias(VALUE))
-    t = Tensor(cells, tuple(names))
+    t = coalesce_cells(Tensor(projected.filter(not_null), tuple(names)), exact)
     return t.restrict(cards) if cards else t
 
 
@@ -193,8 +196,10 @@ def tensors_from_table(
                       wide, v) for v in values}
 
 
-def coalesce_cells(t: Tensor) -> Tensor:
+def coalesce_cells(t: Tensor, exact: bool = False) -> Tensor:
     """Sum duplicate rows of a tensor so that each cell is stored once."""
+    if exact:
+        return Tensor(exact_sum(t.df, t.indices, VALUE), t.indices, t.cards)
     return Tensor(t.df.groupBy(*t.indices).agg(F.sum(VALUE).alias(VALUE)), t.indices, t.cards)
 
 
