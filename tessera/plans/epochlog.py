@@ -9,10 +9,12 @@ place.  Everything is written by Spark jobs, as Parquet.
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 
-from ..tensor import VALUE, Tensor
+from ..tensor import VALUE, Tensor, value_counts
 
 
 class EpochLog:
@@ -56,8 +58,9 @@ class EpochLog:
 
     def write(self, epoch: int, name: str, t: Tensor) -> Tensor:
         """Store a new factor of ``epoch`` in place of that of two epochs before."""
-        t.df.select(*t.indices, VALUE).write.mode("overwrite").parquet(self._factor(epoch, name))
-        return self._stored(epoch, name, t)
+        seen = Observation()
+        t.cells().observe(seen, *value_counts()).write.mode("overwrite").parquet(self._factor(epoch, name))
+        return replace(self._stored(epoch, name, t), counts=seen.get)
 
     def _stored(self, epoch: int, name: str, like: Tensor) -> Tensor:
         schema = like.df.select(*like.indices, VALUE).schema

@@ -55,6 +55,7 @@ from ..operators.sampled import (
     sampled_gradient,
     shuffles,
 )
+from ..operators.validate import check as check_values
 from ..tensor import VALUE, Tensor
 from .epochlog import EpochLog
 from .lineage import checkpoint_dir
@@ -405,15 +406,20 @@ def run_epoch(model: CoupledModel, checkpoint: bool = True, on_invalid: str = "r
 
     ``check`` refuses models whose objective is infinite (see ``fit``, which
     checks once for all its epochs).  ``keep(name, tensor)`` stores a new factor
-    in place of a checkpoint."""
+    in place of a checkpoint.  A stored factor with a NULL, NaN or infinite value
+    raises ``ValueError`` with their counts, unless ``on_invalid`` is ``"keep"``."""
+    if on_invalid not in ("raise", "keep"):
+        raise ValueError(f"on_invalid must be 'raise' or 'keep', not {on_invalid!r}")
     if check:
         _check_finite_objective(model)
     for a in model.latent_order():
-        new = factor_update(model, a, on_invalid)
-        if keep:
-            new = keep(a, new)
-        elif checkpoint:
-            new = new.checkpoint()
+        written = bool(keep) or checkpoint
+        # Values are counted while they are written, so that an error can tell how many are wrong.
+        new = factor_update(model, a, "keep" if written else on_invalid)
+        if written:
+            new = keep(a, new) if keep else new.checkpoint()
+        if written and on_invalid == "raise":
+            check_values(new, allow_inf=False, what=f"the update of {a}")
         model = model.with_tensors(**{a: new})
     return model
 
@@ -447,7 +453,7 @@ def _check_finite_objective(model: CoupledModel) -> None:
             continue
         x = model.tensors[f.observed]
         numel = math.prod(model.card(i) for i in x.indices)
-        if x.df.count() < numel:
+        if (x.counts["cells"] if x.counts else x.df.count()) < numel:
             raise ValueError(
                 f"{f.observed}: with p={f.p} an unstored cell read as zero has infinite "
                 "divergence; use missing='masked' or store every cell"

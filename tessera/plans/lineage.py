@@ -7,7 +7,9 @@ takes a materialized intermediate with it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,3 +31,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` into the checkpoint folder and return the short plan."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_and_count(df: DataFrame, measures: Sequence[Column]) -> tuple[DataFrame, dict[str, int]]:
+    """``cut_lineage``, and aggregates over the rows taken by the job that writes them."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, *measures))
+    return out, seen.get

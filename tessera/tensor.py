@@ -43,6 +43,8 @@ class Tensor:
     # A table of several tensors over the same cells, and this tensor's column in it.
     wide: DataFrame | None = field(default=None, compare=False, repr=False)
     column: str | None = None
+    # Counts of values (see ``value_counts``), taken while the cells were materialized.
+    counts: Mapping[str, int] | None = field(default=None, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "indices", tuple(self.indices))
@@ -95,7 +97,8 @@ class Tensor:
 
     def with_cards(self, cards: Mapping[str, int]) -> Tensor:
         """Attach cardinalities known to hold (e.g. from ``cardinalities``)."""
-        return Tensor(self.df, self.indices, {**self.cards, **cards}, self.materialized, self.wide, self.column)
+        return Tensor(self.df, self.indices, {**self.cards, **cards}, self.materialized, self.wide, self.column,
+                      self.counts)
 
     def restrict(self, cards: Mapping[str, int]) -> Tensor:
         """Keep coordinates inside ``1..card`` for each given index.
@@ -142,10 +145,14 @@ class Tensor:
         return self
 
     def checkpoint(self) -> Tensor:
-        """Cut the lineage with a reliable checkpoint (see ``plans.lineage``)."""
-        from .plans.lineage import cut_lineage
+        """Cut the lineage with a reliable checkpoint (see ``plans.lineage``).
 
-        return Tensor(cut_lineage(self.cells()), self.indices, self.cards, True)
+        The job that writes the cells also counts them: ``validate`` and
+        ``check`` of the result need no further job."""
+        from .plans.lineage import cut_and_count
+
+        df, counts = cut_and_count(self.cells(), value_counts())
+        return Tensor(df, self.indices, self.cards, True, counts=counts)
 
 
 def from_table(
@@ -196,6 +203,13 @@ def tensors_from_table(
                       wide, v) for v in values}
 
 
+def value_counts() -> list[Column]:
+    """Aggregates that count stored, NULL, NaN and infinite values."""
+    v = F.col(VALUE)
+    return [F.count(F.lit(1)).alias("cells"), F.count_if(v.isNull()).alias("nulls"), F.count_if(F.isnan(v)).alias("nans"),
+            F.count_if(v.isin(float("inf"), float("-inf"))).alias("infs")]
+
+
 def coalesce_cells(t: Tensor, exact: bool = False) -> Tensor:
     """Sum duplicate rows of a tensor so that each cell is stored once."""
     if exact:
