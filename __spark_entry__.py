@@ -396,7 +396,8 @@ def q_write_tensor_clustered(spark, d):
     """A range on the second index of a table clustered on both."""
     path = f"{_shared_folder(spark)}/tensor-{uuid.uuid4().hex}"
     write_tensor(W.A(spark, d), path, cluster=True)
-    t = read_tensor(spark, path, ["n", "part"], coalesce=False, ranges={"part": (101, 900)}, index_type="LONG")
+    t = read_tensor(spark, path, ["n", "part"], coalesce=False, ranges={"part": (101, 900)},
+                    index_type={"n": "INT", "part": "LONG"})
     return W.rounded(t, 4)
 
 
