@@ -26,7 +26,8 @@ to Catalyst and adaptive execution, which broadcast a side whose measured
 shuffle output is small and split skewed partitions.  ``salt=n`` spreads
 the larger side of every shuffled join over ``n`` sub-partitions (hash of its
 other indices) and replicates the smaller side ``n`` times, for keys hot
-enough to dominate a task even after adaptive splitting.
+enough to dominate a task even after adaptive splitting.  Copies are never
+broadcast: Spark's estimate does not count them.
 """
 
 from __future__ import annotations
@@ -139,7 +140,8 @@ def _salted(a, b, left, right, shared, n):
     copies = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     big_df, small_df = (left, right) if big_is_left else (right, left)
     big_df = big_df.withColumn(_SALT, bucket)
-    small_df = small_df.withColumn(_SALT, copies)
+    # Spark estimates the copies as if there were one of each row, and would broadcast them through the driver.
+    small_df = small_df.withColumn(_SALT, copies).hint("merge")
     return (big_df, small_df) if big_is_left else (small_df, big_df)
 
 
@@ -306,7 +308,7 @@ def _split_join(a: _Operand, b: _Operand, left: DataFrame, right: DataFrame, sha
     is_hot = key.isin(hot)
     rest = [F.col(i) for i in op.indices if i not in shared]
     spread = big.where(is_hot).withColumn(_SALT, F.pmod(F.xxhash64(*rest), F.lit(n)).cast("int"))
-    copies = small.where(is_hot).withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    copies = small.where(is_hot).withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).hint("merge")
     columns = [*dict.fromkeys([*left.columns, *right.columns])]
     hot_rows = spread.join(copies, [*shared, _SALT], "inner").select(*columns)
     return big.where(~is_hot).join(small.where(~is_hot), shared, "inner").select(*columns).unionByName(hot_rows)

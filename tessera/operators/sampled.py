@@ -109,7 +109,8 @@ def _join_side(df: DataFrame, x: Tensor, v: DataFrame, own: list[str], small: bo
         # of the key is copied to each of them.
         rest = [F.col(i) for i in x.indices if i not in own]
         df = df.withColumn(_SALT, F.pmod(F.xxhash64(*rest), F.lit(salt)).cast("int"))
-        v = v.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        # Not broadcast: Spark's estimate does not count the copies.
+        v = v.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("merge")
         return df.join(v, [*own, _SALT], "left").drop(_SALT)
     return df.join(v, own, "left")
 

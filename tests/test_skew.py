@@ -36,6 +36,20 @@ def test_salted_contraction_equals_plain(spark):
     assert all(plain[k] == pytest.approx(salted[k], rel=1e-12) for k in plain)
 
 
+def test_salted_copies_are_not_broadcast(spark, tmp_path):
+    # A file small enough for Spark to broadcast; its copies would go through the driver.
+    factor(spark, "j", 19, bounded=False).df.write.parquet(f"{tmp_path}/z")
+    z = Tensor(spark.read.parquet(f"{tmp_path}/z"), ("j", "k"))
+    x = hot_tensor(spark)
+    assert "BroadcastHashJoin" in plan_of(contract([x, z], ["i", "k"]))
+    for t in (contract([x, z], ["i", "k"], salt=6), contract([x, z], ["i", "k"], skew=0.2)):
+        assert "__salt" in plan_of(t)
+        assert not [x for x in plan_of(t).splitlines() if "BroadcastHashJoin" in x and "__salt" in x]
+    y = Tensor(spark.range(1, 3001).selectExpr("CAST(id AS INT) AS i", "1 AS k", "2.0D AS value"), ("i", "k"), {"k": 3})
+    plan = plan_of(sampled_contract(x, [y, z.with_cards({"k": 3})], salt=5))
+    assert "__salt" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("salt", [None, 5])
 def test_sampled_with_unbounded_factors(spark, salt):
     x = hot_tensor(spark)
