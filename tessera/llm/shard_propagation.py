@@ -33,10 +33,25 @@ from .common import bucket_ranks, cut, hash01
 
 #: Rounds end when two in a row gain less than this share of the links.
 LEAST_GAIN = 0.001
+#: Clusters up to which a round's shards are sent to all tasks, a small table whatever the input.
+FEW_CLUSTERS = 20_000
+#: Rows up to which a round's tables are made by few tasks: with hundreds of shuffle
+#: partitions, starting tasks and opening files would be most of a round.
+FEW_ROWS, FEW_FILES = 100_000, 8
 #: Rows per ranking bucket.
 BUCKET_ROWS = 20_000
 
 
+def few(df: DataFrame, at_most: int) -> DataFrame:
+    """``df``, of ``at_most`` rows, in few tasks if these are few."""
+    return df.coalesce(FEW_FILES) if at_most <= FEW_ROWS else df
+
+
+def written(df: DataFrame, name: str, at_most: int) -> DataFrame:
+    """``cut`` of a table of ``at_most`` rows."""
+    return cut(few(df, at_most), name)
+
+
 def copy_links(nodes: DataFrame, key: str) -> DataFrame:
     """Star links ``(a, b)`` between nodes of equal, non-null ``key``: every
     node ``a`` to the first node ``b`` of its key."""
@@ -79,17 +94,18 @@ def coarsen(links: DataFrame, capacity: int, *, seed: int = 0) -> DataFrame:
     coin makes movers join those it doesn't, so that long chains shrink by a
     constant share too.  The rounds go on until no two linked clusters fit into
     one; links of clusters that don't fit are left out on the way."""
-    edges = cut(links.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    at_most = 2 * links.count()  # neither nodes nor links of clusters are more
+    edges = written(links.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                 .agg(F.count(F.lit(1)).alias("w")).where(F.lit(capacity >= 2))
-                .select("a", "b", "w", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")), "edges-0")
+                .select("a", "b", "w", F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")), "edges-0", at_most)
     joined, r = [], 0
     while edges.take(1):
         r += 1
         both = edges.select(F.col("a").alias("c"), F.col("b").alias("o"), "w", F.col("na").alias("n")).unionByName(
             edges.select(F.col("b").alias("c"), F.col("a").alias("o"), "w", F.col("nb").alias("n")))
         tie = F.xxhash64(F.lit(seed + r), F.least("c", "o"), F.greatest("c", "o"))
-        best = cut(both.groupBy("c").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("deg"),
-                                         F.max(F.struct("w", tie.alias("t"), "o")).getField("o").alias("p")), f"best-{r}")
+        best = written(both.groupBy("c").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("deg"),
+                                             F.max(F.struct("w", tie.alias("t"), "o")).getField("o").alias("p")), f"best-{r}", at_most)
         if r % 2:
             named = best.join(best.select(F.col("c").alias("p"), F.col("p").alias("pp"), F.col("deg").alias("pdeg")), "p")
             root = (F.col("pp") == F.col("c")) & (
@@ -101,24 +117,24 @@ def coarsen(links: DataFrame, capacity: int, *, seed: int = 0) -> DataFrame:
             asks = (best.where((hash01(F.lit(seed + r), "c") < 0.5) & (hash01(F.lit(seed + r), "p") >= 0.5))
                     .select("c", "n", "p").join(best.select(F.col("c").alias("p"), F.col("n").alias("pn")), "p"))
         # Written, so that the joins before and behind end their stages and a hot centre's partition can be split.
-        asks = cut(asks, f"asks-{r}")
+        asks = written(asks, f"asks-{r}", at_most)
         load = asks.groupBy("p").agg(F.sum("n").alias("asked"))
         room = F.lit(capacity) - F.col("pn")
-        moves = cut(asks.join(load, "p").where(hash01(F.lit(~seed - r), "c") * F.col("asked") < room)
-                    .select("c", "p", "n"), f"joins-{r}")
+        moves = written(asks.join(load, "p").where(hash01(F.lit(~seed - r), "c") * F.col("asked") < room)
+                    .select("c", "p", "n"), f"joins-{r}", at_most)
         joined.append(moves.select(F.col("c").alias("node"), F.col("p").alias("anchor")))
         grown = moves.groupBy(F.col("p").alias("to")).agg(F.sum("n").alias("more"))
         weight = best.select(F.col("c").alias("to"), "n").join(grown, "to", "left").select(
             "to", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
         now = best.select("c").join(moves.select("c", "p"), "c", "left").select("c", F.coalesce("p", "c").alias("to"))
-        now = cut(now.join(weight, "to").select("c", F.struct("to", "n").alias("s")), f"clusters-{r}")
+        now = written(now.join(weight, "to").select("c", F.struct("to", "n").alias("s")), f"clusters-{r}", at_most)
         ends = (edges.select("a", "b", "w").join(now.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
                 .join(now.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
                 .where((F.col("sa.to") != F.col("sb.to")) & (F.col("sa.n") + F.col("sb.n") <= capacity)))
-        edges = cut(ends.groupBy(F.least("sa", "sb").alias("l"), F.greatest("sa", "sb").alias("g"))
+        edges = written(ends.groupBy(F.least("sa", "sb").alias("l"), F.greatest("sa", "sb").alias("g"))
                     .agg(F.sum("w").alias("w"))
                     .select(F.col("l.to").alias("a"), F.col("g.to").alias("b"), "w",
-                            F.col("l.n").alias("na"), F.col("g.n").alias("nb")), f"edges-{r}")
+                            F.col("l.n").alias("na"), F.col("g.n").alias("nb")), f"edges-{r}", at_most)
     if not joined:
         return links.select(F.col("a").alias("node"), F.col("b").alias("anchor")).where(F.lit(False))
     # Every cluster joins another once: a forest, as deep as there were rounds.
@@ -127,7 +143,7 @@ def coarsen(links: DataFrame, capacity: int, *, seed: int = 0) -> DataFrame:
         forest = forest.unionByName(moves)
     while depth < r:
         up = forest.select(F.col("node").alias("anchor"), F.col("anchor").alias("above"))
-        forest = cut(forest.join(up, "anchor", "left").select("node", F.coalesce("above", "anchor").alias("anchor")), "forest")
+        forest = written(forest.join(up, "anchor", "left").select("node", F.coalesce("above", "anchor").alias("anchor")), "forest", at_most)
         depth *= 2
     return forest
 
@@ -168,20 +184,23 @@ def propagate(links: DataFrame, shards: int, total: int, *, seed: int = 0) -> Da
     gain less than ``LEAST_GAIN`` of the links; the state with the fewest cut
     links is kept."""
     capacity = max(1, total // shards)
+    total_links = links.count()
+    at_most = 2 * total_links
     joined = coarsen(links, capacity, seed=seed)
     nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    member = cut(nodes.join(joined, "node", "left").select("node", F.coalesce("anchor", "node").alias("cluster")),
-                 "members")
+    member = written(nodes.join(joined, "node", "left").select("node", F.coalesce("anchor", "node").alias("cluster")),
+                     "members", at_most)
     clusters = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    state = cut(place(cut(clusters, "sizes"), shards, total, seed=seed), "shards-0")
+    state = written(place(written(clusters, "sizes", at_most), shards, total, seed=seed), "shards-0", at_most)
     between = (links.join(member.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), "a")
                .join(member.select(F.col("node").alias("b"), F.col("cluster").alias("cb")), "b").where("ca <> cb")
                .groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
                .agg(F.count(F.lit(1)).alias("w")))
-    between = cut(between, "between")
+    between = written(between, "between", at_most)
     if between.take(1):
-        state = move_clusters(between, state, shards, capacity, links.count(), seed=seed)
-    return cut(member.join(state, "cluster").select("node", F.col("cluster").alias("anchor"), "shard", "n"), "shards")
+        state = move_clusters(between, state, shards, capacity, total_links, seed=seed)
+    return written(member.join(state, "cluster").select("node", F.col("cluster").alias("anchor"), "shard", "n"), "shards",
+                   at_most)
 
 
 def move_clusters(between: DataFrame, state: DataFrame, shards: int, capacity: int, total_links: int, *,
@@ -190,31 +209,40 @@ def move_clusters(between: DataFrame, state: DataFrame, shards: int, capacity: i
     # One direction is stored; both are read.
     both = between.select(F.col("a").alias("cluster"), F.col("b").alias("other"), "w").unionByName(
         between.select(F.col("b").alias("cluster"), F.col("a").alias("other"), "w"))
+    # Clusters without links to others stay where they are and take no part in the rounds.
+    ends = both.select("cluster").distinct().withColumn("linked", F.lit(True))
+    start = written(state.join(ends, "cluster", "left"), "linked", 2 * total_links)
+    alone = start.where("linked IS NULL").select("cluster", "n", "shard")
+    state = start.where("linked").select("cluster", "n", "shard")
+    # Shards squared rows at most, here and in every round.
+    still, at_most = {}, 0
+    for row in start.groupBy("shard").agg(F.sum(F.when(F.col("linked").isNull(), F.col("n"))).alias("n"),
+                                          F.count("linked").alias("linked")).collect():
+        still[row["shard"]] = row["n"] or 0
+        at_most += row["linked"]
+    side = F.broadcast if at_most <= FEW_CLUSTERS else lambda df: df
+    at_most = max(at_most, 2 * total_links)  # a vote for every link and direction
     kept, fewest, idle, r = state, math.inf, 0, 0
     while True:
         r += 1
-        votes = (both.join(state.select(F.col("cluster").alias("other"), F.col("shard").alias("to")), "other")
-                 .groupBy("cluster", "to").agg(F.sum("w").alias("w")))
+        votes = few(both.join(side(state.select(F.col("cluster").alias("other"), F.col("shard").alias("to"))), "other")
+                    .groupBy("cluster", "to").agg(F.sum("w").alias("w")), at_most)
         # The best shard, the votes for the current one and all votes, in one aggregate.
-        best = (votes.join(state, "cluster").groupBy("cluster", "n", "shard")
+        best = (votes.join(side(state), "cluster").groupBy("cluster", "n", "shard")
                 .agg(F.max(F.struct("w", (-F.col("to")).alias("t"))).alias("best"), F.sum("w").alias("all"),
                      F.sum(F.when(F.col("to") == F.col("shard"), F.col("w")).otherwise(0)).alias("here")))
         wants = (hash01(F.lit(seed + r), "cluster") < 0.5) & (F.col("best.w") > F.col("here"))
-        moved = best.select("cluster", "n", "shard", (F.col("all") - F.col("here")).alias("away"),
-                            F.when(wants, -F.col("best.t")).otherwise(F.col("shard")).cast("int").alias("to"))
-        alone = state.join(between.select(F.col("a").alias("cluster")).unionByName(
-            between.select(F.col("b").alias("cluster"))).distinct(), "cluster", "left_anti")
-        moved = cut(moved.unionByName(alone.select("cluster", "n", "shard", F.lit(0).cast("long").alias("away"),
-                                                   F.col("shard").alias("to"))), f"moves-{r}")
-        # Shards squared rows at most.
-        table = moved.groupBy("shard", "to").agg(F.sum("n").alias("n"), F.sum("away").alias("away")).collect()
+        moved = written(best.select("cluster", "n", "shard", (F.col("all") - F.col("here")).alias("away"),
+                                F.when(wants, -F.col("best.t")).otherwise(F.col("shard")).cast("int").alias("to")),
+                        f"moves-{r}", at_most)
+        table = few(moved.groupBy("shard", "to").agg(F.sum("n").alias("n"), F.sum("away").alias("away")), at_most).collect()
         cut_links = sum(row["away"] for row in table) / 2
         idle = 0 if cut_links < fewest - LEAST_GAIN * total_links else idle + 1
         if cut_links < fewest:
             kept, fewest = state, cut_links
         if idle == 2 or not cut_links:
-            return kept
-        counts: dict[int, int] = {}
+            return kept.unionByName(alone)
+        counts: dict[int, int] = dict(still)
         proposals: dict[tuple[int, int], int] = {}
         for row in table:
             counts[row["shard"]] = counts.get(row["shard"], 0) + row["n"]
@@ -224,8 +252,9 @@ def move_clusters(between: DataFrame, state: DataFrame, shards: int, capacity: i
         pairs = between.sparkSession.createDataFrame(
             [(a, b, float(v)) for (a, b), v in share.items()], "shard int, to int, share double")
         go = hash01(F.lit(~seed - r), "cluster") < F.coalesce("share", F.lit(0.0))
-        state = cut(moved.join(F.broadcast(pairs), ["shard", "to"], "left").select(
-            "cluster", "n", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard")), f"shards-{r}")
+        # Read from the table of moves, by a broadcast join of shards squared rows at most.
+        state = moved.join(F.broadcast(pairs), ["shard", "to"], "left").select(
+            "cluster", "n", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard"))
 
 
 def cut_links(links: DataFrame, placed: DataFrame, *, id_col: str = "node") -> DataFrame:

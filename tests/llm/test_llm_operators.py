@@ -130,6 +130,25 @@ def test_linked_clusters_stay_whole_beside_stray_links(spark):
     assert _cut_share(spark, links, 800, 8) < 0.12
 
 
+def test_rounds_on_few_links_take_few_tasks(spark, monkeypatch):
+    tables, write = {}, shard_propagation.cut
+    monkeypatch.setattr(shard_propagation, "cut", lambda df, name: tables.setdefault(name, write(df, name)))
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        # One group larger than a shard: its rest moves round by round.
+        rows = [(i, "same" if i < 300 else f"single {i}") for i in range(600)]
+        out = shard_propagation.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 10, keep=["doc_id"])
+        assert out.count() == 600
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rounds = [df for name, df in tables.items() if name.split("-")[0] in ("edges", "best", "asks", "joins", "clusters", "moves")]
+    assert "moves-2" in tables and max(len(df.inputFiles()) for df in rounds) <= shard_propagation.FEW_FILES
+
+
 def test_quotas_hold_capacity():
     share = shard_propagation.quotas({0: 10, 1: 10, 2: 10}, {(0, 1): 10, (2, 1): 10, (1, 0): 2}, 12)
     counts = {0: 10 - 10 * share[0, 1] + 2 * share[1, 0], 1: 10 + 10 * share[0, 1] + 10 * share[2, 1] - 2 * share[1, 0]}
