@@ -133,15 +133,15 @@ def test_linked_clusters_stay_whole_beside_stray_links(spark):
 def test_rounds_on_few_links_take_few_tasks(spark, monkeypatch):
     tables, write = {}, shard_propagation.cut
     monkeypatch.setattr(shard_propagation, "cut", lambda df, name: tables.setdefault(name, write(df, name)))
-    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in conf}
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
         # One group larger than a shard: its rest moves round by round.
-        rows = [(i, "same" if i < 300 else f"single {i}") for i in range(600)]
-        out = shard_propagation.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 10, keep=["doc_id"])
-        assert out.count() == 600
+        rows = [(i, "same" if i < 60 else f"single {i}") for i in range(120)]
+        out = shard_propagation.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 6, keep=["doc_id"])
+        assert out.count() == 120
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

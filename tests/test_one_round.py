@@ -5,6 +5,7 @@ import pytest
 
 from helpers import to_dict
 from tessera import Tensor, contract, contract_one_round
+from tessera.operators import shares
 from tessera.operators.contract import _Operand
 from tessera.operators.shares import _dealt, grid_shares
 
@@ -59,6 +60,31 @@ def test_each_operand_is_exchanged_once_and_products_never(spark):
     assert plan.count("SortMergeJoin") == 2
 
 
+@pytest.mark.parametrize("hashed", [3, 10_000])
+def test_many_products_are_streamed_past_the_closing_operand(spark, monkeypatch, hashed):
+    monkeypatch.setattr(shares, "MANY", 1)
+    monkeypatch.setattr(shares, "HASHED", hashed)
+    tensors, arrays = triangle(spark)
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(key, "false")
+    try:
+        out = contract_one_round(tensors, ["i"], parts=8, shares={"i": 1, "j": 8, "k": 1})
+        plan = out.df._jdf.queryExecution().executedPlan().toString()
+        got = to_dict(out)
+    finally:
+        spark.conf.set(key, "true")
+    # All of the closing operand is in one grid cell: over twice 3 rows, so that the products are sorted.
+    assert plan.count("ShuffledHashJoin") == (hashed != 3) and plan.count("SortMergeJoin") == 1 + (hashed == 3)
+    want = np.einsum("ij,jk,ik->i", *arrays)
+    assert got == {(i,): want[i] for i in range(len(want)) if want[i]}
+
+
+def test_hashed_operand_gets_grid_cells_of_bounded_size():
+    for parts in (8, 64):
+        found = grid_shares(["sp", "pc", "sc"], [1e9] * 3, parts, 2)
+        assert 1e9 / (found["s"] * found["c"]) <= shares.HASHED
+
+
 def test_rows_sent_are_the_operands_times_the_absent_shares(spark):
     tensors, arrays = triangle(spark)
     shares = {"i": 2, "j": 4, "k": 2}
