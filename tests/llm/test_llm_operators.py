@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import chat_format as chat
 from tessera.llm import decontam, fertility, jaccard_join, lang_id, mixing, pii, quality_rank, shard_propagation
 from tessera.llm import url_rules as urls
-from tessera.llm.common import table, vocabulary
+from tessera.llm.common import give_back, table, vocabulary
 from tessera.llm.components import connected_components
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,6 +71,18 @@ def test_language_on_odd_input_and_pieces(odd, none, monkeypatch):
     assert lang_id.identify(none, lang_id.fit_languages(none, F.lit(True))).count() == 0
 
 
+def test_give_back_returns_the_memory_of_freed_arrays():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    arrays = [np.ones(12_000) for _ in range(2_000)]  # 96 KB each: not mapped one by one
+    pinned, full = np.ones(12_000), held()
+    del arrays
+    give_back()
+    assert full - held() > 100e6 and pinned.all()
+
+
 # ------------------------------------------------------------ sharding
 def test_shards_are_even_and_keep_copies_together(spark):
     rows = [(i, f"text {i % 40}" if i < 120 else f"single {i}") for i in range(403)] + [(None, None), (5, "text 5")]
