@@ -28,7 +28,7 @@ in at most H = (a + b)(den - num) / (den + num) shingles.
 
 Copies share one signature set: the nodes of the join are distinct sets,
 identified by a 64-bit hash and their size; equal texts never meet as pairs.
-Signatures are shuffled as arrays (four bytes and a document number each) and
+Signatures are shuffled as arrays (four bytes each, and a number for each set) and
 counted with numpy, a bounded number per part; only shared ones become rows.
 
 Defined results: null, empty and blank texts have no shingles and link with
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, hash01, map_batches
+from .common import cut, give_back, hash01, map_batches, sieve
 from .components import connected_components
 
 SHINGLE = 5
@@ -291,15 +291,16 @@ def shared_signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, part
                 ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True]) + 1
                 a, rows = 0, []
                 for b in ends.tolist():
-                    local, idx = np.unique(doc[a:b], return_inverse=True)
-                    idx = idx.astype(np.uint16 if len(local) <= 65536 else np.uint32)
-                    rows.append((int(part[a]), node[local].tobytes(), idx.itemsize, idx.tobytes(),
+                    first = np.flatnonzero(changes(doc[a:b]))  # documents rise, so each one is a run
+                    runs = np.diff(first, append=b - a)
+                    runs = runs.astype(np.uint8 if runs.max() < 256 else np.uint32)
+                    rows.append((int(part[a]), node[doc[a:b][first]].tobytes(), runs.itemsize, runs.tobytes(),
                                  low[a:b].tobytes(), role[a:b].tobytes()))
                     a = b
                 return pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.binary(), pa.int32(), pa.binary(),
                                                                  pa.binary(), pa.binary()])],
-                    ["part", "nodes", "width", "docs", "sigs", "roles"])
+                    ["part", "nodes", "width", "runs", "sigs", "roles"])
 
             for _, s in shingle_sets(batch.column(0), n):
                 if (node := node_of(s)) in seen:
@@ -345,13 +346,13 @@ def shared_signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, part
                                     pa.array(np.repeat(index, sizes)[keep])], ["sig", "node", "role", "n_index"])
 
         for batch in batches:
-            for part, nodes, width, docs_, sigs, roles in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, nodes, width, runs, sigs, roles in zip(*(c.to_pylist() for c in batch.columns)):
                 if part != current:
                     if held and (out := settle()) is not None:
                         yield out
                     current, held = part, []
-                idx = np.frombuffer(docs_, np.uint16 if width == 2 else np.uint32)
-                held.append((np.frombuffer(nodes, np.int64)[idx], np.frombuffer(sigs, np.uint32),
+                runs = np.frombuffer(runs, np.uint8 if width == 1 else np.uint32)
+                held.append((np.repeat(np.frombuffer(nodes, np.int64), runs), np.frombuffer(sigs, np.uint32),
                              np.frombuffer(roles, np.uint8)))
         if held and (out := settle()) is not None:
             yield out
@@ -359,7 +360,7 @@ def shared_signatures(docs: DataFrame, text_col: str, n: int, bands: Bands, part
         give_back()
 
     chunks = docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(
-        emit, "part long, nodes binary, width int, docs binary, sigs binary, roles binary")
+        emit, "part long, nodes binary, width int, runs binary, sigs binary, roles binary")
     return chunks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
         count, "sig long, node long, role int, n_index long")
 
@@ -386,18 +387,20 @@ def fitting(a, b, bands: Bands):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes that are similar."""
+    """The pairs ``(a, b)`` of nodes that are similar.  Sets of no pair aren't shuffled."""
     shared = F.size(F.array_intersect("sa", "sb"))
     both = F.size("sa") + F.size("sb")
-    return (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    sides = [sieve(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")), x, pairs).where("_maybe")
+             .drop("_maybe") for x in ("a", "b")]
+    return (pairs.join(sides[0], "a").join(sides[1], "b")
             .where(bands.den * shared.cast("long") >= bands.num * (both - shared).cast("long")).select("a", "b"))
 
 
 def fetch_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n: int) -> DataFrame:
-    """``node`` and ``shingles`` of the wanted nodes, from one row of each."""
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("t")).join(
-        wanted.select("rk"), "rk", "left_semi").select("t")
+    """``node`` and ``shingles`` of the wanted nodes, from one row of each.  Texts
+    are cut into shingles where they are; only shingles are shuffled."""
+    rows = sieve(docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("t")), "rk",
+                 wanted).where("_maybe").select("t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, flat, ends = [], [], [0]
@@ -421,7 +424,8 @@ def fetch_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, n
         nodes, flat, batch = [], [], None
         give_back()
 
-    return cut(rows.mapInArrow(run, "node long, shingles array<bigint>").dropDuplicates(["node"]), "sets")
+    made = rows.mapInArrow(run, "node long, shingles array<bigint>").dropDuplicates(["node"])
+    return cut(made.join(wanted.select("node"), "node", "left_semi"), "sets")
 
 
 def similar_links(docs: DataFrame, meta: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int,
@@ -443,8 +447,8 @@ def similar_links(docs: DataFrame, meta: DataFrame, classes: DataFrame, id_col:
     direct = (odd.join(classes.select(F.col("node").alias("s"), F.col("size").alias("ss"), "band"), "band")
               .where((F.col("r") != F.col("s")) & (F.col("ss") >= F.col("rs")) & fitting(F.col("rs"), F.col("ss"), bands))
               .select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct())
-    wanted = (probes.select("node").union(index.select("s")).union(direct.select("a")).union(direct.select("b"))
-              .distinct().join(classes.select("node", "rk"), "node"))
+    wanted = cut(probes.select("node").union(index.select("s")).union(direct.select("a")).union(direct.select("b"))
+                 .distinct().join(classes.select("node", "rk"), "node"), "wanted")
     sets = fetch_sets(docs, id_col, text_col, wanted, n)
 
     members = probes.select("sig", "node", F.lit(True).alias("probe")).unionByName(
@@ -467,7 +471,7 @@ def similar_links(docs: DataFrame, meta: DataFrame, classes: DataFrame, id_col:
     rest = (left.join(right, "sig").where((F.col("rr") != F.col("sr")) & (F.col("rs") <= F.col("ss"))
                                           & fitting(F.col("rs"), F.col("ss"), bands))
             .select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct())
-    more = verify(rest.join(tried, ["a", "b"], "left_anti"), sets, bands)
+    more = verify(cut(rest.join(tried, ["a", "b"], "left_anti"), "rest"), sets, bands)
     many = crowd_links(members.where(F.col("crowd") > CROWD), sets, bands)
     return cut(links.union(more).union(many), "all-links")
 
@@ -487,14 +491,14 @@ def crowd_links(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
         F.sum("size").alias("tokens"), F.min("root").alias("_a"), F.max("root").alias("_b"))
     block = F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, (F.col("nr") + F.col("ns")) / BLOCK_SETS)).cast("int")
     counts = counts.where("nr > 0 AND ns > 0 AND _a <> _b").select("family", block.alias("blocks"))
-    placed = sides.join(counts, "family").withColumn(
-        "at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = cut(sides.join(counts, "family").withColumn(
+        "at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "placed")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = placed.select("family", "probe", "node", "root", "at", F.explode(every).alias("other")).select(
         "family", "probe", "node", "root",
         F.when(F.col("probe"), F.col("at")).otherwise(F.col("other")).alias("i"),
         F.when(F.col("probe"), F.col("other")).otherwise(F.col("at")).alias("j"))
-    full = dealt.join(sets, "node")
+    full = dealt.join(sieve(sets, "node", placed).where("_maybe").drop("_maybe"), "node")
     num, den = bands.num, bands.den
 
     def compare(block: pa.Table) -> pa.Table:
@@ -567,8 +571,8 @@ def drop_loners(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     crowded = members.where(F.col("crowd") > CROWD)
     if not crowded.take(1):
         return members
-    nodes = crowded.select("node", "size").distinct()
-    tokens = sets.join(nodes, "node").select("node", "size", F.explode("shingles").alias("h"))
+    nodes = cut(crowded.select("node", "size").distinct(), "crowded")
+    tokens = sieve(sets, "node", nodes).where("_maybe").join(nodes, "node").select("node", "size", F.explode("shingles").alias("h"))
     alone = (tokens.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("node").alias("node")).where("n = 1")
              .groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
     alone = cut(alone, "alone")

@@ -213,6 +213,95 @@ def take_rest(dealt: DataFrame, rests: list[tuple[int, float, int]],
     return passes
 
 
+class Mix:
+    """The mix of ``docs`` (see ``mix``).
+
+    ``picked`` has the documents (``k_`` and the name of each ``keep`` column,
+    ``pattern``, ``size``, ``taken``) and ``guess``: how often it is taken unless
+    it has no words or doesn't fit into the rest.  ``sources`` is the table of
+    sources."""
+
+    def __init__(self, docs: DataFrame, *, members: str, text_col: str = "text", keep: list[str], weights=WEIGHTS,
+                 seed: int = 0):
+        spark = docs.sparkSession
+        self.measures = [*[F.col(c).alias(f"k_{c}") for c in keep],
+                         F.array_sort(F.array_distinct(members)).alias("pattern"),
+                         F.size(words(F.col(text_col))).cast("long").alias("size"),
+                         hash01(F.lit(seed), *keep, text_col).alias("u")]
+        base = cut(docs.select(*self.measures), "sizes")
+        # Both tables have a row per source or pattern, never per document.
+        per = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(
+            MAX_NODES + 1).collect()
+        if len(per) > MAX_NODES:
+            raise ValueError(f"more than {MAX_NODES} membership patterns")
+        size_of: dict = defaultdict(int)
+        for r in per:
+            for s in r["pattern"]:
+                size_of[s] += r["size"]
+        names = sorted((s for s in size_of if s is not None)) + [None] * (None in size_of)
+        weight = [weights[i % len(weights)] for i in range(len(names))]
+        total = sum(r["size"] for r in per)
+        target = dict(zip(names, water_fill([size_of[s] for s in names], weight, total)))
+        capacity = {tuple(r["pattern"]): float(r["size"]) for r in per if r["size"] > 0}
+        flow: dict = defaultdict(float)
+        for (p, _), x in sorted(min_cost_flow(capacity, target).items(), key=repr):
+            flow[p] += x
+        plan = []
+        for pid, r in enumerate(per):
+            p = tuple(r["pattern"])
+            full = min(MAX_REPEATS, int(flow[p] // r["size"])) if r["size"] else 0
+            rest = flow[p] - full * r["size"] if full < MAX_REPEATS else 0.0
+            plan.append((pid, list(p), full, float(rest), max(1, r["n"] // BUCKET_ROWS)))
+        self.plans = spark.createDataFrame([(i, p, full, b) for i, p, full, _, b in plan],
+                                           "pid int, pattern array<string>, full int, buckets long")
+
+        def small(df: DataFrame) -> DataFrame:  # a large source would fill one shuffle partition
+            return F.broadcast(df) if len(plan) <= FEW_PATTERNS else df
+
+        dealt = cut(self.deal(base, small), "dealt")
+        passes = take_rest(dealt, [(i, rest, b) for i, _, _, rest, b in plan if rest >= 1], small)
+        self.steps = spark.createDataFrame(list(passes.items()),
+                                           "pid int, steps array<struct<edge: bigint, fits: double, room: double>>")
+        marked = self.mark(dealt, small)
+        out_cols = [*[f"k_{c}" for c in keep], "pattern", "size", "full", "guess"]
+        at_edge = F.coalesce(F.col("step.edge") == F.col("bucket"), F.lit(False))
+        outside = marked.where(~at_edge).select(
+            *out_cols, F.coalesce(F.col("size") <= F.col("step.fits"), F.lit(False)).cast("int").alias("extra"))
+        inside = marked.where(at_edge).withColumn("room", F.col("step.room"))
+
+        def fill(pdf: pd.DataFrame) -> pd.DataFrame:  # one bucket: about BUCKET_ROWS documents
+            pdf = pdf.sort_values(["u", "size"], kind="stable")
+            return pdf[out_cols].assign(extra=first_fit(pdf["size"], float(pdf["room"].iloc[0]))[0])
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inside.select(*out_cols).schema)
+        filled = inside.groupBy("pid", "bucket").applyInPandas(fill, schema + ", extra int")
+        self.picked = outside.unionByName(filled).select(
+            *[F.col(f"k_{c}").alias(c) for c in keep], "pattern", "size",
+            (F.col("size") * (F.col("full") + F.col("extra"))).cast("long").alias("taken"), "guess")
+        self.sources = spark.createDataFrame([(s, size_of[s], float(target[s])) for s in names],
+                                             "source string, source_size long, target double")
+
+    def deal(self, base: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return base.join(small(self.plans), "pattern").withColumn(
+            "bucket", F.floor(F.col("u") * F.col("buckets")).cast("long"))
+
+    def mark(self, dealt: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        # The pass that decides on a document is the first whose edge isn't before its bucket.
+        marked = dealt.join(small(self.steps), "pid", "left").withColumn(
+            "step", F.get(F.filter("steps", lambda s: s["edge"] >= F.col("bucket")), F.lit(0)))
+        # The first pass takes nearly all it meets; for those behind it little room is left.
+        first = F.get("steps", F.lit(0))["edge"] >= F.col("bucket")
+        return marked.withColumn("guess", F.col("full") + F.coalesce(first, F.lit(False)).cast("int"))
+
+    def in_place(self, docs: DataFrame, out: str) -> DataFrame:
+        """``docs``, as given to the mix, with ``out``: the ``guess`` of each document.
+        Nothing is shuffled; the tables of plans and steps have at most
+        ``MAX_NODES`` rows.  No column of ``docs`` may have the name of one of the
+        mix's own."""
+        marked = self.mark(self.deal(docs.select(*docs.columns, *self.measures), F.broadcast), F.broadcast)
+        return marked.select(*docs.columns, F.col("guess").alias(out))
+
+
 def mix(docs: DataFrame, *, members: str, text_col: str = "text", keep: list[str], weights=WEIGHTS,
         seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Select documents so that every source comes near its target.
@@ -221,63 +310,6 @@ def mix(docs: DataFrame, *, members: str, text_col: str = "text", keep: list[str
     documents (``keep``, ``members``, ``size``, ``taken``) and the sources
     (``source``, ``source_size``, ``target``).  Sources are ordered by code
     point, null last, and weigh ``weights`` in turn."""
-    spark = docs.sparkSession
-    base = cut(docs.select(*[F.col(c).alias(f"k_{c}") for c in keep],
-                           F.array_sort(F.array_distinct(members)).alias("pattern"),
-                           F.size(words(F.col(text_col))).cast("long").alias("size"),
-                           hash01(F.lit(seed), *keep, text_col).alias("u")), "sizes")
-    # Both tables have a row per source or pattern, never per document.
-    per = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(
-        MAX_NODES + 1).collect()
-    if len(per) > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} membership patterns")
-    size_of: dict = defaultdict(int)
-    for r in per:
-        for s in r["pattern"]:
-            size_of[s] += r["size"]
-    names = sorted((s for s in size_of if s is not None)) + [None] * (None in size_of)
-    weight = [weights[i % len(weights)] for i in range(len(names))]
-    total = sum(r["size"] for r in per)
-    target = dict(zip(names, water_fill([size_of[s] for s in names], weight, total)))
-    capacity = {tuple(r["pattern"]): float(r["size"]) for r in per if r["size"] > 0}
-    flow: dict = defaultdict(float)
-    for (p, _), x in sorted(min_cost_flow(capacity, target).items(), key=repr):
-        flow[p] += x
-    plan = []
-    for pid, r in enumerate(per):
-        p = tuple(r["pattern"])
-        full = min(MAX_REPEATS, int(flow[p] // r["size"])) if r["size"] else 0
-        rest = flow[p] - full * r["size"] if full < MAX_REPEATS else 0.0
-        plan.append((pid, list(p), full, float(rest), max(1, r["n"] // BUCKET_ROWS)))
-    plans = spark.createDataFrame([(i, p, full, b) for i, p, full, _, b in plan],
-                                  "pid int, pattern array<string>, full int, buckets long")
-    def small(df: DataFrame) -> DataFrame:  # a large source would fill one shuffle partition
-        return F.broadcast(df) if len(plan) <= FEW_PATTERNS else df
-
-    dealt = cut(base.join(small(plans), "pattern").withColumn(
-        "bucket", F.floor(F.col("u") * F.col("buckets")).cast("long")), "dealt")
-    passes = take_rest(dealt, [(i, rest, b) for i, _, _, rest, b in plan if rest >= 1], small)
-    steps = spark.createDataFrame(list(passes.items()),
-                                  "pid int, steps array<struct<edge: bigint, fits: double, room: double>>")
-    # The pass that decides on a document is the first whose edge isn't before its bucket.
-    marked = dealt.join(small(steps), "pid", "left").withColumn(
-        "step", F.get(F.filter("steps", lambda s: s["edge"] >= F.col("bucket")), F.lit(0)))
-    at_edge = F.coalesce(F.col("step.edge") == F.col("bucket"), F.lit(False))
-    out_cols = [*[f"k_{c}" for c in keep], "pattern", "size", "full"]
-    outside = marked.where(~at_edge).select(
-        *out_cols, F.coalesce(F.col("size") <= F.col("step.fits"), F.lit(False)).cast("int").alias("extra"))
-    inside = marked.where(at_edge).withColumn("room", F.col("step.room"))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:  # one bucket: about BUCKET_ROWS documents
-        pdf = pdf.sort_values(["u", "size"], kind="stable")
-        return pdf[out_cols].assign(extra=first_fit(pdf["size"], float(pdf["room"].iloc[0]))[0])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inside.select(*out_cols).schema)
-    filled = inside.groupBy("pid", "bucket").applyInPandas(fill, schema + ", extra int")
-    picked = outside.unionByName(filled)
-    picked = picked.select(*[F.col(f"k_{c}").alias(c) for c in keep], F.col("pattern").alias(members), "size",
-                           (F.col("size") * (F.col("full") + F.col("extra"))).cast("long").alias("taken"))
-    sources = spark.createDataFrame([(s, size_of[s], float(target[s])) for s in names],
-                                    "source string, source_size long, target double")
-    return picked, sources
-
+    mixed = Mix(docs, members=members, text_col=text_col, keep=keep, weights=weights, seed=seed)
+    picked = mixed.picked.select(*keep, F.col("pattern").alias(members), "size", "taken")
+    return picked, mixed.sources

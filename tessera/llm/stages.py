@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, fertility, jaccard_join, mixing, shard_propagation
-from .common import cut, table
+from .common import cut, sieve, table
 
 SHARDS = 40
 
@@ -62,9 +62,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = rows.join(best, "component").groupBy("_key").agg(
         F.min(F.col("best._key") != F.col("_key")).alias("_loses"), F.count(F.lit(1)).alias("_rows"))
     out = cut(out.where("_loses OR _rows > 1"), "decisions")
-    kept = d.rows.join(out, "_key", "left").where("_loses IS NULL OR NOT _loses")
+    # Texts without a decision stay where they are.
+    rows = sieve(d.rows, "_key", out)
+    kept = rows.where("_maybe").join(out, "_key", "left").where("_loses IS NULL OR NOT _loses")
+    kept = cut(kept.select("_key", *d.columns, "_rows"), "kept")
     once = d.one_per_key(kept.where("_rows > 1"))
-    return d.named(kept.where("_rows IS NULL OR _rows = 1").select(*d.columns).unionByName(once.select(*d.columns)))
+    every = rows.where("NOT _maybe").select(*d.columns).unionByName(
+        kept.where("_rows IS NULL OR _rows = 1").select(*d.columns)).unionByName(once.select(*d.columns))
+    return d.named(every)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,22 +77,29 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     d = Numbered(docs)
     found = decontam.find_items(d.rows, table(spark, sf_dir, "benchmark"), id_col="_key", text_col=d.text)
     leaks = cut(found.select("_key").distinct(), "leaks")
-    return d.named(d.rows.join(leaks, "_key", "left_anti"))
+    rows = sieve(d.rows, "_key", leaks)
+    return d.named(rows.where("NOT _maybe").unionByName(rows.where("_maybe").join(leaks, "_key", "left_anti")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it (not at all to three times)."""
     d = Numbered(docs)
-    picked, _ = mixing.mix(d.rows.withColumn("_members", F.array(d.source)), members="_members", text_col=d.text,
-                           keep=["_key"])
-    times = cut(picked.groupBy("_key").agg(
+    docs = d.rows.withColumn("_members", F.array(d.source))
+    mix = mixing.Mix(docs, members="_members", text_col=d.text, keep=["_key"])
+    times = mix.picked.groupBy("_key").agg(
         F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias("_times"),
-        F.count(F.lit(1)).alias("_rows")).where("_times > 0"), "times")
-    out = d.rows.join(times, "_key")
+        F.count(F.lit(1)).alias("_rows"), F.max("guess").alias("_guess"))
+    # All others tell from their source and hash alone how often they are taken: they stay where they are.
+    times = cut(times.where("_rows > 1 OR _times <> _guess").select("_key", "_times", "_rows"), "times")
+    rows = sieve(mix.in_place(docs, "_own"), "_key", times)
+    out = cut(rows.where("_maybe").join(times, "_key", "left").select("_key", *d.columns, "_own", "_times", "_rows"),
+              "known")
+    one = out.where("_rows IS NULL OR _rows = 1").withColumn("_times", F.coalesce("_times", "_own"))
     # Rows of one key are equal in id and text; one of them stands for all.
     many = d.one_per_key(out.where("_rows > 1"), "_times")
-    every = out.where("_rows = 1").select(*d.columns, "_times").unionByName(many.select(*d.columns, "_times"))
-    return d.named(every.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))))
+    every = rows.where("NOT _maybe").select(*d.columns, F.col("_own").alias("_times")).unionByName(
+        one.select(*d.columns, "_times")).unionByName(many.select(*d.columns, "_times"))
+    return d.named(every.where("_times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
